@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 BINS_PER_UNIT = 4096
 
 
+def over_few_rows(aggregate: Column) -> Column:
+    """A grand total beside each row. Only for tables already reduced to a row per segment."""
+    return aggregate.over(Window.partitionBy())
+
+
 def value_bin(value: Column) -> Column:
     """Monotone bin: linear near zero, logarithmic far from it (relative width 1/4096)."""
     v = value.cast("double")

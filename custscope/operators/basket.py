@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,7 @@ MIN_SUPPORT_PCT = 0.001
 MIN_CONFIDENCE = 0.20
 MIN_LIFT = 3.0
 TOP_ACTIONABLE = 30
+PARALLEL_SEGMENTS = 5
 
 _ITEMSETS = "segmento string, items array<string>, freq bigint, n_pedidos bigint"
 
@@ -69,21 +72,25 @@ def frequent_itemsets(
     """
     spark = baskets.sparkSession
     staged = stage(baskets.select("segmento", "familias"), "baskets", ["segmento"])
-    out = spark.createDataFrame([], _ITEMSETS)
-    for row in support_thresholds(staged, min_count, min_pct).orderBy("segmento").collect():
-        if row.se_omite:
-            continue
+    sizes = support_thresholds(staged, min_count, min_pct).where(~F.col("se_omite")).collect()
+
+    def mine(row) -> DataFrame:
         # Half a basket below the count: the library rounds the fraction up.
         miner = FPGrowth(itemsCol="familias", minSupport=(row.umbral - 0.5) / row.n_pedidos)
         found = miner.fit(staged.where(F.col("segmento") == row.segmento).select("familias")).freqItemsets
-        out = out.unionByName(found.select(
+        return found.select(
             F.lit(row.segmento).alias("segmento"),
             F.array_sort("items").alias("items"),
             "freq",
             F.lit(row.n_pedidos).alias("n_pedidos"),
-        ))
+        )
+
+    # Segments are independent: their jobs run side by side, so a small one does not leave the
+    # cluster idle.
+    with ThreadPoolExecutor(max_workers=max(1, min(len(sizes), PARALLEL_SEGMENTS))) as pool:
+        mined = list(pool.map(mine, sizes))
     # Read three times by the rules (set, left side, right side): mine once.
-    return stage(out, "itemsets")
+    return stage(reduce(DataFrame.unionByName, mined, spark.createDataFrame([], _ITEMSETS)), "itemsets")
 
 
 def _rule_splits(itemsets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import share
-from custscope.functions.ordered import exact_quantiles, running_totals_desc
+from custscope.functions.ordered import exact_quantiles, over_few_rows, running_totals_desc
 
 
 def pareto(segments: DataFrame) -> DataFrame:
@@ -51,5 +51,5 @@ def monetary_index(segments: DataFrame, base: str = "MVPs") -> DataFrame:
         segments.select(F.col("segmento_cluster").alias("segmento"), "monetary"),
         ["segmento"], "monetary", {"monetary_med": 0.5},
     )
-    reference = medians.where(F.col("segmento") == base).agg(F.max("monetary_med")).scalar()
+    reference = over_few_rows(F.max(F.when(F.col("segmento") == base, F.col("monetary_med"))))
     return medians.withColumn("indice", share(F.col("monetary_med") * 100, reference))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import share
+from custscope.functions.ordered import over_few_rows
 from custscope.schema import FEATURES
 
 MAX_DROP_PCT = 5.0
@@ -151,8 +152,7 @@ def drift_points(now: DataFrame, snapshot: DataFrame, limit: float = DRIFT_POINT
     """Change of each segment's share since the snapshot, in percentage points."""
     def shares(df: DataFrame, name: str) -> DataFrame:
         counts = df.groupBy(F.col("segmento_cluster").alias("segmento")).agg(F.count(F.lit(1)).alias("_n"))
-        total = counts.agg(F.sum("_n")).scalar()
-        return counts.select("segmento", (share(F.col("_n"), total) * 100).alias(name))
+        return counts.select("segmento", (share(F.col("_n"), over_few_rows(F.sum("_n"))) * 100).alias(name))
 
     both = shares(now, "pct_actual").join(shares(snapshot, "pct_anterior"), "segmento", "full")
     zero = F.lit(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import segment_rank, share, urgency_band, urgency_ratio
-from custscope.functions.ordered import exact_quantiles
+from custscope.functions.ordered import exact_quantiles, over_few_rows
 
 URGENT_SEGMENTS = ["MVPs", "Alto Valor"]
 REACTIVATION_SEGMENT = "En Riesgo"
@@ -15,8 +15,7 @@ URGENCY_FACTOR = 1.5
 
 def _with_total(per_segment: DataFrame, count: str, name: str) -> DataFrame:
     """Adds the share of the grand total; the input has one row per segment."""
-    total = per_segment.agg(F.sum(count)).scalar()
-    return per_segment.withColumn(name, share(F.col(count), total))
+    return per_segment.withColumn(name, share(F.col(count), over_few_rows(F.sum(count))))
 
 
 def _segment_name() -> Column:
@@ -195,13 +194,11 @@ def median_ranges(segments: DataFrame) -> DataFrame:
 def radar(segments: DataFrame) -> DataFrame:
     """Segment medians scaled to [0,1] over all segments; fewer days is better, so days invert."""
     figures = _segment_figures(segments)
-    ranges = median_ranges(segments).select(F.struct("*")).scalar()
 
     def scaled(name: str) -> Column:
-        low, high = ranges[f"{name}_min"], ranges[f"{name}_max"]
-        return F.when(high == low, F.lit(0.0)).otherwise(
-            F.try_divide(F.col(f"{name}_med").cast("double") - low, high - low)
-        )
+        median = F.col(f"{name}_med").cast("double")
+        low, high = over_few_rows(F.min(median)), over_few_rows(F.max(median))
+        return F.when(high == low, F.lit(0.0)).otherwise(F.try_divide(median - low, high - low))
 
     return figures.select(
         "segmento",

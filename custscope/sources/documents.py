@@ -37,7 +37,8 @@ def document_time() -> Column:
     return F.try_to_timestamp(F.col("pedido.fecha"))
 
 
-def _sold(docs: DataFrame) -> DataFrame:
+def sold(docs: DataFrame) -> DataFrame:
+    """Online orders that were invoiced and not cancelled."""
     return docs.where(
         (F.col("pedido.tipo") == ONLINE_ORDER_TYPE) & not_cancelled() & invoiced()
     )
@@ -49,7 +50,7 @@ def scan_range(docs: DataFrame, start: date | str, end: date | str) -> DataFrame
     last = date.fromisoformat(end) if isinstance(end, str) else end
     last_second = datetime(last.year, last.month, last.day) + timedelta(hours=23, minutes=59, seconds=59)
     time = document_time()
-    return _sold(docs).where(
+    return sold(docs).where(
         (time >= instant(datetime(first.year, first.month, first.day))) & (time <= instant(last_second))
     )
 
@@ -59,7 +60,7 @@ def scan_incremental(
 ) -> DataFrame:
     """Sold documents strictly after the high-water mark; no mark means full history."""
     time = document_time()
-    out = _sold(docs).where(time <= instant(until))
+    out = sold(docs).where(time <= instant(until))
     return out if watermark is None else out.where(time > instant(watermark))
 
 

@@ -132,7 +132,6 @@ def upsert(
     path: str,
     new: DataFrame,
     keys: Sequence[str],
-    batch: int,
     position: str,
     time_column: str = "fecha",
 ) -> UpsertResult:
@@ -140,10 +139,13 @@ def upsert(
 
     Only months that receive rows, or already hold one of the incoming keys, are rewritten, with
     dynamic partition overwrite: the written files replace the old ones when the job commits, so
-    reading the table it rewrites is safe, and running the same batch again changes nothing.
-    Rows carry the batch number and their position, so "last" does not depend on task order.
+    reading the table it rewrites is safe. Rows carry the number of their merge and their
+    position, so "last" does not depend on task order; merging the same rows again gives the
+    same table but for that number.
     """
     require_columns(new, [*keys, time_column, position], path)
+    first = not exists(spark, path)
+    batch = 0 if first else (spark.read.parquet(path).agg(F.max(BATCH_COLUMN)).first()[0] or 0) + 1
     fresh = new.withColumns({
         BATCH_COLUMN: F.lit(int(batch)).cast("bigint"),
         "posicion": F.col(position).cast("bigint"),
@@ -154,7 +156,7 @@ def upsert(
     incoming = stage(fresh, "upsert-new")
     n_new = incoming.count()
 
-    if not exists(spark, path):
+    if first:
         keep_last(incoming, keys, sequence).write.partitionBy(MONTH_COLUMN).parquet(path)
         n_total = spark.read.parquet(path).count()
         _report(path, n_new, n_new - n_total, keys)
