@@ -25,9 +25,14 @@ def over_few_rows(aggregate: Column) -> Column:
 
 
 def value_bin(value: Column) -> Column:
-    """Monotone bin: linear near zero, logarithmic far from it (relative width 1/4096)."""
+    """Monotone bin: linear near zero, logarithmic far from it (relative width 1/4096).
+
+    Never NULL: a nullable join key would add a filter to one of the two readers of the counts,
+    and they would no longer share one shuffle.
+    """
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(BINS_PER_UNIT)).cast("bigint")
+    scaled = F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(BINS_PER_UNIT)).cast("bigint")
+    return F.coalesce(scaled, F.lit(0).cast("bigint"))
 
 
 def exact_quantiles(

@@ -23,6 +23,7 @@ MIN_CONFIDENCE = 0.20
 MIN_LIFT = 3.0
 TOP_ACTIONABLE = 30
 PARALLEL_SEGMENTS = 5
+BASKETS_PER_PARTITION = 50_000
 
 _ITEMSETS = "segmento string, items array<string>, freq bigint, n_pedidos bigint"
 
@@ -74,9 +75,17 @@ def frequent_itemsets(
     staged = stage(baskets.select("segmento", "familias"), "baskets", ["segmento"])
     sizes = support_thresholds(staged, min_count, min_pct).where(~F.col("se_omite")).collect()
 
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def mine(row) -> DataFrame:
-        # Half a basket below the count: the library rounds the fraction up.
-        miner = FPGrowth(itemsCol="familias", minSupport=(row.umbral - 0.5) / row.n_pedidos)
+        miner = FPGrowth(
+            itemsCol="familias",
+            # Half a basket below the count: the library rounds the fraction up.
+            minSupport=(row.umbral - 0.5) / row.n_pedidos,
+            # Each basket is sent to every partition that owns one of its families, so small
+            # segments mine in few partitions and large ones in as many as the cluster is set to.
+            numPartitions=max(1, min(most, row.n_pedidos // BASKETS_PER_PARTITION)),
+        )
         found = miner.fit(staged.where(F.col("segmento") == row.segmento).select("familias")).freqItemsets
         return found.select(
             F.lit(row.segmento).alias("segmento"),
@@ -235,10 +244,13 @@ def rule_value(rules: DataFrame, items: DataFrame, orders: DataFrame) -> DataFra
     """Orders, mean, median and total money per rule, over all segments and all time."""
     require_columns(orders, ["order_id", "pago_total"], "orders")
     keys = ["antecedents", "consequents"]
-    paid = (
+    # Written once: the totals and both passes of the median read it, and matching is the
+    # expensive part.
+    paid = stage(
         orders_matching(rules, items)
         .join(orders.select("order_id", "pago_total"), "order_id", "left")
-        .groupBy(*keys, "pago_total").agg(F.count(F.lit(1)).alias("veces"))
+        .groupBy(*keys, "pago_total").agg(F.count(F.lit(1)).alias("veces")),
+        "paid",
     )
     money = F.sum(F.col("pago_total") * F.col("veces"))
     known = F.sum(F.when(F.col("pago_total").isNotNull(), F.col("veces")))

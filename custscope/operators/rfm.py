@@ -41,24 +41,39 @@ def customer_features(orders: DataFrame, as_of=None, months: int = DEFAULT_MONTH
     days = _customer_days(in_window(orders, as_of, months, cap_at_ref)).withColumn(
         "previa", F.lag("ultima").over(by_day)
     )
-    # Two rows per day: the day itself with its n-1 gaps of zero days, and the gap to the
-    # previous active day. Gaps are whole days, so the median's state is bounded by the window.
+
     def gap(days_between, times, n, amount):
         return F.struct(
             days_between.cast("bigint").alias("salto"), times.cast("bigint").alias("veces"),
             n.cast("bigint").alias("n"), amount.alias("monto"), F.col("ultima").alias("ultima"),
         )
 
+    # Two rows per day: the day itself with its n-1 gaps of zero days, and the gap to the
+    # previous active day (none for the first).
     rows = days.select("cliente_id", F.inline(F.array(
         gap(F.lit(0), F.col("n") - 1, F.col("n"), F.col("monto")),
-        gap(elapsed_days(F.col("previa"), F.col("primera")), F.lit(1), F.lit(0), F.lit(0.0)),
+        gap(
+            elapsed_days(F.col("previa"), F.col("primera")), F.col("previa").isNotNull().cast("int"),
+            F.lit(0), F.lit(0.0),
+        ),
     )))
+    # Weighted median by running counts. Everything from here on is keyed by customer, so it runs
+    # in place after the one shuffle, on at most two rows per day of the window.
+    customer = Window.partitionBy("cliente_id")
+    by_gap = customer.orderBy("salto").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("hasta", F.sum("veces").over(by_gap)).withColumn("total", F.sum("veces").over(customer))
+
+    def gap_at(rank):
+        here = (rank >= F.col("hasta") - F.col("veces")) & (rank < F.col("hasta"))
+        return F.max(F.when(here, F.col("salto")))
+
+    middle = (F.col("total") - 1) / 2
     recency = F.greatest(elapsed_days(F.max("ultima"), instant(as_of)), F.lit(0).cast("bigint"))
-    return rows.groupBy("cliente_id").agg(
+    return ranked.groupBy("cliente_id").agg(
         recency.alias("recency"),
         F.sum("n").alias("frequency"),
         F.coalesce(F.sum("monto"), F.lit(0.0)).alias("monetary"),
-        F.percentile("salto", 0.5, F.col("veces")).alias("dias_entre_compras"),
+        ((gap_at(F.floor(middle)) + gap_at(F.ceil(middle))) / 2).alias("dias_entre_compras"),
     )
 
 

@@ -49,6 +49,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def bytes_on_disk(spark: SparkSession, path: str) -> int:
+    fs, hadoop_path = _filesystem(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
 def load_table(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(table_path(root, name))
