@@ -94,32 +94,33 @@ def _order_families(items: DataFrame, customer: str | None) -> DataFrame:
     )
 
 
-def _family_orders(baskets: DataFrame) -> DataFrame:
-    """Orders of each customer that hold each family."""
-    return (
-        baskets.select("cliente_id", F.explode("familias").alias("familia"))
-        .groupBy("cliente_id", "familia").agg(F.count(F.lit(1)).alias("n_total"))
-    )
-
-
-def _pairs(baskets: DataFrame, counts: DataFrame) -> DataFrame:
+def _pairs(baskets: DataFrame) -> DataFrame:
     """Family pairs a < b that a customer bought together in two or more orders.
 
-    A pair seen twice needs both families seen twice, so rarer families are dropped first: for
-    most customers hardly any pair is left to build. Pairs come from the order's own (bounded)
-    family list and are counted map-side before they are shuffled.
+    Columns: n_ordenes (orders with both), n_a and n_b (orders with each). A pair seen twice
+    needs both families seen twice, so a customer's rarer families are dropped before any pair is
+    built. The families that remain travel as one map per customer, bounded by the catalogue, and
+    each order builds pairs from its own list only; pairs are counted map-side before the shuffle.
     """
-    repeated = counts.where(F.col("n_total") >= MIN_TOGETHER)
+    repeated = (
+        baskets.select("cliente_id", F.explode("familias").alias("familia"))
+        .groupBy("cliente_id", "familia").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= MIN_TOGETHER)
+        .groupBy("cliente_id").agg(F.map_from_entries(F.collect_list(F.struct("familia", "n"))).alias("_n"))
+        .where(F.size("_n") > 1)
+    )
     kept = (
-        baskets.select("cliente_id", "order_id", F.explode("familias").alias("familia"))
-        .join(repeated.select("cliente_id", "familia"), ["cliente_id", "familia"], "left_semi")
-        .groupBy("cliente_id", "order_id").agg(F.array_sort(F.collect_list("familia")).alias("f"))
-        .where(F.size("f") > 1)
+        baskets.join(repeated, "cliente_id")
+        .select("cliente_id", "_n", F.array_sort(F.array_intersect("familias", F.map_keys("_n"))).alias("_f"))
+        .where(F.size("_f") > 1)
+    )
+    pairs = kept.select("cliente_id", "_n", "_f", F.posexplode("_f").alias("_i", "familia_a")).select(
+        "cliente_id", "familia_a", F.element_at("_n", F.col("familia_a")).alias("n_a"), "_n",
+        F.explode(F.slice("_f", F.col("_i") + 2, F.size("_f"))).alias("familia_b"),
     )
     return (
-        kept.select("cliente_id", "f", F.posexplode("f").alias("i", "familia_a"))
-        .select("cliente_id", "familia_a", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("familia_b"))
-        .groupBy("cliente_id", "familia_a", "familia_b").agg(F.count(F.lit(1)).alias("n_ordenes"))
+        pairs.withColumn("n_b", F.element_at("_n", F.col("familia_b")))
+        .groupBy("cliente_id", "familia_a", "familia_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_ordenes"))
         .where(F.col("n_ordenes") >= MIN_TOGETHER)
     )
 
@@ -134,7 +135,7 @@ def own_bundles(
     """Pairs a customer repeats, with the matching 1→1 rule of the customer's segment."""
     baskets = _order_families(items, customer)
     pairs = _top(
-        _pairs(baskets, _family_orders(baskets)), limit,
+        _pairs(baskets), limit,
         F.desc("n_ordenes"), F.asc("familia_a"), F.asc("familia_b"),
     )
     totals = baskets.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("_orders"))
@@ -158,12 +159,8 @@ def own_bundles(
 
 def strong_pairs(baskets: DataFrame) -> DataFrame:
     """Pairs that occur together in at least 30 % of the orders of their rarer family."""
-    counts = _family_orders(baskets)
-    a = counts.select("cliente_id", F.col("familia").alias("familia_a"), F.col("n_total").alias("n_a"))
-    b = counts.select("cliente_id", F.col("familia").alias("familia_b"), F.col("n_total").alias("n_b"))
     return (
-        _pairs(baskets, counts)
-        .join(a, ["cliente_id", "familia_a"]).join(b, ["cliente_id", "familia_b"])
+        _pairs(baskets)
         .withColumn("co_occurrence", F.col("n_ordenes") / F.least("n_a", "n_b"))
         .where(F.col("co_occurrence") >= STRONG_PAIR)
         .select("cliente_id", "familia_a", "familia_b", "co_occurrence")
