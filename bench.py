@@ -55,7 +55,7 @@ def steps(spark: SparkSession, folder: str, copies: int):
     rules = stage(mined(), "rules")
     valued = stage(basket.actionable_rules(rules, products, orders), "valued")
     windowed = season.orders_in_window(orders, m.AS_OF)
-    old, new = catalog.two_batches(orders, "split(order_id, '-')[0]")
+    old, new = catalog.two_batches(orders)
     return {
         "rfm_complete": lambda: rfm.rfm_complete(orders, m.AS_OF),
         "segmentos": lambda: segment.segment_customers(orders, None, m.AS_OF),

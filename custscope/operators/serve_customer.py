@@ -12,9 +12,11 @@ from custscope.functions.guards import bounded_int
 from custscope.functions.labels import day_text, second_text, share
 from custscope.operators.flatten import known_products
 from custscope.schema import NON_PRODUCT_SKUS
+from custscope.sources.staging import stage
 
 MIN_TOGETHER = 2
 STRONG_PAIR = 0.30
+CUSTOMER_SALTS = 16
 
 
 def _one(df: DataFrame, customer: str | None) -> DataFrame:
@@ -88,13 +90,23 @@ def top_products(items: DataFrame, customer: str | None = None, limit: int | Non
 
 def _order_families(items: DataFrame, customer: str | None) -> DataFrame:
     """(cliente_id, order_id, familias): the distinct known families of each order."""
-    return (
+    families = (
         known_products(_one(items, customer)).where(F.col("familia").isNotNull() & F.col("cliente_id").isNotNull())
         .groupBy("cliente_id", "order_id").agg(F.collect_set("familia").alias("familias"))
     )
+    return _written(families, "order-families", customer)
+
+
+def _written(df: DataFrame, name: str, customer: str | None) -> DataFrame:
+    """All customers: written once, since several joins read it. One customer: a few rows, left lazy.
+
+    Reading a table also puts a shuffle of its own under each join. Adaptive execution splits a
+    customer with very many orders only then; a join placed right on an aggregate is left whole.
+    """
+    return stage(df, name) if customer is None else df
 
 
-def _pairs(baskets: DataFrame) -> DataFrame:
+def _pairs(baskets: DataFrame, customer: str | None) -> DataFrame:
     """Family pairs a < b that a customer bought together in two or more orders.
 
     Columns: n_ordenes (orders with both), n_a and n_b (orders with each). A pair seen twice
@@ -109,8 +121,12 @@ def _pairs(baskets: DataFrame) -> DataFrame:
         .groupBy("cliente_id").agg(F.map_from_entries(F.collect_list(F.struct("familia", "n"))).alias("_n"))
         .where(F.size("_n") > 1)
     )
+    # The salt spreads the orders of one customer over several tasks. It is not a key of the count
+    # below, so the pairs are combined where they are built and shuffled after that.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(CUSTOMER_SALTS - 1)))
     kept = (
-        baskets.join(repeated, "cliente_id")
+        baskets.withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(CUSTOMER_SALTS)).cast("int"))
+        .join(_written(repeated, "repeated", customer).withColumn("_salt", salts), ["cliente_id", "_salt"])
         .select("cliente_id", "_n", F.array_sort(F.array_intersect("familias", F.map_keys("_n"))).alias("_f"))
         .where(F.size("_f") > 1)
     )
@@ -135,7 +151,7 @@ def own_bundles(
     """Pairs a customer repeats, with the matching 1→1 rule of the customer's segment."""
     baskets = _order_families(items, customer)
     pairs = _top(
-        _pairs(baskets), limit,
+        _pairs(baskets, customer), limit,
         F.desc("n_ordenes"), F.asc("familia_a"), F.asc("familia_b"),
     )
     totals = baskets.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("_orders"))
@@ -157,10 +173,10 @@ def own_bundles(
     )
 
 
-def strong_pairs(baskets: DataFrame) -> DataFrame:
+def strong_pairs(baskets: DataFrame, customer: str | None = None) -> DataFrame:
     """Pairs that occur together in at least 30 % of the orders of their rarer family."""
     return (
-        _pairs(baskets)
+        _pairs(baskets, customer)
         .withColumn("co_occurrence", F.col("n_ordenes") / F.least("n_a", "n_b"))
         .where(F.col("co_occurrence") >= STRONG_PAIR)
         .select("cliente_id", "familia_a", "familia_b", "co_occurrence")
@@ -176,7 +192,7 @@ def missed_opportunities(
     it lacks; no order is ever paired with a bundle it does not touch.
     """
     baskets = _order_families(items, customer)
-    strong = strong_pairs(baskets)
+    strong = strong_pairs(baskets, customer)
     lookup = strong.select(
         "cliente_id", "co_occurrence",
         F.inline(F.array(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import item_label
-from custscope.functions.timeparts import time_features
+from custscope.functions.timeparts import instant, time_features
 from custscope.operators import basket, explore, flatten, quality, rfm, season, segment
 from custscope.operators import serve_customer as customer
 from custscope.operators import serve_moves as moves
@@ -133,24 +133,25 @@ def lenient_casts(spark, sf):
     return flatten.explode_items(parsed(spark, sf))
 
 
-def two_batches(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """An old table and a newer batch that repeats part of it with changed values."""
-    old = df.withColumn("secuencia", F.lit(0))
-    again = df.where(F.expr(f"try_cast({key} AS bigint) % 3 = 0"))
-    return old, again.withColumn("secuencia", F.lit(1))
+CORRECTED_SINCE = datetime(2000, 1, 1, tzinfo=m.AS_OF.tzinfo)
+
+
+def two_batches(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A whole table, and a second delivery of everything since a date."""
+    again = df.where(F.col("fecha") >= instant(CORRECTED_SINCE))
+    return df.withColumn("secuencia", F.lit(0)), again.withColumn("secuencia", F.lit(1))
 
 
 @query("order_id:s cliente_id:s fecha:s pago_total:d4 secuencia:n")
 def upsert_orders(spark, sf):
-    old, new = two_batches(m.orders(spark, sf), "order_id")
+    old, new = two_batches(m.orders(spark, sf))
     return tables.merge_keep_last(old, new.withColumn("pago_total", F.col("pago_total") + 1), ORDER_KEYS, ["secuencia"])
 
 
 @query("order_id:s clave:s cantidad:d4 posicion:n secuencia:n")
 def upsert_items(spark, sf):
     # The line number does not identify a line here, so the figures themselves break ties.
-    lines = m.items(spark, sf).select("order_id", "clave", "cantidad", "posicion")
-    old, new = two_batches(lines, "order_id")
+    old, new = two_batches(m.items(spark, sf).select("order_id", "clave", "fecha", "cantidad", "posicion"))
     return tables.merge_keep_last(
         old, new.withColumn("cantidad", F.col("cantidad") + 1), ITEM_KEYS, ["secuencia", "posicion", "cantidad"]
     )
@@ -739,7 +740,7 @@ def kpis_movimientos(spark, sf):
 
 @query("n_antes:i n_despues:i caida_pct:d6 ok:b")
 def dq_ingest(spark, sf):
-    old, new = two_batches(m.orders(spark, sf), "order_id")
+    old, new = two_batches(m.orders(spark, sf))
     return quality.check_ingest(old, tables.merge_keep_last(old, new, ORDER_KEYS, ["secuencia"]))
 
 
