@@ -162,7 +162,7 @@ def upsert(
     n_new = incoming.count()
 
     if first:
-        keep_last(incoming, keys, sequence).write.partitionBy(MONTH_COLUMN).parquet(path)
+        _by_month(keep_last(incoming, keys, sequence)).write.partitionBy(MONTH_COLUMN).parquet(path)
         n_total = spark.read.parquet(path).count()
         _report(path, n_new, n_new - n_total, keys)
         return UpsertResult(n_new, n_total, n_new - n_total)
@@ -189,7 +189,7 @@ def upsert(
     merged = stage(merged, "upsert-merged")
     left = {r[0] for r in merged.select(MONTH_COLUMN).distinct().collect()}
     (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _by_month(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH_COLUMN).parquet(path)
     )
     for month in sorted(set(touched) - left):
@@ -201,6 +201,11 @@ def upsert(
     return UpsertResult(n_new, n_total, duplicates)
 
 
+def _by_month(df: DataFrame) -> DataFrame:
+    """Gathers each month in few files; adaptive execution splits a month that is too large for one."""
+    return df.hint("rebalance", MONTH_COLUMN)
+
+
 def _report(path: str, before: int, duplicates: int, keys: Sequence[str]) -> None:
     if duplicates <= 0:
         return
