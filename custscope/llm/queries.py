@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, packing, quality_rules
-from .common import table
+from . import byte_bpe, chat_format, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, spot_signatures
+from .common import crc_text, table
 
 sha256_text = line_dedup.sha256_text
 #: A conversation whose texts look like a template's own control strings.
@@ -19,6 +19,14 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", sha256_text("kept_text").alias("kept_sha256"))
 
 
+def op2_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    found = spot_signatures.fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", sha256_text("edited").alias("edited_sha256"),
+        spot_signatures.written(F.col("signs")).alias("fingerprint"),
+        spot_signatures.written(F.col("edited_signs")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,15 +37,33 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_model.train(docs, table(spark, folder, "labels"))
+    held_out = crc_text("doc_id") % quality_model.FOLDS == quality_model.HELD_OUT_FOLD
+    return quality_model.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"),
+        "top_weight", "n_passages")
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    done = pii.pseudonyms(table(spark, folder, "documents"))
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *pii.counts())
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), path), path)
+    decoded = byte_bpe.round_trip(table(spark, folder, "documents"), path)
     written = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(written, "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"), width=4, num=85, den=100)
+
+
 def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(FORGED_CHAT, "conv_id bigint, turn bigint, role string, text string"))
@@ -50,8 +76,12 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_spot_signatures": op2_spot_signatures,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_pii": op6_pii,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
 }
