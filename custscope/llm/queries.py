@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, spot_signatures
+from . import attention_lm, byte_bpe, chat_format, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, spot_signatures
 from .common import crc_text, table
 
 sha256_text = line_dedup.sha256_text
@@ -51,6 +51,10 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *pii.counts())
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return attention_lm.score(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     decoded = byte_bpe.round_trip(table(spark, folder, "documents"), path)
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
