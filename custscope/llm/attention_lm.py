@@ -11,7 +11,6 @@ one before it, and every subword is scored once. Training reads a bounded sample
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,9 @@ from .packing import ids_of_words, tokenizer
 
 #: Fixed values of the tokenizer: its ids, the one before a text and the one that ends it.
 VOCABULARY, BEGIN, END = 49408, 49406, 49407
-WINDOW, CONTEXT = 32, 8
+WINDOW, CONTEXT = 32, 4
+#: Windows scored at once: their arrays stay in a core's cache.
+BATCH = 40
 #: Documents that training reads at most, and subwords of each (the scored texts are never cut).
 SAMPLE = 1500
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -71,18 +72,18 @@ class AttentionLm:
         w = self.weights
         n = ids.shape[1]
         x = w["embed"][ids] + w["place"][:n]
-        q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = ((flat @ w[name]).reshape(x.shape) for name in ("query", "key", "value"))
         energy = q @ k.transpose(0, 2, 1) * np.float32(1 / np.sqrt(WIDTH))
-        energy += np.triu(np.full((n, n), -1e9, np.float32), 1)  # no subword sees a later one
-        energy -= energy.max(2, keepdims=True)
-        a = np.exp(energy)
-        a /= a.sum(2, keepdims=True)
+        a = np.exp(np.clip(energy, -60, 60, out=energy), out=energy)
+        a *= np.tri(n, dtype=np.float32)  # no subword sees a later one
+        a /= (a.reshape(-1, n) @ np.ones(n, np.float32)).reshape(-1, n, 1)
         mixed = a @ v
         h = np.tanh(x + mixed @ w["merge"])
-        logits = h @ w["out"] + w["bias"]
-        logits -= logits.max(2, keepdims=True)
+        # h lies between -1 and 1 and weights are small, so the exponential stays finite without a shift.
+        logits = (h.reshape(-1, WIDTH) @ w["out"] + w["bias"]).reshape(*ids.shape, -1)
         p = np.exp(logits)
-        total = p.sum(2, keepdims=True)
+        total = (p.reshape(-1, p.shape[2]) @ np.ones(p.shape[2], np.float32)).reshape(*ids.shape, 1)
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "logits": logits, "p": p, "total": total}
 
     def gradients(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -130,8 +131,8 @@ class AttentionLm:
         sizes = np.fromiter(map(len, inputs), np.int64, len(inputs))
         order = np.argsort(sizes, kind="stable")
         owners, firsts = np.asarray(owners), np.asarray(firsts)
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
+        for k in range(0, len(order), BATCH):
+            some = order[k : k + BATCH]
             longest = sizes[some].max()
             # Later subwords are masked for earlier ones, so what fills the end of a row changes nothing before it.
             ids, want = (np.full((len(some), longest), END, np.int64) for _ in range(2))
@@ -210,21 +211,29 @@ def tokens(text: str) -> list[bytes]:
 
 def _streams(path: str, docs: list[list[bytes]]) -> list[np.ndarray]:
     """Subword ids of each document, from its words."""
-    text = {w: w.decode("utf-8", "surrogatepass") for w in set().union(*docs)} if docs else {}
-    found = ids_of_words(path, set(text.values()))
-    ids = {w: found[t] for w, t in text.items()}
-    return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4").astype(np.int64) for words in docs]
+    words = list(set().union(*docs))
+    found = dict(zip(words, spelled(path, words), strict=True))
+    return [_joined(map(found.__getitem__, words)) for words in docs]
+
+
+def _joined(parts) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
+
+
+def spelled(path: str, words: list[bytes]) -> list[bytes]:
+    """16-bit subword ids of each word."""
+    text = [w.decode("utf-8", "surrogatepass") for w in words]
+    found = ids_of_words(path, set(text))
+    return [np.frombuffer(found[t], "<u4").astype("<u2").tobytes() for t in text]
 
 
 def _block_words(table: pa.Table) -> pa.Table:
     """The distinct words of a block and how often its training documents have each."""
-    counted, block = Counter(), table["block"][0].as_py()
-    for text, learned in zip(table["text"], table["learned"], strict=True):
-        words = tokens(text.as_py())
-        if learned.as_py():
-            counted.update(words)
-        else:
-            counted.update(dict.fromkeys(set(words).difference(counted), 0))
+    counted, block = {}, table["block"][0].as_py()
+    for text, learned in zip(table["text"].to_pylist(), table["learned"].to_pylist(), strict=True):
+        step = int(learned)
+        for word in tokens(text):
+            counted[word] = counted.get(word, 0) + step
     return pa.table({
         "word": pa.array(list(counted), pa.binary()), "block": pa.array([block] * len(counted), pa.int32()),
         "n": pa.array(list(counted.values()), pa.int64())})
@@ -238,13 +247,24 @@ def closing(path: str) -> np.ndarray:
     return out
 
 
+def _spell(path: str):
+    """Adds subword ids to rows that come sorted by word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch["word"].dictionary_encode()
+            ids = pa.array(spelled(path, coded.dictionary.to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids.take(coded.indices)], [*batch.schema.names, "ids"])
+
+    return run
+
+
 def _subword_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, closes = np.zeros(2 * VOCABULARY, np.int64), closing(path)
         for batch in batches:
-            streams = _streams(path, [[w] for w in batch["word"].to_pylist()])
-            sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-            ids = np.concatenate([*streams, np.empty(0, np.int64)])
+            parts = batch["ids"].to_pylist()
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+            ids = _joined(parts)
             inside = np.zeros(len(ids), bool)
             inside[1:] = ~closes[ids[:-1]]
             inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
@@ -255,21 +275,25 @@ def _subword_counts(path: str):
     return run
 
 
-def _score_block(path: str, model, n_tokens: int, n_words: int, end_count: int):
+def _score_block(model, n_tokens: int, n_words: int, end_count: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = dict(zip(counts["word"].to_pylist(), counts["c"].to_pylist(), strict=True))
+        row_of = {w: i for i, w in enumerate(counts["word"].to_pylist())}
+        count_of, ids_of = counts["c"].to_numpy(), counts["ids"].to_pylist()
         rare = np.log10(n_tokens + 1.0 * (n_words + 1))
         end = np.log10(end_count + 1.0) - rare
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         texts = docs["text"]
         for k in range(0, len(texts), 256):
             words = [tokens(t) for t in texts[k : k + 256].to_pylist()]
+            streams = []
             for own in words:
-                c = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                at = list(map(row_of.__getitem__, own))
+                streams.append(_joined(map(ids_of.__getitem__, at)))
+                c = count_of[at] if at else np.empty(0, np.int64)
                 out["n_tokens"].append(len(own) + 1)
                 out["n_known"].append(int((c > 0).sum()) + (end_count > 0))
                 out["base_score"].append(float((np.log10(c + 1.0) - rare).sum() + end))
-            out["score"] += model.value.score(_streams(path, words)).tolist()
+            out["score"] += model.value.score(streams).tolist()
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"],
             **{k: pa.array(v, pa.int64() if k.startswith("n_") else pa.float64()) for k, v in out.items()}})
@@ -295,13 +319,14 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
     own = Window.partitionBy("word")
     counted = stage(words.select(
         "word", "block", "n", F.sum("n").over(own).alias("c"),
-        (F.row_number().over(own.orderBy("block")) == 1).alias("first")), "word-counts")
+        (F.row_number().over(own.orderBy("block")) == 1).alias("first"),
+    ).mapInArrow(_spell(tokenizer_path), "word binary, block int, n bigint, c bigint, first boolean, ids binary"), "word-counts")
     ends = dealt.where("learned").count()
     total, distinct = counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
     counts = np.zeros(2 * VOCABULARY, np.int64)
-    per_id = counted.where("first AND c > 0").select("word", "c").mapInArrow(
+    per_id = counted.where("first AND c > 0").select("ids", "c").mapInArrow(
         _subword_counts(tokenizer_path), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     for row in per_id.collect():  # two rows at most per subword of the vocabulary
         counts[row["id"]] = row["n"]
@@ -315,8 +340,8 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
     model = spark.sparkContext.broadcast(
         fit(_streams(tokenizer_path, sampled), counts.reshape(2, VOCABULARY), closing(tokenizer_path)))
     scored = dealt.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(
-        counted.select("word", "c", "block").groupBy("block")
+        counted.select("word", "c", "ids", "block").groupBy("block")
     ).applyInArrow(
-        _score_block(tokenizer_path, model, total, distinct, ends),
+        _score_block(model, total, distinct, ends),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
