@@ -6,13 +6,14 @@ their first n - ceil(t n) + 1 members. A member that occurs in one document only
 take no part after that step, and members common to many documents stand last in the order and out of the prefixes.
 
 1. Documents with equal sets are one node. Nodes that have shareable prefix members go to a table, each once.
-2. Prefix members are sorted by member and length. Within a run of nodes that share one, the first of each length
-   band is the hub: it is compared with all nodes behind it, so a run gives as many pairs as it has nodes.
+2. Prefix members are sorted. Within a run of nodes that share one, the first is the hub: it is compared with the
+   others, so a run gives as many pairs as it has nodes. Linked nodes become one component; then runs that still
+   hold several components get another hub, until a round joins nothing.
 3. Pairs are compared in a prefix tree: the sets that meet one hub lie in the global order with the lengths of their
    common prefixes, which is the tree walked depth first. Overlaps counted along a shared prefix are used by all
    sets below it, and a branch whose remaining lengths cannot reach the wanted overlap is left.
-4. Linked nodes become one component. Runs that still hold several components are joined across components and those
-   pairs are compared as well: no link that would join two components is missed.
+4. Runs that still hold several components are joined across components and those pairs are compared as well, so
+   no link that would join two components is missed.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .components import components
 #: Documents in which a member of each level occurs at least, and bits over all members of that level.
 LEVELS = ((2, 1 << 27), (8, 1 << 25), (64, 1 << 24), (1024, 1 << 24))
 SPREAD = 16
+#: Rounds of hubs at most; whatever they leave unjoined is compared pair by pair.
+ROUNDS = 6
 
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
@@ -157,15 +160,16 @@ def _prefixes(width: int, num: int, den: int, rarity):
 
 
 def _hub_pairs(num: int, den: int):
-    """Rows come sorted by (member, n, node): pairs of each node with the hub of its run and length band."""
+    """Rows come sorted by member: pairs of each node with the first of its run, if sizes allow and roots differ."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = hub = size = None
+        member = hub = size = own = None
         for batch in batches:
             out = set()
-            for m, node, n in zip(*(batch[c].to_pylist() for c in ("member", "node", "n")), strict=True):
-                if m != member or den * size < num * n:
-                    member, hub, size = m, node, n
-                elif node != hub:
+            rows = zip(*(batch[c].to_pylist() for c in ("member", "node", "n", "root")), strict=True)
+            for m, node, n, root in rows:
+                if m != member:
+                    member, hub, size, own = m, node, n, root
+                elif root != own and den * min(size, n) >= num * max(size, n):
                     out.add((hub, node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
@@ -259,23 +263,31 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
             _prefixes(width, num, den, rarity), "node bigint, n bigint, prefix array<bigint>, members binary"), "nodes")
     sets = nodes.select("node", "members").dropDuplicates(["node"])
     runs = stage(nodes.select("node", "n", F.explode("prefix").alias("member")).distinct(), "prefixes")
-    first = stage(
-        runs.repartition(parts, "member").sortWithinPartitions("member", "n", "node")
-        .mapInArrow(_hub_pairs(num, den), "a bigint, b bigint").distinct(), "pairs")
-    links = stage(linked(first, sets, num, den), "linked")
-    # Runs that hold several components yet: pairs across them.
-    roots = components(links)
-    labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("member").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    open_ = stage(labelled.join(mixed.select("member"), "member", "left_semi"), "open-runs")
+    # Rounds of hubs, another one per run in each, until a round joins nothing.
+    links = roots = None
+    open_ = runs.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        order = F.xxhash64("node", F.lit(turn))
+        pairs = (
+            open_.repartition(parts, "member").withColumn("_order", order).sortWithinPartitions("member", "_order")
+            .select("member", "node", "n", "root").mapInArrow(_hub_pairs(num, den), "a bigint, b bigint").distinct()
+        )
+        fresh = stage(linked(pairs, sets, num, den), "linked")
+        if turn and fresh.isEmpty():
+            break
+        links = fresh if links is None else links.unionByName(fresh)
+        roots = components(links)
+        # Only runs that still hold several components are looked at again.
+        labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = labelled.groupBy("member").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+        open_ = stage(labelled.join(mixed.where("_low <> _high").select("member"), "member", "left_semi"), "open-runs")
+    # What is left: pairs across components within a run.
     left, right = (open_.select("member", *[F.col(c).alias(c + s) for c in ("node", "n", "root")]) for s in "12")
     second = stage(
         left.join(right, "member").where("root1 < root2")
         .where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)")
         .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "pairs")
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(second.join(tested, ["a", "b"], "left_anti"), sets, num, den)
-    merged = components(links.unionByName(more))
+    merged = components(links.unionByName(linked(second, sets, num, den)))
     # A component is named by its smallest document; a node without links is its own component.
     placed = members.join(merged, "node", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("_root"))
