@@ -24,7 +24,9 @@ from .common import blocks, doc_texts, slabs
 
 CAPACITY = 2048
 END_ID = 0
-_CACHED_WORDS, _CACHED_CHARS = 200_000, 40
+_CACHED_WORDS, _CACHED_CHARS = 500_000, 40
+#: Marks that never belong to a contraction.
+_MARKS = ".,!?;:*#$%&|"
 _RANK_BITS = 40
 
 
@@ -39,26 +41,43 @@ def tokenizer(path: str):
     return loaded, {}
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A word and the marks after its last letter: the vocabulary's pattern always parts them."""
+    core = word.rstrip(_MARKS)
+    return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
+
+
 def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
     """Little-endian 32-bit ids of each word, from a cache that is emptied when full."""
     loaded, cache = tokenizer(path)
     if len(cache) + len(words) > _CACHED_WORDS:
         cache.clear()
-    missing = list(words.difference(cache))
-    fresh = loaded.encode_batch_fast(missing, add_special_tokens=False)
-    found = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(missing, fresh, strict=True)}
-    if len(words) > len(missing):
-        known = {w: cache[w] for w in words if w not in found}
-        cache.update((w, i) for w, i in found.items() if len(w) <= _CACHED_CHARS)
-        return found | known
-    cache.update((w, i) for w, i in found.items() if len(w) <= _CACHED_CHARS)
-    return found
+    split = {w: _parts(w) for w in words.difference(cache)}
+    unknown = list({p for parts in split.values() for p in parts}.difference(cache))
+    found = {
+        p: np.asarray(e.ids, "<u4").tobytes()
+        for p, e in zip(unknown, loaded.encode_batch_fast(unknown, add_special_tokens=False), strict=True)
+    }
+    ids = lambda p: found[p] if p in found else cache[p]
+    fresh = {w: ids(core) + ids(marks) for w, (core, marks) in split.items()}
+    known = {w: cache[w] for w in words if w in cache}
+    cache.update((w, i) for made in (found, fresh) for w, i in made.items() if len(w) <= _CACHED_CHARS)
+    return known | fresh
+
+
+def _plain(text: str) -> str:
+    """The vocabulary has no capitals; those of the first 256 code points have one small form everywhere."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def document_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text. The vocabulary drops white space, so words between blanks are encoded apart."""
     for a, b in slabs(texts):
-        split = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
+        split = [_plain(t).replace("\n", " ").split(" ") for t in texts[a:b]]
         found = ids_of_words(path, set().union(*split))
         for words in split:
             yield b"".join(map(found.__getitem__, words))
