@@ -236,3 +236,13 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, ids and decoded bytes; ids whose offsets do not add up raise an error."""
     return encoded.select("doc_id", "ids", "ends").mapInArrow(
         _decode(vocabulary_path), "doc_id bigint, ids array<int>, decoded binary")
+
+
+def _round_trip(path: str):
+    encode_, decode_ = _encode(path), _decode(path)
+    return lambda batches: decode_(encode_(batches))
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """decode(encode(docs)) within one task, so ids and offsets do not leave the worker in between."""
+    return doc_texts(docs).mapInArrow(_round_trip(vocabulary_path), "doc_id bigint, ids array<int>, decoded binary")
