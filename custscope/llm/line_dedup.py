@@ -47,7 +47,8 @@ def key_hash(key: bytes) -> bytes:
 
 
 def _slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1)) % np.uint64(size)).astype(np.int64)
+    turn = np.uint64(0x9E3779B97F4A7C15 * (level + 1) % (1 << 64))
+    return (mix(keys + turn) % np.uint64(size)).astype(np.int64)
 
 
 def build_mph(keys: np.ndarray) -> tuple[list[int], bytes]:
