@@ -15,12 +15,12 @@ def string_array(values) -> Column:
 
 
 def item_label(items: Column) -> Column:
-    return F.array_join(F.array_sort(items), ITEM_SEPARATOR)
+    return F.array_join(F.sort_array(items), ITEM_SEPARATOR)
 
 
 def rule_items(antecedents: Column, consequents: Column) -> Column:
     """Sorted distinct families named by both sides of a rule."""
-    return F.array_sort(F.array_union(F.split(antecedents, ITEM_SEPARATOR), F.split(consequents, ITEM_SEPARATOR)))
+    return F.sort_array(F.array_union(F.split(antecedents, ITEM_SEPARATOR), F.split(consequents, ITEM_SEPARATOR)))
 
 
 def rule_arrow(antecedents: Column, consequents: Column) -> Column:

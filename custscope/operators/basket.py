@@ -47,7 +47,7 @@ def multi_family_baskets(
         order_families(drop_non_products(items, ignore))
         .where(F.size("familias") > 1)
         .join(segments.select("cliente_id", F.col("segmento_cluster").alias("segmento")), "cliente_id")
-        .select("order_id", "cliente_id", "segmento", F.array_sort("familias").alias("familias"))
+        .select("order_id", "cliente_id", "segmento", F.sort_array("familias").alias("familias"))
     )
 
 
@@ -89,7 +89,7 @@ def frequent_itemsets(
         found = miner.fit(staged.where(F.col("segmento") == row.segmento).select("familias")).freqItemsets
         return found.select(
             F.lit(row.segmento).alias("segmento"),
-            F.array_sort("items").alias("items"),
+            F.sort_array("items").alias("items"),
             "freq",
             F.lit(row.n_pedidos).alias("n_pedidos"),
         )

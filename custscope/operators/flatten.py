@@ -13,12 +13,16 @@ from custscope.sources.documents import document_time
 
 
 def lenient_double(c: Column) -> Column:
-    """A value that is not a number becomes NULL (plain casts raise in ANSI mode)."""
-    return c.try_cast("double")
+    """A value that is not a finite number becomes NULL: words, NaN, and numbers with a type letter behind them."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
 def lenient_long(c: Column) -> Column:
-    return c.try_cast("bigint")
+    """A whole number in any spelling ('3', '3.0', '3e2'); anything else becomes NULL."""
+    number = lenient_double(c)
+    whole = F.when((number == F.floor(number)) & (F.abs(number) < 2.0**63), number.try_cast("bigint"))
+    return F.coalesce(F.trim(c.cast("string")).try_cast("bigint"), whole)
 
 
 def num_products(products: Column) -> Column:

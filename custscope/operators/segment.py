@@ -155,8 +155,8 @@ def fit(
     )
 
 
-def k_scan(rfm: DataFrame, ks=range(2, 11), seed: int = 42) -> DataFrame:
-    """Inertia and silhouette per number of clusters."""
+def k_scan(rfm: DataFrame, ks=range(2, 11), seed: int = 42, n_init: int = 10) -> DataFrame:
+    """Inertia and silhouette (squared Euclidean) per number of clusters, of the best of `n_init` starts."""
     data = stage(rfm.select(*FEATURES), "kmeans-features")
     prepared = stage(
         Pipeline(stages=build_pipeline().getStages()[:-1]).fit(data).transform(data).select("scaled"),
@@ -164,7 +164,11 @@ def k_scan(rfm: DataFrame, ks=range(2, 11), seed: int = 42) -> DataFrame:
     )
     rows = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster_id", maxIter=300).fit(prepared)
+        starts = (
+            KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster_id", maxIter=300).fit(prepared)
+            for i in range(n_init)
+        )
+        model = min(starts, key=lambda m: m.summary.trainingCost)
         silhouette = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster_id").evaluate(
             model.transform(prepared)
         )
@@ -232,7 +236,7 @@ def _ranked_centroids(df: DataFrame, model: SegmentModel) -> DataFrame:
         )
         for i, c in enumerate(model.centroids)
     ]
-    return z.withColumn("_near", F.array_sort(F.array(*distances))).drop(*[f"z_{f}" for f in model.features])
+    return z.withColumn("_near", F.sort_array(F.array(*distances))).drop(*[f"z_{f}" for f in model.features])
 
 
 def _name(model: SegmentModel, index: Column) -> Column:

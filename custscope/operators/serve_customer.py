@@ -127,7 +127,7 @@ def _pairs(baskets: DataFrame, customer: str | None) -> DataFrame:
     kept = (
         baskets.withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(CUSTOMER_SALTS)).cast("int"))
         .join(_written(repeated, "repeated", customer).withColumn("_salt", salts), ["cliente_id", "_salt"])
-        .select("cliente_id", "_n", F.array_sort(F.array_intersect("familias", F.map_keys("_n"))).alias("_f"))
+        .select("cliente_id", "_n", F.sort_array(F.array_intersect("familias", F.map_keys("_n"))).alias("_f"))
         .where(F.size("_f") > 1)
     )
     pairs = kept.select("cliente_id", "_n", "_f", F.posexplode("_f").alias("_i", "familia_a")).select(

@@ -130,11 +130,6 @@ def urgent_kpis(segments: DataFrame) -> DataFrame:
     )
 
 
-# Earlier names of the two operators above.
-customers_at_risk = urgent_customers
-alert_kpis = urgent_kpis
-
-
 def reactivation_customers(segments: DataFrame) -> DataFrame:
     return _alert_rows(_to_reactivate(segments))
 

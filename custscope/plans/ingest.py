@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +17,17 @@ from custscope.sources.tables import (
 )
 
 
-@dataclass
-class IngestResult:
-    watermark_anterior: datetime | None
-    watermark_nuevo: datetime | None
-    n_orders_nuevos: int
-    n_items_nuevos: int
-    n_orders_total: int
-    n_items_total: int
-    skipped: bool
+@dataclass(frozen=True)
+class Load:
+    """What a load did to each table, and the high-water marks before and after it."""
+
+    orders: UpsertResult
+    items: UpsertResult
+    marks: tuple[datetime | None, datetime | None]
+
+    @property
+    def empty(self) -> bool:
+        return self.marks[0] == self.marks[1] and not self.orders.n_new
 
 
 def store_documents(spark: SparkSession, root: str, docs: DataFrame) -> tuple[UpsertResult, UpsertResult]:
@@ -41,27 +43,22 @@ def store_documents(spark: SparkSession, root: str, docs: DataFrame) -> tuple[Up
     return merged_orders, merged_items
 
 
-def run_ingest(spark: SparkSession, root: str, docs: DataFrame, until=None) -> IngestResult:
+def run_ingest(spark: SparkSession, root: str, docs: DataFrame, until=None) -> Load:
     """Loads what is newer than the history; does nothing when there is nothing."""
     orders_path, items_path = (table_path(root, VIEWS[v]) for v in ("orders", "items"))
     mark = stored_high_water_mark(spark, orders_path)
     # Staged, so that counting and loading parse the documents once.
     pending = stage(scan_incremental(docs, mark, until), "pending")
     if pending.isEmpty():
-        return IngestResult(
-            mark, mark, 0, 0,
-            stored_row_count(spark, orders_path) or 0, stored_row_count(spark, items_path) or 0, True,
-        )
+        idle = [UpsertResult(0, stored_row_count(spark, path) or 0, 0) for path in (orders_path, items_path)]
+        return Load(*idle, (mark, mark))
     orders, items = store_documents(spark, root, pending)
-    return IngestResult(
-        mark, stored_high_water_mark(spark, orders_path),
-        orders.n_new, items.n_new, orders.n_total, items.n_total, False,
-    )
+    return Load(orders, items, (mark, stored_high_water_mark(spark, orders_path)))
 
 
-def as_row(spark: SparkSession, result: IngestResult) -> DataFrame:
+def as_row(spark: SparkSession, load: Load) -> DataFrame:
     return spark.createDataFrame(
-        [tuple(asdict(result).values())],
-        "watermark_anterior timestamp, watermark_nuevo timestamp, n_orders_nuevos bigint, "
-        "n_items_nuevos bigint, n_orders_total bigint, n_items_total bigint, skipped boolean",
+        [(load.orders.n_new, load.items.n_new, load.orders.n_total, load.items.n_total, load.empty, *load.marks)],
+        "n_orders_nuevos bigint, n_items_nuevos bigint, n_orders_total bigint, n_items_total bigint, "
+        "skipped boolean, watermark_anterior timestamp, watermark_nuevo timestamp",
     )

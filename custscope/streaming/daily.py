@@ -13,11 +13,11 @@ BATCH = "lote"
 
 
 def daily_stream(
-    orders: DataFrame, segments: DataFrame, late_by: str = "7 days", tz: str = LOCAL_TIMEZONE
+    orders: DataFrame, segments: DataFrame, late_by: str, tz: str = LOCAL_TIMEZONE
 ) -> DataFrame:
     """One-day windows in local time per segment, joined with the static customer table.
 
-    State holds one row per open day and segment. Orders later than the event-time watermark are
+    `late_by` has no default, as it decides what is lost. State holds one row per open day and segment. Orders later than the event-time watermark are
     dropped; that watermark is unrelated to the high-water mark of the batch ingest.
     """
     local = orders.withColumn("local", local_time(F.col("fecha"), tz)).withWatermark("local", late_by)

@@ -387,7 +387,7 @@ def segment_confusion(spark, sf):
 
 @query("cluster_id:n segmento_cluster:s n_clientes:i")
 def kmeans_fit(spark, sf):
-    fitted = segment.fit(complete(spark, sf), "prueba", n_init=2)
+    fitted = segment.fit(complete(spark, sf), "prueba")
     return segment.centroid_profile(segment.score(complete(spark, sf), fitted), fitted)
 
 
@@ -401,7 +401,7 @@ def model_roundtrip(spark, sf):
     """Saves a model with its pipeline, loads both and scores all customers with each."""
     folder = fresh_path(spark, "models")
     features = stage(complete(spark, sf), "features")
-    fitted = segment.fit(features, "v2", n_init=1)
+    fitted = segment.fit(features, "v2")
     fitted.save(spark, folder)
     loaded = segment.SegmentModel.load(spark, "v2", folder)
     by_numbers = segment.score(features, loaded).select("cliente_id", F.col("cluster_id").alias("a"))
@@ -837,15 +837,13 @@ QUERIES["stream_daily"] = QUERIES.pop("stream_daily_orders")
 SPECS["stream_daily"] = SPECS.pop("stream_daily_orders")
 
 
-@query("modo:s exitoso:b pasos:s saltados:s error:s")
+@query("modo:s orden:i paso:s estado:s error:s")
 def pipeline_runs(spark, sf):
-    """A weekly run with ingest, then a daily one that reuses the rules, then a monthly one."""
+    """A weekly run with ingest, then a daily one that reuses the rules, then a monthly one: one row per step."""
     root = fresh_path(spark, "pipeline")
     source = stage(parsed(spark, sf), "documents")
     out = None
     for mode, day in (("weekly", m.AS_OF), ("daily", m.AS_OF + timedelta(days=1)), ("monthly", m.AS_OF + timedelta(days=2))):
-        row = job.summary_row(spark, job.run_pipeline(spark, root, source, mode, day))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumns({
-        "pasos": F.array_join("pasos_ejecutados", " "), "saltados": F.array_join("pasos_saltados", " ")
-    })
+        rows = job.run_pipeline(spark, root, source, mode, day).to_frame(spark)
+        out = rows if out is None else out.unionByName(rows)
+    return out

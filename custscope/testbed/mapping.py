@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custscope.operators.flatten import add_family, enrich_items
-from custscope.sources.tables import bytes_on_disk
 
 AS_OF = datetime(2001, 8, 2, tzinfo=timezone.utc)
 SNAPSHOT_AS_OF = datetime(2001, 7, 2, tzinfo=timezone.utc)
@@ -40,17 +39,9 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-SMALL_FILE_BYTES = 256 << 20
-
-
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. A small file holds one row group, hence one busy scan task however many
-    cores there are; its rows are spread. Tables of a real size are read as they are split."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = use_utc(spark).read.schema(_COLUMNS[name]).parquet(path)
-    if name in ("orders", "lineitem", "events") and bytes_on_disk(spark, path) < SMALL_FILE_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """One driver table, read as it is split."""
+    return use_utc(spark).read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

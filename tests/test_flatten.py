@@ -100,15 +100,15 @@ def history(spark, root):
 def test_ingest_runs(spark, source, tmp_path):
     root = str(tmp_path / "store")
     first = run_ingest(spark, root, source, datetime(2026, 1, 4, tzinfo=timezone.utc))
-    assert (first.n_orders_nuevos, first.n_items_nuevos, first.watermark_anterior) == (2, 5, None)
+    assert (first.orders.n_new, first.items.n_new, first.marks[0]) == (2, 5, None)
     # The two lines of one SKU in order 4 merge into the last one.
     orders, items = history(spark, root)
-    assert first.n_items_total == len(items) == 4
+    assert first.items.n_total == len(items) == 4
     assert [r.cantidad for r in items if r.order_id == "4"] == [2.0]
     second = run_ingest(spark, root, source, datetime(2026, 2, 1, tzinfo=timezone.utc))
-    assert (second.n_orders_nuevos, second.n_orders_total, second.skipped) == (1, 3, False)
+    assert (second.orders.n_new, second.orders.n_total, second.empty) == (1, 3, False)
     third = run_ingest(spark, root, source, datetime(2026, 2, 1, tzinfo=timezone.utc))
-    assert third.skipped and third.watermark_nuevo == second.watermark_nuevo == datetime(2026, 1, 5, 12, tzinfo=timezone.utc)
+    assert third.empty and third.marks[1] == second.marks[1] == datetime(2026, 1, 5, 12, tzinfo=timezone.utc)
 
 
 def test_upsert_moves_a_row_to_another_month(spark, tmp_path):
@@ -144,3 +144,15 @@ def test_views_and_counts(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM orders").first()[0] == 3
     assert tables.stored_row_count(spark, tables.table_path(root, "nada")) is None
     assert tables.stored_high_water_mark(spark, tables.table_path(root, "nada")) is None
+
+
+def test_lenient_casts_of_odd_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from custscope.operators.flatten import lenient_double, lenient_long
+
+    texts = ["3.0", "1e3", " 7 ", "NaN", "1.5d", "x", "", "2.5", "9007199254740993"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").orderBy("i")
+    got = rows.select(lenient_double(F.col("t")).alias("d"), lenient_long(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [3, 1000, 7, None, None, None, None, None, 9007199254740993, None]
+    assert [r.d for r in got] == [3.0, 1000.0, 7.0, None, None, None, None, 2.5, 9007199254740992.0, None]

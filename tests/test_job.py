@@ -30,10 +30,10 @@ def store(spark, tmp_path_factory):
 
 def test_modes(spark, store):
     root, weekly, daily, monthly = store
-    assert weekly.exitoso and weekly.pasos_ejecutados == ["ingest", "segmentacion", "mba", "temporalidad"]
-    assert daily.exitoso and daily.pasos_saltados == ["mba"]
-    assert monthly.exitoso and monthly.pasos_saltados == ["ingest", "drift_check"]
-    assert "snapshot" in monthly.pasos_ejecutados
+    assert weekly.failure is None and weekly.names("done") == ["ingest", "segmentacion", "mba", "temporalidad"]
+    assert daily.failure is None and daily.names("skipped") == ["mba"]
+    assert monthly.failure is None and monthly.names("skipped") == ["ingest", "drift_check"]
+    assert "snapshot" in monthly.names("done")
     snapshot = spark.read.parquet(tables.table_path(root, job.SNAPSHOTS))
     assert set(snapshot.columns) == {*SNAPSHOT_COLUMNS, "snapshot_month"}
     with pytest.raises(ValueError, match="mode"):
@@ -43,8 +43,8 @@ def test_modes(spark, store):
 def test_failed_check_is_reported(spark, store, monkeypatch):
     monkeypatch.setattr(job.quality, "enforce", lambda check: (_ for _ in ()).throw(QualityCheckFailed("mal")))
     summary = job.run_pipeline(spark, store[0], None, "daily", m.AS_OF)
-    assert summary.error == "QualityCheckFailed: mal" and not summary.exitoso
-    assert job.summary_row(spark, summary).first().exitoso is False
+    assert summary.failure == "QualityCheckFailed: mal"
+    assert summary.to_frame(spark).orderBy("orden").collect()[-1].error == summary.failure
 
 
 def test_views(spark, store):
