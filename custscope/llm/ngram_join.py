@@ -6,9 +6,12 @@ their first n - ceil(t n) + 1 members. A member that occurs in one document only
 take no part after that step, and members common to many documents stand last in the order and out of the prefixes.
 
 1. Documents with equal sets are one node. Nodes that have shareable prefix members go to a table, each once.
-2. Prefix members are sorted. Within a run of nodes that share one, the first is the hub: it is compared with the
-   others, so a run gives as many pairs as it has nodes. Linked nodes become one component; then runs that still
-   hold several components get another hub, until a round joins nothing.
+2. Prefix members are sorted. Within a run of nodes that share one, the node with the fewest members before it is the
+   hub: it is compared with the others, so a run gives at most as many pairs as it has nodes. Linked nodes become one
+   component; then runs that still hold several components get another hub, until a round joins nothing.
+   Every row of a run carries the place of the member in its set. Where it is the first member that two sets share,
+   they share no more than what remains from there on in the shorter rest; pairs that this bound rules out are left,
+   here and in step 4. If it is not the first one, the pair also meets in the run of the first one.
 3. Pairs are compared in a prefix tree: the sets that meet one hub lie in the global order with the lengths of their
    common prefixes, which is the tree walked depth first. Overlaps counted along a shared prefix are used by all
    sets below it, and a branch whose remaining lengths cannot reach the wanted overlap is left.
@@ -36,6 +39,11 @@ SPREAD = 16
 ROUNDS = 6
 
 
+def _may_reach(n1: F.Column, at1: F.Column, n2: F.Column, at2: F.Column, num: int, den: int) -> F.Column:
+    """Whether two sets that share nothing before these places can still share what the likeness takes."""
+    return (num + den) * F.least(n1 - at1, n2 - at2) >= num * (n1 + n2)
+
+
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """Ascending hashes of the n-grams of each text; A-Z are lower-cased."""
     for a, b in slabs(texts, 1 << 20):
@@ -149,27 +157,29 @@ def _prefixes(width: int, num: int, den: int, rarity):
                     prefix = codes[: len(codes) - least_overlap(len(codes), num, den) + 1]
                     shared = prefix[prefix >= np.uint64(1 << 60)]
                     if len(shared):
-                        rows.append((node, len(codes), shared.view(np.int64), codes.astype(">u8").tobytes()))
+                        skipped = len(prefix) - len(shared)
+                        rows.append((node, len(codes), skipped, shared.view(np.int64), codes.astype(">u8").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                         pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-                        ["node", "n", "prefix", "members"])
+                         pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                         pa.array([r[4] for r in rows], pa.binary())],
+                        ["node", "n", "skipped", "prefix", "members"])
 
     return run
 
 
 def _hub_pairs(num: int, den: int):
-    """Rows come sorted by member: pairs of each node with the first of its run, if sizes allow and roots differ."""
+    """Rows come sorted by member: pairs of each node with the first of its run, if the bound allows and roots differ."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = hub = size = own = None
+        member = hub = size = rest = own = None
         for batch in batches:
             out = set()
-            rows = zip(*(batch[c].to_pylist() for c in ("member", "node", "n", "root")), strict=True)
-            for m, node, n, root in rows:
+            rows = zip(*(batch[c].to_pylist() for c in ("member", "node", "n", "at", "root")), strict=True)
+            for m, node, n, at, root in rows:
                 if m != member:
-                    member, hub, size, own = m, node, n, root
-                elif root != own and den * min(size, n) >= num * max(size, n):
+                    member, hub, size, rest, own = m, node, n, n - at, root
+                elif root != own and (num + den) * min(rest, n - at) >= num * (size + n):
                     out.add((hub, node))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
@@ -239,6 +249,16 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _still_open(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of runs that hold several components, without those that no other size in their run can match."""
+    spread = [F.min("root").alias("_low"), F.max("root").alias("_high")]
+    mixed = labelled.groupBy("member").agg(*spread, F.min("n").alias("_least")).where("_low <> _high")
+    able = labelled.join(mixed.select("member", "_least"), "member").where(
+        (num + den) * (F.col("n") - F.col("at")) >= num * (F.col("n") + F.col("_least"))).drop("_least")
+    mixed = able.groupBy("member").agg(*spread).where("_low <> _high")
+    return able.join(mixed.select("member"), "member", "left_semi")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -260,17 +280,21 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     rarity = spark.sparkContext.broadcast(Rarity(levels.collect(), parts))
     nodes = stage(
         known.select("text").mapInArrow(
-            _prefixes(width, num, den, rarity), "node bigint, n bigint, prefix array<bigint>, members binary"), "nodes")
+            _prefixes(width, num, den, rarity),
+            "node bigint, n bigint, skipped bigint, prefix array<bigint>, members binary"), "nodes")
     sets = nodes.select("node", "members").dropDuplicates(["node"])
-    runs = stage(nodes.select("node", "n", F.explode("prefix").alias("member")).distinct(), "prefixes")
+    placed = nodes.select("node", "n", "skipped", F.posexplode("prefix").alias("_at", "member"))
+    runs = stage(
+        placed.select("node", "n", (F.col("skipped") + F.col("_at")).alias("at"), "member").distinct(), "prefixes")
     # Rounds of hubs, another one per run in each, until a round joins nothing.
     links = roots = None
     open_ = runs.withColumn("root", F.col("node"))
     for turn in range(ROUNDS):
-        order = F.xxhash64("node", F.lit(turn))
+        # The first hub has the fewest rare members of its own, so it is the nearest to what the run has in common.
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("at")
         pairs = (
-            open_.repartition(parts, "member").withColumn("_order", order).sortWithinPartitions("member", "_order")
-            .select("member", "node", "n", "root").mapInArrow(_hub_pairs(num, den), "a bigint, b bigint").distinct()
+            open_.repartition(parts, "member").withColumn("_order", order).sortWithinPartitions("member", "_order", "node")
+            .select("member", "node", "n", "at", "root").mapInArrow(_hub_pairs(num, den), "a bigint, b bigint").distinct()
         )
         fresh = stage(linked(pairs, sets, num, den), "linked")
         if turn and fresh.isEmpty():
@@ -279,13 +303,12 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         roots = components(links)
         # Only runs that still hold several components are looked at again.
         labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("member").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-        open_ = stage(labelled.join(mixed.where("_low <> _high").select("member"), "member", "left_semi"), "open-runs")
+        open_ = stage(_still_open(labelled, num, den), "open-runs")
     # What is left: pairs across components within a run.
-    left, right = (open_.select("member", *[F.col(c).alias(c + s) for c in ("node", "n", "root")]) for s in "12")
+    left, right = (open_.select("member", *[F.col(c).alias(c + s) for c in ("node", "n", "at", "root")]) for s in "12")
     second = stage(
         left.join(right, "member").where("root1 < root2")
-        .where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)")
+        .where(_may_reach(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), num, den))
         .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "pairs")
     merged = components(links.unionByName(linked(second, sets, num, den)))
     # A component is named by its smallest document; a node without links is its own component.
