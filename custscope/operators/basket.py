@@ -22,8 +22,6 @@ MIN_SUPPORT_PCT = 0.001
 MIN_CONFIDENCE = 0.20
 MIN_LIFT = 3.0
 TOP_ACTIONABLE = 30
-PARALLEL_SEGMENTS = 5
-BASKETS_PER_PARTITION = 50_000
 
 _ITEMSETS = "segmento string, items array<string>, freq bigint, n_pedidos bigint"
 
@@ -64,27 +62,27 @@ def support_thresholds(
 
 
 def frequent_itemsets(
-    baskets: DataFrame, min_count: int = MIN_SUPPORT_COUNT, min_pct: float = MIN_SUPPORT_PCT
+    baskets: DataFrame, min_count: int = MIN_SUPPORT_COUNT, min_pct: float = MIN_SUPPORT_PCT,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Item sets of every size that reach their segment's threshold, mined with FP-Growth.
 
     Baskets are written once, partitioned by segment, so each segment's passes read only its own
-    files. The loop runs over segments (the clusters of the model), never over data rows.
+    files. The loop runs over segments (the clusters of the model), never over data rows. Each segment
+    is mined in `partitions` parts, as many as the session's default parallelism if none are given.
     """
     spark = baskets.sparkSession
     staged = stage(baskets.select("segmento", "familias"), "baskets", ["segmento"])
     sizes = support_thresholds(staged, min_count, min_pct).where(~F.col("se_omite")).collect()
 
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or spark.sparkContext.defaultParallelism
 
     def mine(row) -> DataFrame:
         miner = FPGrowth(
             itemsCol="familias",
             # Half a basket below the count: the library rounds the fraction up.
             minSupport=(row.umbral - 0.5) / row.n_pedidos,
-            # Each basket is sent to every partition that owns one of its families, so small
-            # segments mine in few partitions and large ones in as many as the cluster is set to.
-            numPartitions=max(1, min(most, row.n_pedidos // BASKETS_PER_PARTITION)),
+            numPartitions=parts,
         )
         found = miner.fit(staged.where(F.col("segmento") == row.segmento).select("familias")).freqItemsets
         return found.select(
@@ -96,7 +94,7 @@ def frequent_itemsets(
 
     # Segments are independent: their jobs run side by side, so a small one does not leave the
     # cluster idle.
-    with ThreadPoolExecutor(max_workers=max(1, min(len(sizes), PARALLEL_SEGMENTS))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, len(sizes))) as pool:
         mined = list(pool.map(mine, sizes))
     # Read three times by the rules (set, left side, right side): mine once.
     return stage(reduce(DataFrame.unionByName, mined, spark.createDataFrame([], _ITEMSETS)), "itemsets")

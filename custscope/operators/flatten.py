@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from custscope.functions.guards import require_columns
 from custscope.schema import NON_PRODUCT_SKUS
-from custscope.sources.documents import document_time
+from custscope.sources.documents import document_id, document_time, plain
 
 
 def lenient_double(c: Column) -> Column:
     """A value that is not a finite number becomes NULL: words, NaN, and numbers with a type letter behind them."""
-    text = F.trim(c.cast("string"))
+    text = F.trim(plain(c.cast("string")))
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
@@ -22,7 +22,7 @@ def lenient_long(c: Column) -> Column:
     """A whole number in any spelling ('3', '3.0', '3e2'); anything else becomes NULL."""
     number = lenient_double(c)
     whole = F.when((number == F.floor(number)) & (F.abs(number) < 2.0**63), number.try_cast("bigint"))
-    return F.coalesce(F.trim(c.cast("string")).try_cast("bigint"), whole)
+    return F.coalesce(F.trim(plain(c.cast("string"))).try_cast("bigint"), whole)
 
 
 def num_products(products: Column) -> Column:
@@ -36,8 +36,8 @@ def num_products(products: Column) -> Column:
 def flatten_orders(docs: DataFrame) -> DataFrame:
     header = "pedido.encabezado"
     return docs.select(
-        F.col("_id").alias("order_id"),
-        F.col(f"{header}.cliente").alias("cliente_id"),
+        document_id().alias("order_id"),
+        plain(F.col(f"{header}.cliente")).alias("cliente_id"),
         F.col(f"{header}.nombre").alias("nombre_cliente"),
         document_time().alias("fecha"),
         lenient_double(F.col(f"{header}.pago")).alias("pago_total"),
@@ -57,8 +57,8 @@ def explode_items(docs: DataFrame) -> DataFrame:
     """
     header = "pedido.encabezado"
     lines = docs.select(
-        F.col("_id").alias("order_id"),
-        F.col(f"{header}.cliente").alias("cliente_id"),
+        document_id().alias("order_id"),
+        plain(F.col(f"{header}.cliente")).alias("cliente_id"),
         document_time().alias("fecha"),
         F.col(f"{header}.tipodecambio").alias("cambio"),
         F.posexplode("pedido.detalle.producto").alias("posicion", "p"),

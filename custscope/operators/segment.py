@@ -324,7 +324,10 @@ def snapshot_agreement(now: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def segment_confusion(now: DataFrame, snapshot: DataFrame, names: list[str] = SEGMENT_ORDER) -> DataFrame:
-    """Rows: segment in the snapshot; one column per current segment."""
+def segment_confusion(now: DataFrame, snapshot: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Rows: segment in the snapshot; one column per current segment: the usual five and any further ones."""
+    if names is None:
+        held = now.select("segmento_cluster").distinct().where(F.col("segmento_cluster").isNotNull()).collect()
+        names = [*SEGMENT_ORDER, *sorted({r[0] for r in held} - set(SEGMENT_ORDER))]
     counts = _paired(now, snapshot).groupBy("snapshot").pivot("actual", names).agg(F.count(F.lit(1)))
     return counts.fillna(0, names)

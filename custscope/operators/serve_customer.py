@@ -16,7 +16,6 @@ from custscope.sources.staging import stage
 
 MIN_TOGETHER = 2
 STRONG_PAIR = 0.30
-CUSTOMER_SALTS = 16
 
 
 def _one(df: DataFrame, customer: str | None) -> DataFrame:
@@ -111,31 +110,22 @@ def _pairs(baskets: DataFrame, customer: str | None) -> DataFrame:
 
     Columns: n_ordenes (orders with both), n_a and n_b (orders with each). A pair seen twice
     needs both families seen twice, so a customer's rarer families are dropped before any pair is
-    built. The families that remain travel as one map per customer, bounded by the catalogue, and
-    each order builds pairs from its own list only; pairs are counted map-side before the shuffle.
+    built. The count of a family meets the orders by customer and family, a far finer key than the
+    customer, and each order builds pairs from its own list only; pairs are counted map-side.
     """
-    repeated = (
-        baskets.select("cliente_id", F.explode("familias").alias("familia"))
-        .groupBy("cliente_id", "familia").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_TOGETHER)
-        .groupBy("cliente_id").agg(F.map_from_entries(F.collect_list(F.struct("familia", "n"))).alias("_n"))
-        .where(F.size("_n") > 1)
-    )
-    # The salt spreads the orders of one customer over several tasks. It is not a key of the count
-    # below, so the pairs are combined where they are built and shuffled after that.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(CUSTOMER_SALTS - 1)))
+    lines = baskets.select("cliente_id", "order_id", F.explode("familias").alias("familia"))
+    repeated = lines.groupBy("cliente_id", "familia").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOGETHER)
     kept = (
-        baskets.withColumn("_salt", F.pmod(F.xxhash64("order_id"), F.lit(CUSTOMER_SALTS)).cast("int"))
-        .join(_written(repeated, "repeated", customer).withColumn("_salt", salts), ["cliente_id", "_salt"])
-        .select("cliente_id", "_n", F.sort_array(F.array_intersect("familias", F.map_keys("_n"))).alias("_f"))
+        lines.join(_written(repeated, "repeated", customer), ["cliente_id", "familia"])
+        .groupBy("cliente_id", "order_id").agg(F.sort_array(F.collect_list(F.struct("familia", "n"))).alias("_f"))
         .where(F.size("_f") > 1)
     )
-    pairs = kept.select("cliente_id", "_n", "_f", F.posexplode("_f").alias("_i", "familia_a")).select(
-        "cliente_id", "familia_a", F.element_at("_n", F.col("familia_a")).alias("n_a"), "_n",
-        F.explode(F.slice("_f", F.col("_i") + 2, F.size("_f"))).alias("familia_b"),
-    )
+    pairs = kept.select("cliente_id", "_f", F.posexplode("_f").alias("_i", "_a")).select(
+        "cliente_id", "_a", F.explode(F.slice("_f", F.col("_i") + 2, F.size("_f"))).alias("_b"))
     return (
-        pairs.withColumn("n_b", F.element_at("_n", F.col("familia_b")))
+        pairs.select(
+            "cliente_id", F.col("_a.familia").alias("familia_a"), F.col("_b.familia").alias("familia_b"),
+            F.col("_a.n").alias("n_a"), F.col("_b.n").alias("n_b"))
         .groupBy("cliente_id", "familia_a", "familia_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_ordenes"))
         .where(F.col("n_ordenes") >= MIN_TOGETHER)
     )

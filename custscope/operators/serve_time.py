@@ -14,6 +14,9 @@ from custscope.functions.timeparts import as_day, weekday_name
 
 
 def _chosen(df: DataFrame, segments: str | Iterable[str] | None, column: str = "segmento_cluster") -> DataFrame:
+    """All segments where none is named, also those beyond the usual five."""
+    if not segments:
+        return df.where(F.col(column).isNotNull())
     return df.where(F.col(column).isin(segment_list(segments)))
 
 

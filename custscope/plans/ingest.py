@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 from custscope.operators.flatten import add_family, enrich_items, explode_items, flatten_orders
 from custscope.schema import ITEM_KEYS, ORDER_KEYS
-from custscope.sources.documents import scan_incremental
+from custscope.sources.documents import document_time, scan_incremental, undated
 from custscope.sources.staging import stage
 from custscope.sources.tables import (
     VIEWS, UpsertResult, stored_high_water_mark, stored_row_count, table_path, upsert,
 )
 
+log = logging.getLogger(__name__)
+REJECTED = "rechazados"
+
 
 @dataclass(frozen=True)
 class Load:
@@ -30,12 +34,26 @@ class Load:
         return self.marks[0] == self.marks[1] and not self.orders.n_new
 
 
+def set_aside(spark: SparkSession, root: str, docs: DataFrame, origin: str) -> int:
+    """Writes sold documents without a readable time to `rechazados` and says how many there are.
+
+    Each origin (the batch load, or one batch of a stream) replaces its own folder, so a repeated load leaves them once.
+    """
+    path = f"{table_path(root, REJECTED)}/origen={origin}"
+    undated(docs).write.mode("overwrite").parquet(path)
+    n = stored_row_count(spark, path) or 0
+    if n:
+        log.error("%d documents have no readable time; they are in %s", n, path)
+    return n
+
+
 def store_documents(spark: SparkSession, root: str, docs: DataFrame) -> tuple[UpsertResult, UpsertResult]:
     """Flattens sold documents and merges them into the order and item history.
 
     Items go first: the high-water mark is read from the orders, so a run that fails in between
     is picked up again by the next one.
     """
+    docs = docs.where(document_time().isNotNull())
     orders = flatten_orders(docs).withColumn("posicion", F.coalesce(F.unix_micros("fecha"), F.lit(0)))
     items = add_family(enrich_items(explode_items(docs)))
     merged_items = upsert(spark, table_path(root, VIEWS["items"]), items, ITEM_KEYS, "posicion")
@@ -47,6 +65,7 @@ def run_ingest(spark: SparkSession, root: str, docs: DataFrame, until=None) -> L
     """Loads what is newer than the history; does nothing when there is nothing."""
     orders_path, items_path = (table_path(root, VIEWS[v]) for v in ("orders", "items"))
     mark = stored_high_water_mark(spark, orders_path)
+    set_aside(spark, root, docs, "lote")
     # Staged, so that counting and loading parse the documents once.
     pending = stage(scan_incremental(docs, mark, until), "pending")
     if pending.isEmpty():

@@ -33,8 +33,22 @@ def invoiced() -> Column:
     return F.coalesce(F.array_contains(F.map_keys(F.col("estatus")), INVOICED_STATUS), F.lit(False))
 
 
+def plain(c: Column) -> Column:
+    """A scalar as its own text: `{"$oid":"a"}`, `{"$date":"…"}` and `{"$numberLong":"3"}` give what they hold."""
+    inner = F.regexp_extract(c, r'"\$\w+"\s*:\s*"?([^"{}]*?)"?\s*\}+$', 1)
+    return F.when(c.startswith('{"$'), inner).otherwise(c)
+
+
 def document_time() -> Column:
-    return F.try_to_timestamp(F.col("pedido.fecha"))
+    """The order time: plain text, or `$date` with text or epoch milliseconds. NULL where neither can be read."""
+    raw = F.col("pedido.fecha")
+    text = plain(raw)
+    millis = F.when(raw.startswith('{"$') & text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
+    return F.when(millis.isNotNull(), F.timestamp_millis(millis)).otherwise(F.try_to_timestamp(text))
+
+
+def document_id() -> Column:
+    return plain(F.col("_id"))
 
 
 def sold(docs: DataFrame) -> DataFrame:
@@ -44,6 +58,11 @@ def sold(docs: DataFrame) -> DataFrame:
     )
 
 
+def undated(docs: DataFrame) -> DataFrame:
+    """Sold documents whose time cannot be read; no time range holds them, so a load sets them aside."""
+    return sold(docs).where(document_time().isNull())
+
+
 def scan_range(docs: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """Sold documents from the first second of `start` to the last second of `end`, in UTC."""
     first = date.fromisoformat(start) if isinstance(start, str) else start

@@ -33,6 +33,8 @@ VIEWS = {
 
 BATCH_COLUMN = "lote"
 MONTH_COLUMN = "mes"
+#: Beside the months of a table, unseen by its readers: months that a merge in progress leaves without rows.
+EMPTIED = "_vaciados"
 
 
 def table_path(root: str, name: str) -> str:
@@ -103,14 +105,14 @@ def stored_row_count(spark: SparkSession, path: str) -> int | None:
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
-    """One row per key: the one with the greatest sequence.
+    """One row per key: the one with the greatest sequence; equal sequences are told apart by the rest of the row.
 
     An aggregate rather than a row_number window: it combines map-side, so a key with very many
     copies never gathers in one task. NULL keys are equal to each other.
     """
     require_columns(df, [*keys, *sequence])
     whole = F.struct(*[F.col(c) for c in df.columns])
-    order = F.struct(*[F.col(c) for c in sequence])
+    order = F.struct(*[F.col(c) for c in [*sequence, *(c for c in df.columns if c not in (*keys, *sequence))]])
     return (
         df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
         .agg(F.max_by(whole, order).alias("_last"))
@@ -149,6 +151,7 @@ def upsert(
     same table but for that number.
     """
     require_columns(new, [*keys, time_column, position], path)
+    _finish_emptying(spark, path)
     first = not exists(spark, path)
     batch = 0 if first else (spark.read.parquet(path).agg(F.max(BATCH_COLUMN)).first()[0] or 0) + 1
     fresh = new.withColumns({
@@ -188,19 +191,40 @@ def upsert(
     # dynamic overwrite alone does not do.
     merged = stage(merged, "upsert-merged")
     left = {r[0] for r in merged.select(MONTH_COLUMN).distinct().collect()}
+    emptied = sorted(set(touched) - left)
+    if emptied:
+        # Noted before the write: a run that stops after it is finished by the next one.
+        note = [(int(batch), m) for m in emptied]
+        spark.createDataFrame(note, "lote bigint, mes string").coalesce(1).write.mode("overwrite").json(f"{path}/{EMPTIED}")
     (
         _by_month(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH_COLUMN).parquet(path)
     )
-    for month in sorted(set(touched) - left):
-        fs, gone = _filesystem(spark, f"{path}/{MONTH_COLUMN}={month}")
-        fs.delete(gone, True)
+    _finish_emptying(spark, path)
     n_total = spark.read.parquet(path).count()
     duplicates = n_old + n_new - n_total
     _report(path, n_old + n_new, duplicates, keys)
     return UpsertResult(n_new, n_total, duplicates)
 
 
+def _finish_emptying(spark: SparkSession, path: str) -> None:
+    """Drops the months that a merge left without rows, if that merge has committed; otherwise forgets the note.
+
+    The note carries the number of its merge, and every committed merge left rows with its number.
+    """
+    note = f"{path}/{EMPTIED}"
+    if not exists(spark, note):
+        return
+    rows = spark.read.schema("lote bigint, mes string").json(note).collect()  # a few months
+    done = spark.read.parquet(path).agg(F.max(BATCH_COLUMN)).first()[0]
+    for row in rows:
+        if row.lote == done:
+            fs, gone = _filesystem(spark, f"{path}/{MONTH_COLUMN}={row.mes}")
+            fs.delete(gone, True)
+    fs, gone = _filesystem(spark, note)
+    fs.delete(gone, True)
+
+
 def _by_month(df: DataFrame) -> DataFrame:
     """Gathers each month in few files; adaptive execution splits a month that is too large for one."""
     return df.hint("rebalance", MONTH_COLUMN)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from custscope.plans.ingest import store_documents
+from custscope.plans.ingest import set_aside, store_documents
 from custscope.schema import DOCUMENT
 from custscope.sources.documents import sold
 
@@ -25,6 +25,7 @@ def start_ingest(documents: DataFrame, root: str, checkpoint: str) -> StreamingQ
     same rows.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
+        set_aside(batch.sparkSession, root, batch, f"flujo-{batch_id}")
         store_documents(batch.sparkSession, root, batch)
 
     return (

@@ -156,3 +156,59 @@ def test_lenient_casts_of_odd_numbers(spark):
     got = rows.select(lenient_double(F.col("t")).alias("d"), lenient_long(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [3, 1000, 7, None, None, None, None, None, 9007199254740993, None]
     assert [r.d for r in got] == [3.0, 1000.0, 7.0, None, None, None, None, 2.5, 9007199254740992.0, None]
+
+
+def test_extended_json_dates_ids_and_numbers(spark, tmp_path):
+    forms = [
+        doc({"$oid": "a"}, {"$date": "2026-01-01T10:00:00Z"}, products=[{**LINE, "promocion_id": {"$numberLong": "3"}}]),
+        doc({"$oid": "b"}, {"$date": 1767261600000}, pago={"$numberDouble": "2.5"}, products=[{**LINE, "promocion_id": 3.0}]),
+        doc("c", {"$date": {"$numberLong": "1767261600000"}}, pago="NaN", products=[LINE]),
+        doc("d", "2026-01-01T10:00:00Z", products=[LINE]),
+        doc("e", "ayer", products=[LINE]),
+    ]
+    (tmp_path / "d.json").write_text("\n".join(json.dumps(d) for d in forms), "utf-8")
+    source = docs.read_documents(spark, str(tmp_path / "d.json"))
+    orders = {r.order_id: r for r in flatten.flatten_orders(docs.scan_range(source, "2026-01-01", "2026-01-01"))
+              .selectExpr("order_id", "unix_seconds(fecha) AS t", "pago_total").collect()}
+    assert sorted(orders) == ["a", "b", "c", "d"]
+    assert {r.t for r in orders.values()} == {1767261600}
+    assert (orders["b"].pago_total, orders["c"].pago_total) == (2.5, None)
+    lines = flatten.explode_items(source).where("order_id IN ('a', 'b')").collect()
+    assert [r.promocion_id for r in lines] == [3, 3]
+
+    root = str(tmp_path / "lake")
+    run_ingest(spark, root, source, datetime(2026, 2, 1, tzinfo=timezone.utc))
+    assert ids(spark.read.parquet(f"{root}/rechazados")) == ["e"]
+    assert spark.read.parquet(f"{root}/orders_historicos").count() == 4
+
+
+def test_upsert_stopped_before_emptied_months_are_dropped(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "order_id string, fecha timestamp, posicion bigint"
+
+    def rows(*found):
+        return spark.createDataFrame([(i, datetime(2026, m, 5, tzinfo=timezone.utc), 0) for i, m in found], schema)
+
+    tables.upsert(spark, path, rows(("a", 1), ("b", 2)), ["order_id"], "posicion")
+    finish = tables._finish_emptying
+    calls = []
+
+    def stopped(session, table):
+        calls.append(table)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        finish(session, table)
+
+    monkeypatch.setattr(tables, "_finish_emptying", stopped)
+    with pytest.raises(RuntimeError, match="stopped"):
+        tables.upsert(spark, path, rows(("a", 3)), ["order_id"], "posicion")
+    monkeypatch.setattr(tables, "_finish_emptying", finish)
+    tables.upsert(spark, path, rows(("c", 3)), ["order_id"], "posicion")
+    got = spark.read.parquet(path).select("order_id", "mes").orderBy("order_id").collect()
+    assert [tuple(r) for r in got] == [("a", "2026-03"), ("b", "2026-02"), ("c", "2026-03")]
+
+
+def test_equal_positions_do_not_depend_on_row_order(spark):
+    versions = [("a", 0, 1.0), ("a", 0, 2.0)]
+    for found in (versions, versions[::-1]):
+        kept = tables.keep_last(spark.createDataFrame(found, "k string, p int, v double"), ["k"], ["p"]).collect()
+        assert [r.v for r in kept] == [2.0]
