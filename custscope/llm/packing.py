@@ -27,6 +27,9 @@ END_ID = 0
 _CACHED_WORDS, _CACHED_CHARS = 500_000, 40
 #: Marks that never belong to a contraction.
 _MARKS = ".,!?;:*#$%&|"
+#: Fixed rule of the vocabulary's byte alphabet: printable bytes are their own letter, the others are 256, 257, ...
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _RANK_BITS = 40
 
 
@@ -47,6 +50,31 @@ def _parts(word: str) -> tuple[str, str]:
     return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
 
 
+def _letters(piece: str) -> str | None:
+    """A word of small letters of the first 256 code points in the byte alphabet, else None.
+
+    The vocabulary's rules neither rewrite nor part such a word, so its model can take it as it is.
+    """
+    if not piece.isalpha() or piece != piece.lower():
+        return None
+    if piece.isascii():
+        return piece
+    return piece.encode().decode("latin-1").translate(_BYTE_LETTERS) if max(piece) <= "\xff" else None
+
+
+def _spelled(loaded, pieces: list[str]) -> dict[str, bytes]:
+    """Little-endian 32-bit ids of each piece."""
+    merge, found, rest = loaded.model.tokenize, {}, []
+    for piece in pieces:
+        if (own := _letters(piece)) is None:
+            rest.append(piece)
+        else:
+            found[piece] = b"".join([t.id.to_bytes(4, "little") for t in merge(own)])
+    encoded = loaded.encode_batch_fast(rest, add_special_tokens=False)
+    found.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(rest, encoded, strict=True))
+    return found
+
+
 def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
     """Little-endian 32-bit ids of each word, from a cache that is emptied when full."""
     loaded, cache = tokenizer(path)
@@ -54,10 +82,7 @@ def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
         cache.clear()
     split = {w: _parts(w) for w in words.difference(cache)}
     unknown = list({p for parts in split.values() for p in parts}.difference(cache))
-    found = {
-        p: np.asarray(e.ids, "<u4").tobytes()
-        for p, e in zip(unknown, loaded.encode_batch_fast(unknown, add_special_tokens=False), strict=True)
-    }
+    found = _spelled(loaded, unknown)
     ids = lambda p: found[p] if p in found else cache[p]
     fresh = {w: ids(core) + ids(marks) for w, (core, marks) in split.items()}
     known = {w: cache[w] for w in words if w in cache}
