@@ -67,8 +67,8 @@ class AttentionLm:
     share: np.ndarray  # log10 of a subword's share of its class: as first subword of a word, and further on
     closes: np.ndarray  # subwords that end a word
 
-    def forward(self, ids: np.ndarray) -> dict[str, np.ndarray]:
-        """ids: windows of at most WINDOW subwords, one row each."""
+    def forward(self, ids: np.ndarray, room: tuple = (None, None)) -> dict[str, np.ndarray]:
+        """ids: windows of at most WINDOW subwords, one row each. `room`: arrays to use again for logits and p."""
         w = self.weights
         n = ids.shape[1]
         x = w["embed"][ids] + w["place"][:n]
@@ -81,9 +81,12 @@ class AttentionLm:
         mixed = a @ v
         h = np.tanh(x + mixed @ w["merge"])
         # h lies between -1 and 1 and weights are small, so the exponential stays finite without a shift.
-        logits = (h.reshape(-1, WIDTH) @ w["out"] + w["bias"]).reshape(*ids.shape, -1)
-        p = np.exp(logits)
-        total = (p.reshape(-1, p.shape[2]) @ np.ones(p.shape[2], np.float32)).reshape(*ids.shape, 1)
+        room = [r if r is None else r[: ids.size] for r in room]
+        logits = np.matmul(h.reshape(-1, WIDTH), w["out"], out=room[0])
+        logits += w["bias"]
+        p = np.exp(logits, out=room[1])
+        total = (p @ np.ones(p.shape[1], np.float32)).reshape(*ids.shape, 1)
+        logits, p = (t.reshape(*ids.shape, -1) for t in (logits, p))
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "logits": logits, "p": p, "total": total}
 
     def gradients(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -115,30 +118,29 @@ class AttentionLm:
 
     def score(self, streams: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each stream of subwords, BEGIN before and END after it left out of the input."""
-        inputs, targets, owners, firsts = [], [], [], []
-        for i, s in enumerate(streams):
-            full = np.concatenate(([BEGIN], s, [END]))
-            n, at = len(full) - 1, 0
-            while at < n:
-                start = max(0, at - CONTEXT) if at else 0
-                stop = min(n, start + WINDOW)
-                inputs.append(full[start:stop])
-                targets.append(full[start + 1 : stop + 1])
-                owners.append(i)
-                firsts.append(at - start)
-                at = stop
+        if not streams:
+            return np.empty(0)
+        flat = np.concatenate([part for s in streams for part in ([BEGIN], s, [END])])
+        n = np.fromiter(map(len, streams), np.int64, len(streams)) + 1
+        begins = np.cumsum(n + 1) - (n + 1)
+        # The first window scores WINDOW subwords, each later one what it adds to its CONTEXT.
+        fresh = WINDOW - CONTEXT
+        windows = 1 + -(-np.maximum(n - WINDOW, 0) // fresh)
+        owners = np.repeat(np.arange(len(streams)), windows)
+        skipped = fresh * (np.arange(len(owners)) - np.repeat(np.cumsum(windows) - windows, windows))
+        starts, sizes = begins[owners] + skipped, np.minimum(n[owners] - skipped, WINDOW)
+        firsts = np.where(skipped > 0, CONTEXT, 0)
         out = np.zeros(len(streams))
-        sizes = np.fromiter(map(len, inputs), np.int64, len(inputs))
         order = np.argsort(sizes, kind="stable")
-        owners, firsts = np.asarray(owners), np.asarray(firsts)
+        # The two largest arrays are made once: fresh memory costs more than the sums in it.
+        room = tuple(np.empty((BATCH * WINDOW, len(self.weights["bias"])), np.float32) for _ in range(2))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
             longest = sizes[some].max()
             # Later subwords are masked for earlier ones, so what fills the end of a row changes nothing before it.
-            ids, want = (np.full((len(some), longest), END, np.int64) for _ in range(2))
-            for row, i in enumerate(some):
-                ids[row, : sizes[i]], want[row, : sizes[i]] = inputs[i], targets[i]
-            f = self.forward(ids)
+            at = np.minimum(starts[some][:, None] + np.arange(longest), len(flat) - 2)
+            ids, want = flat[at], flat[at + 1]
+            f = self.forward(ids, room)
             place = np.arange(longest)
             scored = (place >= firsts[some][:, None]) & (place < sizes[some][:, None])
             cls = self.classes[want]
