@@ -45,8 +45,12 @@ def changed_since(segments: DataFrame, snapshots: DataFrame, as_of=None, months:
 
 
 def movement_kpis(frontier: DataFrame, changes: DataFrame) -> DataFrame:
-    up, down = F.count_if(F.col("direccion") == "subida"), F.count_if(F.col("direccion") == "bajada")
-    on_frontier = frontier.agg(F.count(F.lit(1))).scalar()
-    return changes.agg(
-        up.alias("n_subidas_mes"), down.alias("n_bajadas_mes"), F.count(F.lit(1)).alias("n_total_cambios")
-    ).select(on_frontier.alias("n_en_frontera"), "n_subidas_mes", "n_bajadas_mes", "n_total_cambios")
+    """Each list is counted to one row and the two rows are added up, so no list is planned inside another."""
+    near = frontier.agg(F.count(F.lit(1)).alias("n_en_frontera"))
+    moved = changes.agg(
+        F.count_if(F.col("direccion") == "subida").alias("n_subidas_mes"),
+        F.count_if(F.col("direccion") == "bajada").alias("n_bajadas_mes"),
+        F.count(F.lit(1)).alias("n_total_cambios"),
+    )
+    both = near.unionByName(moved, allowMissingColumns=True)
+    return both.agg(*[F.sum(name).alias(name) for name in both.columns])

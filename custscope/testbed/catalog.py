@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import item_label
+from custscope.functions.ordered import over_few_rows
 from custscope.functions.timeparts import instant, time_features
 from custscope.operators import basket, explore, flatten, quality, rfm, season, segment
 from custscope.operators import serve_customer as customer
@@ -501,13 +502,13 @@ def radar_segmentos(spark, sf):
 @query("lado:s segmento:s n_clientes:i recency_med:d4 monetary_med:d4 monetary_min:d4 monetary_max:d4")
 def comparador(spark, sf):
     """Two segments side by side with the ranges over all segments."""
-    everyone = segments(spark, sf)
-    ranges = segs.median_ranges(everyone).select(F.struct("monetary_min", "monetary_max").alias("r")).scalar()
-    metrics = segs.segment_metrics(everyone).where(F.col("segmento").isin("MVPs", "Hibernando"))
-    return metrics.select(
+    median = F.col("monetary_med").cast("double")
+    metrics = segs.segment_metrics(segments(spark, sf)).select(
         F.when(F.col("segmento") == "MVPs", "a").otherwise("b").alias("lado"), "segmento", "n_clientes",
-        "recency_med", "monetary_med", ranges["monetary_min"].alias("monetary_min"), ranges["monetary_max"].alias("monetary_max"),
+        "recency_med", "monetary_med", over_few_rows(F.min(median)).alias("monetary_min"),
+        over_few_rows(F.max(median)).alias("monetary_max"),
     )
+    return metrics.where(F.col("segmento").isin("MVPs", "Hibernando"))
 
 
 # --- rules ---------------------------------------------------------------------------------------
