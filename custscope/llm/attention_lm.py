@@ -25,7 +25,8 @@ from .packing import ids_of_words, tokenizer
 
 #: Fixed values of the tokenizer: its ids, the one before a text and the one that ends it.
 VOCABULARY, BEGIN, END = 49408, 49406, 49407
-WINDOW, CONTEXT = 32, 4
+#: Half a window, so that every subword behind the first window is predicted from more than WINDOW / 2 subwords.
+WINDOW, CONTEXT = 32, 16
 #: Windows scored at once: their arrays stay in a core's cache.
 BATCH = 40
 #: Documents that training reads at most, and subwords of each (the scored texts are never cut).

@@ -214,6 +214,22 @@ def test_lm_sums_to_one_and_sees_no_future():
     assert both[0] == pytest.approx(model.score([streams[0]])[0], rel=1e-5)
 
 
+def test_lm_predicts_later_windows_from_half_a_window():
+    rng = np.random.default_rng(6)
+    streams = [rng.integers(0, 300, n) for n in (5, 31, 32, 33, 47, 48, 49, 150)]
+    model = attention_lm.fit(streams, np.ones((2, attention_lm.VOCABULARY)), attention_lm.closing(WORDS), steps=5)
+    window, half = attention_lm.WINDOW, attention_lm.WINDOW // 2
+    for stream, got in zip(streams, model.score(streams), strict=True):
+        full, want = np.concatenate(([attention_lm.BEGIN], stream, [attention_lm.END])), 0.0
+        for at in range(1, len(full)):
+            start = 0 if at <= window else half * ((at - window - 1) // half + 1)
+            assert start == 0 or at - start > half
+            f = model.forward(full[None, start:at])
+            p = f["p"][0, -1, model.classes[full[at]]] / f["total"][0, -1, 0]
+            want += np.log10(p) + model.share[int(~model.closes[full[at - 1]]), full[at]]
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_byte_bpe_against_the_library(odd_docs, no_docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
