@@ -2,11 +2,16 @@
 
 Documents are dealt to blocks by a hash of their id. Each block sends its distinct words with their training
 counts once; words are counted over all blocks, and each block gets back the counts of its own words. So what moves
-is the text once and a vocabulary per block, whatever the corpus; nothing is broadcast that grows with it.
+is the text once and a vocabulary per block, whatever the corpus; nothing is broadcast that grows with it. Documents
+are then written as subword ids, which the training passes and the scores read.
 
 The attention model predicts the class of the next subword from a window; a subword's share of its class comes from
 counts over all training words. Long texts are scored in overlapping windows: a window sees CONTEXT subwords of the
-one before it, and every subword is scored once. Training reads a bounded sample of training documents and runs in numpy.
+one before it, and every subword is scored once.
+
+Training reads all training documents: classes come from the transitions of all of them, and every subword and END is
+a target once (more often in a small corpus). Tasks train side by side on their share of the windows, and their weights are
+averaged after each of ROUNDS slices of the corpus. What the driver gets has the size of the model.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +35,10 @@ VOCABULARY, BEGIN, END = 49408, 49406, 49407
 WINDOW, CONTEXT = 32, 16
 #: Windows scored at once: their arrays stay in a core's cache.
 BATCH = 40
-#: Documents that training reads at most, and subwords of each (the scored texts are never cut).
-SAMPLE = 1500
+#: Windows that training passes at least: a corpus with fewer is passed several times, a larger one once.
+SAMPLE = 96_000
+#: Windows for each task that trains, and the slices after which tasks average their weights.
+WINDOWS_A_TASK, ROUNDS = 50_000, 4
 FOLDS, HELD_OUT_FOLD = 7, 2
 SINGLE_CLASSES, GROUP_CLASSES, WIDTH = 64, 64, 16
 
@@ -38,17 +46,26 @@ SINGLE_CLASSES, GROUP_CLASSES, WIDTH = 64, 64, 16
 # ---- the model ----
 
 
-def subword_classes(streams: list[np.ndarray], counts: np.ndarray, rng) -> np.ndarray:
-    """A class for each subword: the most frequent have their own, the rest are grouped by what they follow."""
-    frequent = np.argsort(-counts, kind="stable")[:SINGLE_CLASSES]
+def frequent_columns(counts: np.ndarray) -> np.ndarray:
+    """The place of each subword among the most frequent, or SINGLE_CLASSES."""
     column = np.full(VOCABULARY, SINGLE_CLASSES, np.int64)
-    column[frequent] = np.arange(SINGLE_CLASSES)
-    table = np.zeros((VOCABULARY, SINGLE_CLASSES + 1), np.float32)
-    for s in streams:
-        np.add.at(table, (s[1:], column[s[:-1]]), 1)
+    column[np.argsort(-counts, kind="stable")[:SINGLE_CLASSES]] = np.arange(SINGLE_CLASSES)
+    return column
+
+
+def transitions(streams: list[np.ndarray], column: np.ndarray) -> np.ndarray:
+    """How often each subword follows each column, BEGIN and END included."""
+    flat = _cut(streams, WINDOW)[0]
+    follows = flat[1:] != BEGIN
+    at = flat[1:][follows] * (SINGLE_CLASSES + 1) + column[flat[:-1][follows]]
+    return np.bincount(at, minlength=VOCABULARY * (SINGLE_CLASSES + 1)).reshape(VOCABULARY, -1)
+
+
+def subword_classes(table: np.ndarray, column: np.ndarray, rng) -> np.ndarray:
+    """A class for each subword: the most frequent have their own, the rest are grouped by what they follow."""
     seen = table.sum(1)
     some = np.flatnonzero(seen > 0)
-    rows = np.sqrt(table[some] / seen[some, None])
+    rows = np.sqrt(table[some] / seen[some, None]).astype(np.float32)
     centres = rows[rng.choice(len(rows), min(GROUP_CLASSES, len(rows)), replace=False)]
     for _ in range(8):
         near = (rows @ centres.T).argmax(1)
@@ -57,10 +74,25 @@ def subword_classes(streams: list[np.ndarray], counts: np.ndarray, rng) -> np.nd
         centres = weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
     out = np.full(VOCABULARY, SINGLE_CLASSES, np.int64)  # never seen: the first group
     out[some] = SINGLE_CLASSES + near
-    out[frequent] = np.arange(SINGLE_CLASSES)
+    frequent = column < SINGLE_CLASSES
+    out[frequent] = column[frequent]
     return out
 
 
+def _cut(streams: list[np.ndarray], stride: int) -> tuple[np.ndarray, ...]:
+    """All streams with BEGIN and END in one array, and windows of it: owner, place in the stream, start and size.
+
+    A first window predicts WINDOW subwords, each later one begins `stride` further on.
+    """
+    flat = np.concatenate([part for s in streams for part in ([BEGIN], s, [END])]).astype(np.int64)
+    n = np.fromiter(map(len, streams), np.int64, len(streams)) + 1
+    begins = np.cumsum(n + 1) - (n + 1)
+    windows = 1 + -(-np.maximum(n - WINDOW, 0) // stride)
+    owners = np.repeat(np.arange(len(streams)), windows)
+    skipped = stride * (np.arange(len(owners)) - np.repeat(np.cumsum(windows) - windows, windows))
+    return flat, owners, skipped, begins[owners] + skipped, np.minimum(n[owners] - skipped, WINDOW)
+
+
 @dataclass
 class AttentionLm:
     weights: dict[str, np.ndarray]
@@ -90,10 +122,10 @@ class AttentionLm:
         logits, p = (t.reshape(*ids.shape, -1) for t in (logits, p))
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "logits": logits, "p": p, "total": total}
 
-    def gradients(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss of the target classes and its gradients."""
+    def gradients(self, ids: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss of the target classes that count, and its gradients; "embed" has the rows of np.unique(ids)."""
         w, f = self.weights, self.forward(ids)
-        scale = np.float32(1 / target.size)
+        scale = (counts / counts.sum()).astype(np.float32)[:, :, None]
         p = f["p"] / f["total"]
         hit = np.take_along_axis(p, target[:, :, None], 2)
         d = p.copy()
@@ -113,23 +145,17 @@ class AttentionLm:
             dx += part @ w[name].T
         g["place"] = np.zeros_like(w["place"])
         g["place"][: ids.shape[1]] = dx.sum(0)
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], ids.ravel(), flat(dx))
-        return float(-np.log(np.maximum(hit, 1e-30)).mean()), g
+        order = np.argsort(ids, axis=None, kind="stable")
+        met = ids.ravel()[order]
+        g["embed"] = np.add.reduceat(flat(dx)[order], np.flatnonzero(np.diff(met, prepend=-1)))
+        return float(-(scale * np.log(np.maximum(hit, 1e-30))).sum()), g
 
     def score(self, streams: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each stream of subwords, BEGIN before and END after it left out of the input."""
         if not streams:
             return np.empty(0)
-        flat = np.concatenate([part for s in streams for part in ([BEGIN], s, [END])])
-        n = np.fromiter(map(len, streams), np.int64, len(streams)) + 1
-        begins = np.cumsum(n + 1) - (n + 1)
         # The first window scores WINDOW subwords, each later one what it adds to its CONTEXT.
-        fresh = WINDOW - CONTEXT
-        windows = 1 + -(-np.maximum(n - WINDOW, 0) // fresh)
-        owners = np.repeat(np.arange(len(streams)), windows)
-        skipped = fresh * (np.arange(len(owners)) - np.repeat(np.cumsum(windows) - windows, windows))
-        starts, sizes = begins[owners] + skipped, np.minimum(n[owners] - skipped, WINDOW)
+        flat, owners, skipped, starts, sizes = _cut(streams, WINDOW - CONTEXT)
         firsts = np.where(skipped > 0, CONTEXT, 0)
         out = np.zeros(len(streams))
         order = np.argsort(sizes, kind="stable")
@@ -152,17 +178,12 @@ class AttentionLm:
         return out
 
 
-def fit(
-    streams: list[np.ndarray], placed: np.ndarray, closes: np.ndarray, steps: int = 2000, batch: int = 48,
-    rate: float = 6e-3, seed: int = 11,
-) -> AttentionLm:
-    """Adam on windows of the sampled streams; `placed` counts subwords over all training words, first or further on.
-
-    Without streams the weights stay as drawn and the model scores by its shares alone.
-    """
+def drawn(table: np.ndarray, placed: np.ndarray, closes: np.ndarray, seed: int = 11) -> AttentionLm:
+    """The model before training. `table`: transitions over all training documents; `placed` counts subwords over all
+    training words, first or further on."""
     rng, counts = np.random.default_rng(seed), placed.sum(0)
-    classes = subword_classes(streams, counts, rng) if streams else np.arange(VOCABULARY) % (SINGLE_CLASSES + GROUP_CLASSES)
     n_classes = SINGLE_CLASSES + GROUP_CLASSES
+    classes = subword_classes(table, frequent_columns(counts), rng) if table.any() else np.arange(VOCABULARY) % n_classes
     smooth = counts + 0.5
     share = np.empty((2, VOCABULARY))
     for row, own in zip(share, placed, strict=True):
@@ -176,31 +197,56 @@ def fit(
         **{k: draw(WIDTH, WIDTH) for k in ("query", "key", "value", "merge")},
         "out": draw(WIDTH, n_classes), "bias": np.log(np.bincount(classes, smooth, n_classes) / smooth.sum() + 1e-9).astype(np.float32),
     }
-    model = AttentionLm(weights, classes, share, closes)
-    windows = []
-    for s in streams:
-        full = np.concatenate(([BEGIN], s, [END]))
-        windows += [full[i : i + WINDOW + 1] for i in range(0, len(full) - WINDOW, WINDOW)]
-    if not windows:
-        return model
-    windows = np.stack(windows)
+    return AttentionLm(weights, classes, share, closes)
+
+
+def train(
+    model: AttentionLm, streams: list[np.ndarray], passes: int, seed, span: tuple[float, float] = (0.0, 1.0), batch: int = 48,
+    rate: float = 6e-3,
+) -> tuple[int, np.ndarray]:
+    """Adam on all windows of the streams, `passes` times, in place. `span`: the part of the whole training that this is.
+
+    Short windows and tails are filled up and masked. Gives the number of windows and how often each subword was met.
+    """
+    rng, weights = np.random.default_rng(seed), model.weights
+    flat, _, _, starts, sizes = _cut(streams, WINDOW)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    for step in range(1, steps + 1):
-        some = windows[rng.integers(0, len(windows), batch)]
-        _, grads = model.gradients(some[:, :-1], classes[some[:, 1:]])
-        pace = rate * min(1, 2 - 2 * step / steps)
+    order = np.concatenate([rng.permutation(len(starts)) for _ in range(passes)])
+    for at in range(0, len(order), batch):
+        some = order[at : at + batch]
+        place = np.arange(sizes[some].max())
+        picked = np.minimum(starts[some][:, None] + place, len(flat) - 2)
+        counts = place < sizes[some][:, None]
+        ids = np.where(counts, flat[picked], END)
+        _, grads = model.gradients(ids, model.classes[flat[picked + 1]], counts)
+        done = span[0] + (span[1] - span[0]) * (at + len(some)) / len(order)
+        pace = rate * min(1, 2 - 2 * done)
         for k, g in grads.items():
             m, v = moment[k]
             if k == "embed":  # only the rows that were met
-                rows = np.unique(some[:, :-1])
-                g, mm, vv = g[rows], m[rows], v[rows]
-                mm, vv = 0.9 * mm + 0.1 * g, 0.99 * vv + 0.01 * g * g
+                rows = np.unique(ids)
+                mm, vv = 0.9 * m[rows] + 0.1 * g, 0.99 * v[rows] + 0.01 * g * g
                 m[rows], v[rows] = mm, vv
                 weights[k][rows] -= np.float32(pace) * mm / (np.sqrt(vv) + np.float32(1e-7))
                 continue
             m[...] = 0.9 * m + 0.1 * g
             v[...] = 0.99 * v + 0.01 * g * g
             weights[k] -= np.float32(pace) * m / (np.sqrt(v) + np.float32(1e-7))
+    return len(starts), np.bincount(flat, minlength=VOCABULARY)
+
+
+def fit(
+    streams: list[np.ndarray], placed: np.ndarray, closes: np.ndarray, steps: int = 2000, batch: int = 48,
+    rate: float = 6e-3, seed: int = 11,
+) -> AttentionLm:
+    """A model trained on streams in one process, in as many whole passes as `steps` batches need.
+
+    Without streams the weights stay as drawn and the model scores by its shares alone.
+    """
+    if not streams:
+        return drawn(np.zeros((VOCABULARY, SINGLE_CLASSES + 1)), placed, closes, seed)
+    model = drawn(transitions(streams, frequent_columns(placed.sum(0))), placed, closes, seed)
+    train(model, streams, -(-steps * batch // len(_cut(streams, WINDOW)[3])), seed, batch=batch, rate=rate)
     return model
 
 
@@ -212,13 +258,6 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _streams(path: str, docs: list[list[bytes]]) -> list[np.ndarray]:
-    """Subword ids of each document, from its words."""
-    words = list(set().union(*docs))
-    found = dict(zip(words, spelled(path, words), strict=True))
-    return [_joined(map(found.__getitem__, words)) for words in docs]
-
-
 def _joined(parts) -> np.ndarray:
     return np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
 
@@ -278,28 +317,117 @@ def _subword_counts(path: str):
     return run
 
 
-def _score_block(model, n_tokens: int, n_words: int, end_count: int):
+def _streams_of_block(n_tokens: int, n_words: int, end_count: int):
+    """Word counts, base score and subword ids of each document."""
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         row_of = {w: i for i, w in enumerate(counts["word"].to_pylist())}
         count_of, ids_of = counts["c"].to_numpy(), counts["ids"].to_pylist()
         rare = np.log10(n_tokens + 1.0 * (n_words + 1))
         end = np.log10(end_count + 1.0) - rare
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "ids")}
         texts = docs["text"]
         for k in range(0, len(texts), 256):
-            words = [tokens(t) for t in texts[k : k + 256].to_pylist()]
-            streams = []
-            for own in words:
-                at = list(map(row_of.__getitem__, own))
-                streams.append(_joined(map(ids_of.__getitem__, at)))
+            for text in texts[k : k + 256].to_pylist():
+                at = list(map(row_of.__getitem__, tokens(text)))
+                out["ids"].append(b"".join(map(ids_of.__getitem__, at)))
                 c = count_of[at] if at else np.empty(0, np.int64)
-                out["n_tokens"].append(len(own) + 1)
+                out["n_tokens"].append(len(at) + 1)
                 out["n_known"].append(int((c > 0).sum()) + (end_count > 0))
                 out["base_score"].append(float((np.log10(c + 1.0) - rare).sum() + end))
-            out["score"] += model.value.score(streams).tolist()
+        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "ids": pa.binary()}
         return pa.table({
-            "doc_id": docs["doc_id"], "held_out": docs["held_out"],
-            **{k: pa.array(v, pa.int64() if k.startswith("n_") else pa.float64()) for k, v in out.items()}})
+            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "learned": docs["learned"],
+            **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
+
+    return run
+
+
+def _read(ids: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(i, "<u2").astype(np.int64) for i in ids]
+
+
+def _transition_counts(column: np.ndarray):
+    """The transitions of a partition, and under key -1 its windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, windows = np.zeros(VOCABULARY * (SINGLE_CLASSES + 1), np.int64), 0
+        for batch in batches:
+            if len(batch):
+                streams = _read(batch["ids"].to_pylist())
+                total += transitions(streams, column).ravel()
+                windows += len(_cut(streams, WINDOW)[3])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, -1)), pa.array(np.append(total[some], windows))], ["key", "n"])
+
+    return run
+
+
+def _rows(weights: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights as rows of WIDTH numbers, the embeddings first."""
+    return np.concatenate([w.reshape(-1, WIDTH) for w in weights.values()])
+
+
+def _train_task(model, passes: int, turn: int, span: tuple[float, float]):
+    """Trains on the streams of a task; gives the rows of the weights that it met and how often."""
+    def run(table: pa.Table) -> pa.Table:
+        task = table["task"][0].as_py()
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("ids", "ascending")]))
+        start = model.value
+        own = AttentionLm({k: w.copy() for k, w in start.weights.items()}, start.classes, start.share, start.closes)
+        windows, met = train(own, _read(table["ids"].to_pylist()), passes, (11, turn, task), span)
+        rows = _rows(own.weights)
+        n = np.full(len(rows), windows, np.int64)
+        n[:VOCABULARY] = met
+        some = np.flatnonzero(n)
+        return pa.table({
+            "task": pa.array(np.full(len(some), task), pa.int32()), "row": pa.array(some, pa.int32()), "n": pa.array(n[some]),
+            "v": pa.array([r.tobytes() for r in rows[some]], pa.binary())})
+
+    return run
+
+
+def _average(table: pa.Table) -> pa.Table:
+    """The mean of each row over the tasks that met it, weighted by how often."""
+    row, n = table["row"].to_numpy(), table["n"].to_numpy()
+    order = np.lexsort((table["task"].to_numpy(), row))
+    v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+    first = np.flatnonzero(np.diff(row[order], prepend=-1))
+    total = np.add.reduceat(v[order] * n[order, None], first) / np.add.reduceat(n[order], first)[:, None]
+    return pa.table({
+        "row": pa.array(row[order][first], pa.int32()),
+        "v": pa.array([r.tobytes() for r in total.astype(np.float32)], pa.binary())})
+
+
+def _trained(learned: DataFrame, model: AttentionLm, windows: int, sample: int) -> AttentionLm:
+    """The model after every window of all training documents has been passed, `sample` windows at least."""
+    spark = learned.sparkSession
+    tasks = min(blocks(spark), max(1, windows // WINDOWS_A_TASK))
+    rounds, passes = ROUNDS if tasks > 1 else 1, max(1, -(-sample // windows))
+    dealt = learned.select(
+        "doc_id", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(tasks)).cast("int").alias("task"),
+        F.pmod(F.xxhash64("ids", "doc_id"), F.lit(rounds)).cast("int").alias("turn"))
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        parts = dealt.where(F.col("turn") == turn).groupBy("task").applyInArrow(
+            _train_task(shared, passes, turn, (turn / rounds, (turn + 1) / rounds)), "task int, row int, n bigint, v binary")
+        mean = parts.groupBy(F.pmod("row", F.lit(blocks(spark)))).applyInArrow(_average, "row int, v binary").toArrow()
+        rows = _rows(model.weights)
+        if len(mean):
+            rows[mean["row"].to_numpy()] = np.frombuffer(b"".join(mean["v"].to_pylist()), np.float32).reshape(-1, WIDTH)
+        ends = np.cumsum([w.size // WIDTH for w in model.weights.values()])[:-1]
+        fresh = {k: r.reshape(model.weights[k].shape) for k, r in zip(model.weights, np.split(rows, ends), strict=True)}
+        model = AttentionLm(fresh, model.classes, model.share, model.closes)
+    return model
+
+
+def _score_rows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[float] = []
+            for k in range(0, len(batch), 256):
+                found += model.value.score(_read(batch["ids"].slice(k, 256).to_pylist())).tolist()
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found, pa.float64())], [*names, "score"])
 
     return run
 
@@ -308,8 +436,9 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Rows whose crc32(doc_id as text) mod 7 is 2 are held out. A null, empty or blank text is its end alone.
-    Rows without doc_id are scored but not learned from; repeated rows count each. If nothing can be learned from,
-    counts are 0. An empty table gives an empty table; other columns are left out.
+    Rows without doc_id are scored but not learned from; repeated rows count each. All other rows are trained on,
+    whatever their number and length; `sample` is the number of windows that training passes at least. If nothing can be
+    learned from, counts are 0. An empty table gives an empty table; other columns are left out.
     """
     spark = docs.sparkSession
     fold = crc_text("doc_id") % FOLDS
@@ -334,17 +463,21 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
     for row in per_id.collect():  # two rows at most per subword of the vocabulary
         counts[row["id"]] = row["n"]
     counts[END] += ends
-    chosen = (
-        docs.select("doc_id").where("doc_id IS NOT NULL").where(fold != HELD_OUT_FOLD)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    texts = doc_texts(docs).join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "text").limit(sample)
-    sampled = [tokens(r["text"]) for r in texts.collect()]
-    model = spark.sparkContext.broadcast(
-        fit(_streams(tokenizer_path, sampled), counts.reshape(2, VOCABULARY), closing(tokenizer_path)))
-    scored = dealt.select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(
-        counted.select("word", "c", "ids", "block").groupBy("block")
-    ).applyInArrow(
-        _score_block(model, total, distinct, ends),
+    streams = stage(
+        dealt.groupBy("block").cogroup(counted.select("word", "c", "ids", "block").groupBy("block")).applyInArrow(
+            _streams_of_block(total, distinct, ends),
+            "doc_id bigint, held_out boolean, learned boolean, n_tokens bigint, n_known bigint, base_score double, ids binary"),
+        "streams")
+    placed, learned = counts.reshape(2, VOCABULARY), streams.where("learned").select("doc_id", "ids")
+    # As many rows at most as the vocabulary has subwords, times the columns.
+    moves = learned.mapInArrow(_transition_counts(frequent_columns(placed.sum(0))), "key bigint, n bigint").groupBy(
+        "key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = moves["key"].to_numpy(), moves["n"].to_numpy()
+    follows, windows = np.zeros(VOCABULARY * (SINGLE_CLASSES + 1), np.int64), int(n[key < 0].sum())
+    follows[key[key >= 0]] = n[key >= 0]
+    fresh = drawn(follows.reshape(VOCABULARY, -1), placed, closing(tokenizer_path))
+    model = spark.sparkContext.broadcast(_trained(learned, fresh, windows, sample) if windows else fresh)
+    scored = streams.mapInArrow(
+        _score_rows(model),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))

@@ -230,6 +230,46 @@ def test_lm_predicts_later_windows_from_half_a_window():
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_trains_short_texts_and_their_ends():
+    streams = [np.array(s) for s in ([700, 800, 900], [900, 800, 700], [5], [])] * 5
+    placed = np.zeros((2, attention_lm.VOCABULARY))
+    placed[0, [700, 800, 900, 5, attention_lm.END]] = 10, 10, 10, 5, 20
+    model = attention_lm.fit(streams, placed, attention_lm.closing(WORDS), steps=300)
+    good, bad = model.score([np.array([700, 800, 900]), np.array([700, 900, 800])])
+    assert good > -1.2 and good > bad + 1
+
+
+def test_lm_trains_all_documents(spark, monkeypatch):
+    rng, texts = random.Random(8), ["river stone cloud", "seven green apples fall", "x", ""]
+    rows = [(i, rng.choice(texts)) for i in range(2500)]
+    # Ids of the one document in 2,500 with a subword of its own, learned from, and of two held-out ones.
+    rows += [(2501, "glacier stone cloud"), (2502, "river stone cloud"), (2503, "cloud stone river")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = {}
+    monkeypatch.setattr(attention_lm, "WINDOWS_A_TASK", 500)
+    drawn, trained = attention_lm.drawn, attention_lm._trained
+
+    def drawn_(table, *rest):
+        seen["table"] = table
+        return drawn(table, *rest)
+
+    def trained_(learned, model, windows, sample):
+        seen["learned"], seen["windows"] = learned.count(), windows
+        return trained(learned, model, windows, sample)
+
+    monkeypatch.setattr(attention_lm, "drawn", drawn_)
+    monkeypatch.setattr(attention_lm, "_trained", trained_)
+    got = {r["doc_id"]: r["score"] for r in attention_lm.score(docs, WORDS, sample=60_000).collect()}
+    import zlib
+
+    own = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    coded = attention_lm.spelled(WORDS, sorted({w for t in own for w in attention_lm.tokens(t)}))
+    size = dict(zip(sorted({w for t in own for w in attention_lm.tokens(t)}), (len(c) // 2 for c in coded), strict=True))
+    assert seen["learned"] == seen["windows"] == len(own)
+    assert seen["table"].sum() == sum(1 + sum(size[w] for w in attention_lm.tokens(t)) for t in own)
+    assert got[2502] > got[2503] + 2
+
+
 def test_byte_bpe_against_the_library(odd_docs, no_docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
