@@ -2,6 +2,9 @@
 
 Each stage takes the documents its predecessor kept and calls one operator of `custscope.llm`; a stage is written as
 Parquet and read again before the next one starts.
+
+Rows are documents, not ids: rows that share a doc_id keep their own columns and texts, and rows without doc_id pass the
+two deduplicating stages without being counted or compared.
 """
 
 from __future__ import annotations
@@ -17,12 +20,6 @@ from custscope.sources.staging import stage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_text(docs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """The documents with a new text and its length, in their own columns."""
-    fresh = texts.select("doc_id", F.col(column).alias("text"), F.length(column).cast("bigint").alias("n_chars"))
-    return docs.drop("text", "n_chars").join(fresh, "doc_id").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, unchanged."""
     ship(spark)
@@ -30,18 +27,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many documents share; a document that keeps no word goes."""
+    """Documents without lines that many documents share; a document that keeps no word goes.
+
+    Each row keeps its own other columns. Rows without doc_id keep all their lines.
+    """
     ship(spark)
-    kept = line_dedup.dedup_lines(docs.where("doc_id IS NOT NULL"))
-    return _with_text(docs.select(*COLUMNS), kept, "kept_text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    kept = kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")})
+    return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents alike in at least 0.8 of their runs of five words."""
+    """One row of each group of documents alike in at least 0.8 of their runs of five words: the smallest doc_id.
+
+    Rows are compared each, by a row key that is written once. Of rows of a group that share the smallest doc_id one stays;
+    rows of one doc_id in several groups do not touch each other. Rows without doc_id link with nothing and all stay.
+    """
     ship(spark)
-    found = ngram_join.similar_documents(docs)
-    copies = found.where("component_id < doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    keyed = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+    known = keyed.where("doc_id IS NOT NULL")
+    found = ngram_join.similar_documents(known.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id")
+    ranked = known.select("_row", F.struct("doc_id", F.xxhash64("text"), "_row").alias("_rank"))
+    first = ranked.join(found, "_row").groupBy("component_id").agg(F.min("_rank")["_row"].alias("_row"))
+    kept = known.join(first, "_row", "left_semi").select(*COLUMNS)
+    return kept.unionByName(keyed.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

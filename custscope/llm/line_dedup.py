@@ -14,7 +14,7 @@ No text moves in steps 1 to 3, nothing is broadcast and nothing passes through t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +176,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, spread: int)
     )
 
 
-def _drop(min_chars: int):
+def _drop(min_chars: int, carry: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_lines": [], "n_dropped": [], "kept_text": []}
@@ -190,28 +190,30 @@ def _drop(min_chars: int):
                 out["n_dropped"].append(len(lines) - len(kept))
                 out["kept_text"].append(b"\n".join(kept).decode() if lost else text)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()),
-                 pa.array(out["kept_text"], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+                [batch["doc_id"], *(batch[c] for c in carry), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()),
+                 pa.array(out["kept_text"], pa.string())], ["doc_id", *carry, "n_lines", "n_dropped", "kept_text"])
 
     return run
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, spread: int = SPREAD
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, spread: int = SPREAD,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, n_lines (before), n_dropped, kept_text.
+    """One row per document: doc_id, the columns named in `carry`, n_lines (before), n_dropped, kept_text.
 
     A null or empty text is one empty line. Rows that share a doc_id are documents of their own when counted, and
     all of them keep a key whose largest id is theirs. A row without doc_id is neither counted nor
     changed. Lines shorter than `min_chars` always stay. An empty table gives an empty table; other columns are left out.
     """
-    texts = doc_texts(docs)
+    texts = docs.select("doc_id", *carry, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lost = (
-        repeated_lines(texts, min_chars, min_docs, spread).dropDuplicates(["doc_id", "h1", "h2"])
+        repeated_lines(doc_texts(texts), min_chars, min_docs, spread).dropDuplicates(["doc_id", "h1", "h2"])
         .groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_lost"))
     )
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     return texts.join(lost, "doc_id", "left").mapInArrow(
-        _drop(min_chars), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string")
+        _drop(min_chars, carry), f"doc_id bigint, {carried}n_lines bigint, n_dropped bigint, kept_text string")
 
 
 def sha256_text(column: str) -> F.Column:

@@ -344,3 +344,53 @@ def test_pipeline_stages(spark, tmp_path):
     empty = source.limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_rows_apart(spark, odd_docs, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    plain = [" ".join(f"w{rng.randint(0, 9000)}" for _ in range(60)) for _ in range(6)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [
+        (100, plain[0], "en", "a", 0), (100, plain[1], "de", "b", 0), (101, near(plain[0]), "fr", "c", 0), (99, near(plain[1]), "es", "d", 0),
+        (102, plain[2], "en", "e", 0), (102, plain[2], "en", "e", 0), (102, near(plain[2]), "de", "f", 0), (None, plain[3], "en", "g", 0),
+        (None, plain[3], "en", "h", 0), (103, near(plain[3]), "en", "i", 0), (104, plain[4], "en", "j", 0), (104, plain[5], None, "k", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.unionByName(odd_docs.select(*docs.columns))
+    shown = lambda df: sorted(map(str, ((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in df.collect())))
+    all_rows = [tuple(r) for r in docs.collect()]
+
+    # Lines: each row with its own columns, by brute force.
+    key = lambda line: line.strip(BLANKS).lower()
+    held = collections.defaultdict(list)
+    for i, t, *_ in all_rows:
+        for k in {key(x) for x in (t or "").split("\n")} if i is not None else ():
+            held[k].append(i)
+    gone = lambda i, x: i is not None and len(key(x)) >= 40 and len(held[key(x)]) >= 5 and max(held[key(x)]) != i
+    want = []
+    for i, t, lang, source, _ in all_rows:
+        text = "\n".join(x for x in (t or "").split("\n") if not gone(i, x))
+        if text.strip(BLANKS):
+            want.append((i, text, lang, source, len(text)))
+    assert shown(corpus_pipeline.lines(spark, docs, str(tmp_path))) == sorted(map(str, want))
+
+    # Near copies: the least row of each group of rows, by brute force.
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words((r[1] or "").lower())) else set() for r in all_rows]
+    group, changed = list(range(len(all_rows))), True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                linked = x and y and None not in (all_rows[a][0], all_rows[b][0]) and 100 * len(x & y) >= 80 * len(x | y)
+                if linked and group[a] < group[b]:
+                    group[b], changed = group[a], True
+    ids = collections.defaultdict(list)
+    for g, r in zip(group, all_rows, strict=True):
+        ids[g].append(r)
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(min((r[0] is not None, r[0] or 0) for r in g)[1] if g[0][0] is not None else None) for g in ids.values())
+    for r in kept:
+        assert tuple(r) in all_rows
+    assert {r["source"] for r in kept} >= {"a", "d", "g", "h", "i", "j", "k"} and not {"b", "c"} & {r["source"] for r in kept}
