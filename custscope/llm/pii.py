@@ -108,7 +108,33 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in moved)) % 97
 
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    k: int(n) for n, names in (
+        (15, "NO"), (16, "BE"), (18, "DK FK FI FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"),
+        (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"),
+        (24, "AD CZ DZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"),
+        (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU"),
+    ) for k in names.split()
+}
+
+
+def _iban_end(text: str) -> int | None:
+    """Where the IBAN at the start of a text ends, by the length of its country."""
+    left = IBAN_LENGTHS.get(text[:2])
+    for at, c in enumerate(text):
+        left = left and left - (c != " ")
+        if left == 0:
+            return at + 1
+    return None
+
+
 def iban(text: str, feistel: Feistel) -> str | None:
+    """The value may be shorter than the text: what follows it is not part of it."""
+    end = _iban_end(text)
+    if end is None or text[end : end + 1].isalnum():
+        return None
+    text = text[:end]
     packed = text.replace(" ", "")
     if _iban_rest(packed) != 1:
         return None
@@ -118,12 +144,27 @@ def iban(text: str, feistel: Feistel) -> str | None:
     return "".join(c if c == " " else next(rest) for c in text)
 
 
+#: Country codes of one and two digits; every other code has three.
+CODES_1, CODES_2 = set("17"), set(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 "
+    "93 94 95 98".split())
+
+
 def phone(text: str, feistel: Feistel) -> str | None:
-    country, rest = re.match(r"(\+\d{1,3})(.*)", text, re.S).groups()
-    digits = re.sub(r"\D", "", rest)
-    if not 6 <= len(digits) <= 12:
+    """With a country code, that stays, by the table of codes; a national number is permuted as a whole.
+
+    The value may be shorter than the text: groups at the end that make the number too long are not part of it.
+    """
+    digits, country = re.sub(r"\D", "", text), ""
+    if text[0] == "+":
+        country = digits[: 1 if digits[0] in CODES_1 else 2 if digits[:2] in CODES_2 else 3]
+        digits = digits[len(country) :]
+    if len(digits) > (10 if country == "1" else min(12, 15 - len(country))):
+        shorter = re.sub(r"[ ./-]+\d+$", "", text)
+        return phone(shorter, feistel) if shorter != text else None
+    if len(digits) < 6:
         return None
-    return country + _like(by_class(digits, feistel, "phone"), rest)
+    return _like(country + by_class(digits, feistel, "phone" + country), text)
 
 
 def social(text: str, feistel: Feistel) -> str | None:
@@ -186,20 +227,34 @@ _NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|priva
 KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
     ("secret", rf"(?<![^\W_]){_NAMES}[^\w\n]{{1,12}}(?P<value>[A-Za-z0-9_+/=-]{{16,}})", secret),
     ("email", r"[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+", email),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
-    ("phone", r"(?<![\w+])\+\d{1,3}(?: \(\d{3}\) \d{3}-\d{4}|(?P<s1>[ .-]?)\d{2,4}(?:(?P=s1)\d{2,4}){1,4})(?!\w)", phone),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", iban),
+    ("phone", r"(?<![\w+])(?:\+\d{7,15}|\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,8}){1,6}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|"
+              r"(?<![\d.-])[2-9]\d{2}(?P<s1>[ .-])[2-9]\d{2}(?P=s1)\d{4}|"
+              r"\(0\d{1,5}\)(?:[ ./-]?\d{2,8}){1,4}|(?<![\d./-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))0[1-9]\d{0,4}(?:[ ./-]\d{2,8}){1,4})(?!\w|[-]\d|[./]\d)", phone),
     ("social", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social),
-    ("day", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}(?P<s2>[./-])\d{1,2}(?P=s2)\d{4})(?![\w-]|[./]\d)", day),
+    ("day", r"(?<![\w./-])(?:\d{4}(?P<s0>[/.-])\d{1,2}(?P=s0)\d{1,2}|\d{1,2}(?P<s2>[./-])\d{1,2}(?P=s2)\d{4})"
+            r"(?:(?=T\d{1,2}:?\d{2})|(?![\w-]|[./]\d))", day),
     ("address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", address),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|"
              r"\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?![\w-])", card),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
+_EACH = {k: re.compile(p) for k, p, _ in KINDS}
 _MAKE = {k: f for k, _, f in KINDS}
+#: Kinds whose value may be shorter than what the pattern took, and as long as its pseudonym.
+SHORTER = ("iban", "phone")
 _HINT = re.compile(r"[0-9@]|" + _NAMES)
 KIND_NAMES = tuple(k for k, _, _ in KINDS)
 
 
+def _other(text: str, at: int, tried: str, feistel: Feistel) -> tuple[str, str, int] | None:
+    """(kind, pseudonym, end) of the first later kind that is valid at a place where `tried` is not."""
+    for kind in KIND_NAMES[KIND_NAMES.index(tried) + 1 :]:
+        if (m := _EACH[kind].match(text, at)) and (fresh := _MAKE[kind](m[0], feistel)) is not None:
+            return kind, fresh, at + len(fresh) if kind in SHORTER else m.end()
+    return None
+
+
 def pseudonymise(text: str, feistel: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms in place, and (kind, start, end) in the old text of each."""
     if not _HINT.search(text):
@@ -210,9 +265,15 @@ def pseudonymise(text: str, feistel: Feistel) -> tuple[str, list[tuple[str, int,
         group = "value" if kind == "secret" else kind
         fresh = _MAKE[kind](m[group], feistel)
         if fresh is None:
-            look = m.start() + 1  # what is not valid may still hold a value further on
-            continue
-        start, end = m.span(group)
+            if other := _other(text, m.start(), kind, feistel):
+                kind, fresh, end = other
+                start = m.start()
+            else:
+                look = m.start() + 1  # what is not valid may still hold a value further on
+                continue
+        else:
+            start = m.start(group)
+            end = start + len(fresh) if kind in SHORTER else m.end(group)
         parts += [text[at:start], fresh]
         at = look = end
         found.append((kind, start, end))

@@ -173,6 +173,30 @@ def test_pseudonyms_keep_formats_and_links():
     assert re.fullmatch(r'\+1 \(\d{3}\) \d{3}-\d{4} [\d.]+ TOKEN = "[0-9A-F]{40}"!!', mixed)
 
 
+@pytest.mark.parametrize(("kind", "value"), [
+    *[("phone", v) for v in (
+        "+44 7911 123456", "+49 170 1234567", "+33 612345678", "(212) 555-0187", "212-555-0187", "+14155550123", "+1 (415) 555-0123",
+        "+351 912 345 678", "+4915112345678", "030 12345678", "(030) 1234567", "01 42 68 53 00", "+34 912-345-678")],
+    *[("iban", v) for v in ("ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19")],
+    *[("day", v) for v in ("2024-03-05", "2024/03/05", "05/03/2024", "05.03.2024", "1999-12-31")],
+])
+def test_pseudonyms_find_valid_values(kind, value):
+    feistel = pii.Feistel(b"key")
+    for before, after in (("", ""), ("call ", " BIC CAIX"), ("(", ")."), ("x: ", " 2024 and"), *([("at ", "T10:15:00Z")] if value[4] == "-" and kind == "day" else [])):
+        if kind == "phone" and value[0] != "+" and after == " 2024 and":
+            continue  # a group of digits behind a blank belongs to the number
+        text, found = pii.pseudonymise(before + value + after, feistel)
+        assert found == [(kind, len(before), len(before) + len(value))]
+        assert text.startswith(before) and text.endswith(after) and value not in text
+
+
+def test_phones_link_in_all_spellings():
+    feistel = pii.Feistel(b"key")
+    same = [pii.pseudonymise(t, feistel)[0] for t in ("+14155550123", "+1 (415) 555-0123", "+1 415 555 0123")]
+    assert len({re.sub(r"\D", "", t) for t in same}) == 1 and same[0].startswith("+1")
+    assert pii.pseudonymise("+1234", feistel)[1] == [] and pii.pseudonymise("version 1.2.3 of 10 and 20", feistel)[1] == []
+
+
 def test_pseudonyms_of_odd_rows(odd_docs, no_docs):
     before = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
     done = pii.pseudonyms(odd_docs)
