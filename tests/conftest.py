@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
@@ -7,7 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-REF = datetime(2026, 1, 1, tzinfo=timezone.utc)
+from order_rows import REF  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -31,10 +31,6 @@ def ref():
     return REF
 
 
-def ago(days=0, hours=0, ref=REF):
-    return ref - timedelta(days=days, hours=hours)
-
-
 @pytest.fixture
 def make_orders(spark):
     """Rows of (cliente_id, fecha, pago_total[, order_id]) as an order table."""
@@ -43,7 +39,3 @@ def make_orders(spark):
         return spark.createDataFrame(full, "order_id string, cliente_id string, fecha timestamp, pago_total double")
 
     return make
-
-
-def by_key(df, key="cliente_id"):
-    return {r[key]: r for r in df.collect()}

@@ -4,7 +4,7 @@ from statistics import median
 
 import pytest
 
-from conftest import REF, ago, by_key
+from order_rows import REF, ago, by_key
 from custscope.operators import rfm
 
 

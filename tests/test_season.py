@@ -4,7 +4,7 @@ from datetime import date, datetime, timezone
 
 import pytest
 
-from conftest import ago
+from order_rows import ago
 from custscope.operators import season
 from custscope.operators import serve_rules as rules
 from custscope.operators import serve_time as when

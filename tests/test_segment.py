@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import ago, by_key
+from order_rows import ago, by_key
 from custscope.operators import segment
 from custscope.schema import FEATURES, SEGMENT_ORDER
 

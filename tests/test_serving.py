@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from conftest import ago
+from order_rows import ago
 from custscope.operators import serve_customer as customer
 from custscope.operators import serve_moves as moves
 from custscope.operators import serve_rules as rules
