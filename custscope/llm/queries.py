@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, byte_bpe, chat_format, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, spot_signatures
+from . import (
+    attention_lm, byte_bpe, chat_format, collocations, line_dedup, mixing, ngram_join, packing, pii, quality_model, quality_rules,
+    spelling, spot_signatures,
+)
 from .common import crc_text, table
 
 sha256_text = line_dedup.sha256_text
@@ -78,6 +81,19 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_spot_signatures": op2_spot_signatures,
@@ -89,4 +105,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
