@@ -259,6 +259,12 @@ def _wide(column: str) -> Column:
     return F.col(column).cast("decimal(19,0)")
 
 
+def score_of(a: str, l: str, r: str) -> Column:  # noqa: E741
+    """floor(2000000 * a / (l + r)), exact beyond 64 bits."""
+    whole = "CAST({} AS decimal(19,0))"
+    return F.expr(f"({whole.format(a)} * CAST(2000000 AS decimal(7,0))) div ({whole.format(l)} + {whole.format(r)})")
+
+
 def collocations(
     docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, hot: int = HOT, bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
@@ -277,8 +283,7 @@ def collocations(
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).withColumns({
         "first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - words)")})
     cuts = cuts.join(named("first", "l"), ["lang", "first"]).join(named("rest", "r"), ["lang", "rest"])
-    score = F.expr("(CAST(a AS decimal(19,0)) * CAST(2000000 AS decimal(7,0))) div (CAST(l AS decimal(19,0)) + CAST(r AS decimal(19,0)))")
-    lowest = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(
+    lowest = cuts.withColumn("score", score_of("a", "l", "r")).groupBy("lang", "phrase").agg(
         F.first("a").alias("a"), F.first("words").alias("words"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     pieces = phrases.where("words > 2").withColumn("_words", F.split("phrase", " ")).select(
         "lang", F.col("a").alias("f"), F.explode(F.expr(
