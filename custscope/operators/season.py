@@ -14,6 +14,7 @@ from custscope.sources.staging import stage
 
 TOP_BUNDLES = 20
 DAILY_WINDOW = 90
+MONTHS = 30
 
 
 def _windowed(orders: DataFrame, as_of, start) -> DataFrame:
@@ -21,7 +22,7 @@ def _windowed(orders: DataFrame, as_of, start) -> DataFrame:
     return orders.where((F.col("fecha") >= start) & (F.col("fecha") <= instant(as_of)))
 
 
-def orders_in_window(orders: DataFrame, as_of=None, months: int = 30, tz: str = LOCAL_TIMEZONE) -> DataFrame:
+def orders_in_window(orders: DataFrame, as_of=None, months: int = MONTHS, tz: str = LOCAL_TIMEZONE) -> DataFrame:
     """Orders of the trailing window, capped at `as_of`, with their local-time features."""
     return time_features(_windowed(orders, as_of, window_start(as_of, months)), "fecha", tz)
 
@@ -40,7 +41,11 @@ def _per_segment(customer_totals: DataFrame, segments: DataFrame, keys: list[str
 
 
 def hour_by_weekday(windowed: DataFrame, segments: DataFrame) -> DataFrame:
-    per = windowed.groupBy("cliente_id", "dia_semana", "hora").agg(F.count(F.lit(1)).alias("pedidos"))
+    return hour_by_weekday_of(windowed.groupBy("cliente_id", "dia_semana", "hora").agg(F.count(F.lit(1)).alias("pedidos")), segments)
+
+
+def hour_by_weekday_of(per: DataFrame, segments: DataFrame) -> DataFrame:
+    """The table of totals per customer, weekday and hour."""
     return _per_segment(per, segments, ["dia_semana", "hora"], ["pedidos"]).select(
         "segmento_cluster", "dia_semana", weekday_name(F.col("dia_semana")).alias("dia_nombre"), "hora", "pedidos"
     )
@@ -54,7 +59,11 @@ def _orders_and_money():
 
 
 def monthly(windowed: DataFrame, segments: DataFrame) -> DataFrame:
-    per = windowed.groupBy("cliente_id", "año_mes").agg(*_orders_and_money())
+    return monthly_of(windowed.groupBy("cliente_id", "año_mes").agg(*_orders_and_money()), segments)
+
+
+def monthly_of(per: DataFrame, segments: DataFrame) -> DataFrame:
+    """The table of totals per customer and month."""
     return _per_segment(per, segments, ["año_mes"], ["pedidos", "revenue"])
 
 
@@ -66,6 +75,11 @@ def daily(
     per = recent.groupBy(
         "cliente_id", F.to_date(local_time(F.col("fecha"), tz)).alias("fecha_dia")
     ).agg(*_orders_and_money())
+    return daily_of(per, segments)
+
+
+def daily_of(per: DataFrame, segments: DataFrame) -> DataFrame:
+    """The table of totals per customer and local day."""
     return (
         _per_segment(per, segments, ["fecha_dia"], ["pedidos", "revenue"])
         .select("fecha_dia", F.col("segmento_cluster").alias("segmento"), "pedidos", "revenue")
@@ -104,7 +118,7 @@ def seasonality(
     items: DataFrame,
     rules: DataFrame,
     as_of=None,
-    months: int = 30,
+    months: int = MONTHS,
     top_bundles: int = TOP_BUNDLES,
     tz: str = LOCAL_TIMEZONE,
 ) -> dict[str, DataFrame]:

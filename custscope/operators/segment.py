@@ -20,8 +20,8 @@ from custscope.functions.guards import require_columns
 from custscope.functions.labels import share, string_array
 from custscope.operators.rfm import DEFAULT_MONTHS, rfm_complete
 from custscope.schema import FEATURES, SEGMENT_ORDER
+from custscope.sources.files import exists, write_text
 from custscope.sources.staging import stage
-from custscope.sources.tables import _filesystem, exists
 
 PACKAGED_MODELS = Path(__file__).resolve().parent.parent / "models"
 DEFAULT_VERSION = "v1"
@@ -56,12 +56,7 @@ class SegmentModel:
         out_dir = f"{models_dir.rstrip('/')}/{self.version}"
         if self.pipeline is not None:
             self.pipeline.write().overwrite().save(f"{out_dir}/pipeline")
-        fs, target = _filesystem(spark, f"{out_dir}/params.json")
-        stream = fs.create(target, True)
-        try:
-            stream.write(bytearray(self.to_json(), "utf-8"))
-        finally:
-            stream.close()
+        write_text(spark, f"{out_dir}/params.json", self.to_json(), overwrite=True)
         return out_dir
 
     @staticmethod

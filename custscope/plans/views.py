@@ -14,7 +14,7 @@ from custscope.operators import serve_rules as rules
 from custscope.operators import serve_segments as segs
 from custscope.operators import serve_time as when
 from custscope.plans.job import SNAPSHOTS
-from custscope.sources.tables import VIEWS, exists, load_table, table_path
+from custscope.sources.tables import VIEWS, has_table, load_table
 
 
 class CustomerNotFound(LookupError):
@@ -42,7 +42,7 @@ class Tables:
         found = {
             view: load_table(spark, root, name)
             for view, name in {**VIEWS, "snapshots": SNAPSHOTS}.items()
-            if exists(spark, table_path(root, name))
+            if has_table(spark, root, name)
         }
         return Tables(**found)
 

@@ -30,9 +30,13 @@ LOCAL_TIMEZONE = "America/Mexico_City"
 
 FEATURES = ["recency", "frequency", "monetary", "dias_entre_compras"]
 
-# Every number inside a document is read as text and cast leniently later, so that one
+# One product line of a document. Every number inside a document is read as text and cast leniently later, so that one
 # malformed value becomes NULL instead of dropping the document.
-DOCUMENT = """
+LINE = """struct<
+    clave: string, cantidad: string, precioFinal: string, moneda: string,
+    promocion_id: string, promocion_tipo: string>"""
+
+_DOCUMENT = """
     _id string,
     errores array<string>,
     estatus map<string, string>,
@@ -42,11 +46,13 @@ DOCUMENT = """
         encabezado: struct<
             cliente: string, nombre: string, pago: string, tipodecambio: string,
             iva: string, plazo: string, tipoPago: string>,
-        detalle: struct<
-            producto: array<struct<
-                clave: string, cantidad: string, precioFinal: string, moneda: string,
-                promocion_id: string, promocion_tipo: string>>>>
+        detalle: struct<producto: {producto}>>
     """
+DOCUMENT = _DOCUMENT.format(producto=f"array<{LINE}>")
+# The same with a single product that stands without its list.
+SINGLE_LINE_DOCUMENT = _DOCUMENT.format(producto=LINE)
+# The text of a document that could not be read, beside its columns.
+CORRUPT = "_corrupto"
 
 ORDERS = """
     order_id string, cliente_id string, nombre_cliente string, fecha timestamp,

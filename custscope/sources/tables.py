@@ -1,4 +1,4 @@
-"""Stored tables: reads, overwrites, views, high-water mark, keep-last upsert and snapshots."""
+"""Stored tables: reads, overwrites, views, high-water mark, keep-last upsert into versions, and snapshots."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from custscope.functions.guards import require_columns
 from custscope.functions.timeparts import as_utc, month_key
 from custscope.schema import SNAPSHOT_COLUMNS
+from custscope.sources import versions
+from custscope.sources.files import exists
 from custscope.sources.staging import stage
+from custscope.sources.versions import Manifest, Version
 
 log = logging.getLogger(__name__)
 
@@ -33,30 +36,22 @@ VIEWS = {
 
 BATCH_COLUMN = "lote"
 MONTH_COLUMN = "mes"
-#: Beside the months of a table, unseen by its readers: months that a merge in progress leaves without rows.
-EMPTIED = "_vaciados"
+UNDATED = "sin-fecha"
 
 
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def _filesystem(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _filesystem(spark, path)
-    return fs.exists(hadoop_path)
-
-
-def bytes_on_disk(spark: SparkSession, path: str) -> int:
-    fs, hadoop_path = _filesystem(spark, path)
-    return fs.getContentSummary(hadoop_path).getLength()
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    return name in versions.manifest(spark, root).tables or exists(spark, table_path(root, name))
 
 
 def load_table(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+    """The newest published version of a table, or a table saved as a whole."""
+    found = versions.read(spark, root, name)
+    if found is not None:
+        return found
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(table_path(root, name))
 
@@ -71,7 +66,7 @@ def register_views(spark: SparkSession, root: str) -> list[str]:
     """A temporary view per stored table; tables not written yet are left out."""
     made = []
     for view, name in VIEWS.items():
-        if exists(spark, table_path(root, name)):
+        if has_table(spark, root, name):
             load_table(spark, root, name).createOrReplaceTempView(view)
             made.append(view)
     return made
@@ -82,12 +77,15 @@ def high_water_mark(orders: DataFrame) -> DataFrame:
     return orders.agg(F.max("fecha").alias("watermark"))
 
 
-def stored_high_water_mark(spark: SparkSession, path: str) -> datetime | None:
-    """None where the history is missing or empty."""
-    if not exists(spark, path):
+def stored_high_water_mark(spark: SparkSession, root: str, name: str = VIEWS["orders"], of: Manifest | None = None) -> datetime | None:
+    """None where the history is missing or empty; reads one column of the newest month."""
+    of = of or versions.manifest(spark, root)
+    months = [m for m in of.tables[name].parts if m != UNDATED] if name in of.tables else []
+    if not months:
         return None
+    newest = versions.read(spark, root, name, of, [max(months)])
     # Taken as micros so that the zone of the Python process plays no part.
-    micros = high_water_mark(spark.read.parquet(path)).select(F.unix_micros("watermark")).first()[0]
+    micros = high_water_mark(newest).select(F.unix_micros("watermark")).first()[0]
     return None if micros is None else datetime.fromtimestamp(micros / 1_000_000, tz=timezone.utc)
 
 
@@ -100,7 +98,12 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
-def stored_row_count(spark: SparkSession, path: str) -> int | None:
+def stored_row_count(spark: SparkSession, root: str, name: str) -> int | None:
+    """From the manifest, or from file footers; None for a table that is not there."""
+    of = versions.manifest(spark, root)
+    if name in of.tables:
+        return of.tables[name].rows
+    path = table_path(root, name)
     return spark.read.parquet(path).count() if exists(spark, path) else None
 
 
@@ -135,99 +138,56 @@ class UpsertResult:
 
 
 def upsert(
-    spark: SparkSession,
-    path: str,
+    version: Version,
+    name: str,
     new: DataFrame,
     keys: Sequence[str],
     position: str,
     time_column: str = "fecha",
-) -> UpsertResult:
-    """Merges `new` into the month-partitioned table at `path`, keeping the last row per key.
-
-    Only months that receive rows, or already hold one of the incoming keys, are rewritten, with
-    dynamic partition overwrite: the written files replace the old ones when the job commits, so
-    reading the table it rewrites is safe. Rows carry the number of their merge and their
-    position, so "last" does not depend on task order; merging the same rows again gives the
-    same table but for that number.
+) -> tuple[UpsertResult, DataFrame]:
+    """Merges `new` into a month-partitioned table of the version, keeping the last row per key.
+
+    Only months that receive rows, or already hold one of the incoming keys, are written again. Rows carry the number of
+    their version and their position, so "last" does not depend on task order; merging the same rows
+    again gives the same table but for that number.
+
+    Also returns what changed, as signed rows: each touched row as it was (`signo` -1) and as it is now (1).
     """
-    require_columns(new, [*keys, time_column, position], path)
-    _finish_emptying(spark, path)
-    first = not exists(spark, path)
-    batch = 0 if first else (spark.read.parquet(path).agg(F.max(BATCH_COLUMN)).first()[0] or 0) + 1
+    require_columns(new, [*keys, time_column, position], name)
+    spark = version.spark
     fresh = new.withColumns({
-        BATCH_COLUMN: F.lit(int(batch)).cast("bigint"),
+        BATCH_COLUMN: F.lit(version.number).cast("bigint"),
         "posicion": F.col(position).cast("bigint"),
-        MONTH_COLUMN: F.coalesce(month_key(F.col(time_column)), F.lit("sin-fecha")),
+        MONTH_COLUMN: F.coalesce(month_key(F.col(time_column)), F.lit(UNDATED)),
     })
     fresh = fresh if position == "posicion" else fresh.drop(position)
     sequence = [BATCH_COLUMN, "posicion"]
     incoming = stage(fresh, "upsert-new")
     n_new = incoming.count()
-
-    if first:
-        _by_month(keep_last(incoming, keys, sequence)).write.partitionBy(MONTH_COLUMN).parquet(path)
-        n_total = spark.read.parquet(path).count()
-        _report(path, n_new, n_new - n_total, keys)
-        return UpsertResult(n_new, n_total, n_new - n_total)
-
-    stored_types = {f.name: f.dataType for f in incoming.schema}
-    old = spark.read.parquet(path).withColumn(
-        MONTH_COLUMN, F.col(MONTH_COLUMN).cast(stored_types[MONTH_COLUMN])
-    ).select(*incoming.columns)
-    n_old = old.count()
-    match = None
-    for k in keys:
-        same = F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-        match = same if match is None else match & same
-    held = (
-        old.select(*keys, MONTH_COLUMN).alias("o")
-        .join(incoming.select(*keys).distinct().alias("n"), match, "left_semi")
-        .select(MONTH_COLUMN)
-    )
-    # A month list: a few hundred values however many rows there are.
-    touched = [r[0] for r in held.union(incoming.select(MONTH_COLUMN)).distinct().collect()]
-    merged = merge_keep_last(old.where(F.col(MONTH_COLUMN).isin(touched)), incoming, keys, sequence)
-    # Staged first: a partition whose last row moved to another month must be dropped, which
-    # dynamic overwrite alone does not do.
-    merged = stage(merged, "upsert-merged")
-    left = {r[0] for r in merged.select(MONTH_COLUMN).distinct().collect()}
-    emptied = sorted(set(touched) - left)
-    if emptied:
-        # Noted before the write: a run that stops after it is finished by the next one.
-        note = [(int(batch), m) for m in emptied]
-        spark.createDataFrame(note, "lote bigint, mes string").coalesce(1).write.mode("overwrite").json(f"{path}/{EMPTIED}")
-    (
-        _by_month(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH_COLUMN).parquet(path)
-    )
-    _finish_emptying(spark, path)
-    n_total = spark.read.parquet(path).count()
-    duplicates = n_old + n_new - n_total
-    _report(path, n_old + n_new, duplicates, keys)
-    return UpsertResult(n_new, n_total, duplicates)
-
-
-def _finish_emptying(spark: SparkSession, path: str) -> None:
-    """Drops the months that a merge left without rows, if that merge has committed; otherwise forgets the note.
-
-    The note carries the number of its merge, and every committed merge left rows with its number.
-    """
-    note = f"{path}/{EMPTIED}"
-    if not exists(spark, note):
-        return
-    rows = spark.read.schema("lote bigint, mes string").json(note).collect()  # a few months
-    done = spark.read.parquet(path).agg(F.max(BATCH_COLUMN)).first()[0]
-    for row in rows:
-        if row.lote == done:
-            fs, gone = _filesystem(spark, f"{path}/{MONTH_COLUMN}={row.mes}")
-            fs.delete(gone, True)
-    fs, gone = _filesystem(spark, note)
-    fs.delete(gone, True)
-
-
-def _by_month(df: DataFrame) -> DataFrame:
-    """Gathers each month in few files; adaptive execution splits a month that is too large for one."""
-    return df.hint("rebalance", MONTH_COLUMN)
+    months = {r[0] for r in incoming.select(MONTH_COLUMN).distinct().collect()}  # a few hundred values
+    old = version.old(name)
+    n_old, before = 0, None
+    merged = incoming
+    if old is not None:
+        n_old = version.base.tables[name].rows
+        match = None
+        for k in keys:
+            same = F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+            match = same if match is None else match & same
+        arriving = incoming.select(*keys).distinct().alias("n")
+        held = old.select(*keys, MONTH_COLUMN).alias("o").join(arriving, match, "left_semi")
+        months |= {r[0] for r in held.select(MONTH_COLUMN).distinct().collect()}
+        touched = version.old(name, months).select(*incoming.columns)
+        before = touched.alias("o").join(arriving, match, "left_semi").select(*[F.col(f"o.{c}") for c in incoming.columns])
+        merged = touched.unionByName(incoming)
+    stored = version.replace(name, keep_last(merged, keys, sequence), MONTH_COLUMN, months)
+    duplicates = n_old + n_new - stored.rows
+    _report(name, n_old + n_new, duplicates, keys)
+    # Incoming rows always win, so the rows of this version's number are the touched ones.
+    changes = version.new(name, months).where(F.col(BATCH_COLUMN) == version.number).withColumn("signo", F.lit(1))
+    if before is not None:
+        changes = changes.unionByName(before.withColumn("signo", F.lit(-1)))
+    return UpsertResult(n_new, stored.rows, duplicates), changes
 
 
 def _report(path: str, before: int, duplicates: int, keys: Sequence[str]) -> None:

@@ -3,33 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from custscope.plans.ingest import set_aside, store_documents
-from custscope.schema import DOCUMENT
-from custscope.sources.documents import sold
+from custscope.plans.ingest import load_documents
+from custscope.sources.documents import parse_documents
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(DOCUMENT)
+    """Every document of the folder, those that cannot be read too."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder)
+    return parse_documents(reader.text(folder).where(F.trim("value") != ""))
 
 
 def start_ingest(documents: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Merges every new file once and stops when the folder is drained.
 
     Progress is the stream's checkpoint and not the newest order time, so a late order is still
-    loaded. The merge keeps the last row per key: repeating a batch after a failure leaves the
-    same rows.
+    loaded. Each batch is one published version with its accounts and rejects; a batch that is repeated after a failure
+    is found published and left out.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        set_aside(batch.sparkSession, root, batch, f"flujo-{batch_id}")
-        store_documents(batch.sparkSession, root, batch)
+        load_documents(batch.sparkSession, root, batch, incremental=False, stream=(checkpoint, batch_id))
 
     return (
-        sold(documents).writeStream.foreachBatch(merge)
+        documents.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -6,7 +6,7 @@ import pytest
 from custscope.operators import flatten
 from custscope.plans.ingest import run_ingest
 from custscope.sources import documents as docs
-from custscope.sources import tables
+from custscope.sources import tables, versions
 
 
 def doc(i, fecha, status=("Facturado",), products=(), tipo="CTonline", errors=None, pago="100.5", tc="18"):
@@ -111,19 +111,28 @@ def test_ingest_runs(spark, source, tmp_path):
     assert third.empty and third.marks[1] == second.marks[1] == datetime(2026, 1, 5, 12, tzinfo=timezone.utc)
 
 
+def merge(spark, root, rows, schema, keys=("order_id",), position="p"):
+    version = versions.Version(spark, root)
+    result, changes = tables.upsert(version, "t", spark.createDataFrame(rows, schema), list(keys), position)
+    changes = sorted((r.order_id, str(r.mes), r.signo) for r in changes.collect())
+    version.publish()
+    return result, changes
+
+
 def test_upsert_moves_a_row_to_another_month(spark, tmp_path):
-    path = str(tmp_path / "t")
+    root = str(tmp_path)
     schema = "order_id string, fecha timestamp, pago_total double, p bigint"
     day = lambda m: datetime(2026, m, 5, tzinfo=timezone.utc)
-    tables.upsert(spark, path, spark.createDataFrame([("a", day(1), 1.0, 0), ("b", day(2), 2.0, 0)], schema), ["order_id"], "p")
-    result = tables.upsert(
-        spark, path, spark.createDataFrame([("a", day(3), 9.0, 0), ("c", day(3), 3.0, 0)], schema), ["order_id"], "p")
-    rows = {r.order_id: (r.pago_total, r.mes) for r in spark.read.parquet(path).collect()}
-    assert {k: (v, str(m)) for k, (v, m) in rows.items()} == {
-        "a": (9.0, "2026-03"), "b": (2.0, "2026-02"), "c": (3.0, "2026-03")}
+    merge(spark, root, [("a", day(1), 1.0, 0), ("b", day(2), 2.0, 0)], schema)
+    result, changes = merge(spark, root, [("a", day(3), 9.0, 0), ("c", day(3), 3.0, 0)], schema)
+    rows = {r.order_id: (r.pago_total, r.mes) for r in tables.load_table(spark, root, "t").collect()}
+    assert rows == {"a": (9.0, "2026-03"), "b": (2.0, "2026-02"), "c": (3.0, "2026-03")}
     assert (result.n_new, result.n_total, result.n_duplicates) == (2, 3, 1)
+    assert changes == [("a", "2026-01", -1), ("a", "2026-03", 1), ("c", "2026-03", 1)]
+    stored = versions.manifest(spark, root).tables["t"]
+    assert sorted(stored.parts) == ["2026-02", "2026-03"] and stored.rows == 3
     with pytest.raises(ValueError, match="falta"):
-        tables.upsert(spark, path, spark.createDataFrame([("a", day(1), 1.0, 0)], schema), ["falta"], "p")
+        merge(spark, root, [("a", day(1), 1.0, 0)], schema, ["falta"])
 
 
 def test_keep_last_with_a_hot_key(spark):
@@ -142,8 +151,8 @@ def test_views_and_counts(spark, tmp_path):
     tables.save_table(spark.range(3).withColumnRenamed("id", "order_id"), root, tables.VIEWS["orders"])
     assert tables.register_views(spark, root) == ["orders"]
     assert spark.sql("SELECT count(*) FROM orders").first()[0] == 3
-    assert tables.stored_row_count(spark, tables.table_path(root, "nada")) is None
-    assert tables.stored_high_water_mark(spark, tables.table_path(root, "nada")) is None
+    assert tables.stored_row_count(spark, root, "nada") is None
+    assert tables.stored_high_water_mark(spark, root) is None
 
 
 def test_lenient_casts_of_odd_numbers(spark):
@@ -178,33 +187,9 @@ def test_extended_json_dates_ids_and_numbers(spark, tmp_path):
 
     root = str(tmp_path / "lake")
     run_ingest(spark, root, source, datetime(2026, 2, 1, tzinfo=timezone.utc))
-    assert ids(spark.read.parquet(f"{root}/rechazados")) == ["e"]
-    assert spark.read.parquet(f"{root}/orders_historicos").count() == 4
-
-
-def test_upsert_stopped_before_emptied_months_are_dropped(spark, tmp_path, monkeypatch):
-    path, schema = str(tmp_path / "t"), "order_id string, fecha timestamp, posicion bigint"
-
-    def rows(*found):
-        return spark.createDataFrame([(i, datetime(2026, m, 5, tzinfo=timezone.utc), 0) for i, m in found], schema)
-
-    tables.upsert(spark, path, rows(("a", 1), ("b", 2)), ["order_id"], "posicion")
-    finish = tables._finish_emptying
-    calls = []
-
-    def stopped(session, table):
-        calls.append(table)
-        if len(calls) == 2:
-            raise RuntimeError("stopped")
-        finish(session, table)
-
-    monkeypatch.setattr(tables, "_finish_emptying", stopped)
-    with pytest.raises(RuntimeError, match="stopped"):
-        tables.upsert(spark, path, rows(("a", 3)), ["order_id"], "posicion")
-    monkeypatch.setattr(tables, "_finish_emptying", finish)
-    tables.upsert(spark, path, rows(("c", 3)), ["order_id"], "posicion")
-    got = spark.read.parquet(path).select("order_id", "mes").orderBy("order_id").collect()
-    assert [tuple(r) for r in got] == [("a", "2026-03"), ("b", "2026-02"), ("c", "2026-03")]
+    rejects = tables.load_table(spark, root, "rechazados").collect()
+    assert [(r.order_id, r.motivo, r.carga) for r in rejects] == [("e", "sin_fecha", "1")]
+    assert tables.load_table(spark, root, "orders_historicos").count() == 4
 
 
 def test_equal_positions_do_not_depend_on_row_order(spark):

@@ -87,10 +87,9 @@ def test_stream_ingest_equals_batch(spark, tmp_path, store):
             "tipo": "CTonline", "fecha": "1990-01-01T00:00:00Z", "encabezado": {"cliente": "C", "pago": "5"},
             "detalle": {"producto": []}}})
     spark.createDataFrame([(late,)], "value string").write.mode("append").text(str(folder))
-    path = tables.table_path(root, tables.VIEWS["orders"])
-    before = tables.stored_row_count(spark, path)
+    before = tables.stored_row_count(spark, root, tables.VIEWS["orders"])
     si.start_ingest(si.document_stream(spark, str(folder)), root, str(tmp_path / "cp")).awaitTermination()
-    assert tables.stored_row_count(spark, path) == before + 1
+    assert tables.stored_row_count(spark, root, tables.VIEWS["orders"]) == before + 1
 
 
 def test_stream_daily_equals_batch(spark, tmp_path):
