@@ -18,10 +18,10 @@ from custscope.operators import serve_rules as rules
 from custscope.operators import serve_segments as segs
 from custscope.operators import serve_time as when
 from custscope.plans import ingest as ingest_plan
-from custscope.plans import job
+from custscope.plans import job, totals
 from custscope.schema import FEATURES, ITEM_KEYS, ORDER_KEYS, SEGMENT_ORDER
 from custscope.sources import documents as docs
-from custscope.sources import tables
+from custscope.sources import tables, versions
 from custscope.sources.staging import fresh_path, stage
 from custscope.streaming import daily as stream_daily
 from custscope.streaming import ingest as stream_ingest
@@ -81,13 +81,13 @@ def parsed(spark, sf) -> DataFrame:
     return docs.parse_documents(m.documents(spark, sf))
 
 
-@query("order_id:s cliente_id:s fecha:s")
+@query(ORDER_SPEC)
 def doc_scan_range(spark, sf):
     found = docs.scan_range(parsed(spark, sf), *DOC_RANGE)
     return flatten.flatten_orders(found)
 
 
-@query("order_id:s cliente_id:s fecha:s")
+@query(ORDER_SPEC)
 def doc_scan_incremental(spark, sf):
     return flatten.flatten_orders(docs.scan_incremental(parsed(spark, sf), DOC_MARK, m.AS_OF))
 
@@ -173,6 +173,100 @@ def ingest_metrics(spark, sf):
     return out
 
 
+STORED = "_tabla"
+
+
+def stored_in_two(spark, first: DataFrame, second: DataFrame, keys, position: str) -> DataFrame:
+    """Both deliveries merged into a stored table, each as a published version; what a reader then sees."""
+    root = fresh_path(spark, "versions")
+    for part in (first, second):
+        version = versions.Version(spark, root)
+        tables.upsert(version, STORED, part, keys, position)
+        version.publish()
+    return tables.load_table(spark, root, STORED)
+
+
+@query("order_id:s cliente_id:s fecha:s pago_total:d4 lote:i mes:s")
+def upsert_orders_stored(spark, sf):
+    """The second delivery corrects amounts and moves every third order by 40 days, most of them to another month."""
+    orders = m.orders(spark, sf).withColumn("p", F.lit(0))
+    moved = F.when(F.col("order_id").cast("bigint") % 3 == 0, F.col("fecha") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("fecha"))
+    again = orders.where(F.col("fecha") >= instant(CORRECTED_SINCE)).withColumns({"pago_total": F.col("pago_total") + 1, "fecha": moved})
+    return stored_in_two(spark, orders, again, ORDER_KEYS, "p")
+
+
+@query("order_id:s clave:s cantidad:d4 posicion:n lote:i mes:s")
+def upsert_items_stored(spark, sf):
+    """Two overlapping deliveries of the lines."""
+    items = m.items(spark, sf).select("order_id", "clave", "fecha", "cantidad", "posicion")
+    again = items.where(F.col("fecha") >= instant(CORRECTED_SINCE)).withColumn("cantidad", F.col("cantidad") + 1)
+    return stored_in_two(spark, items, again, ITEM_KEYS, "posicion")
+
+
+def damaged(spark, sf) -> DataFrame:
+    return docs.parse_documents(m.damaged_documents(spark, sf))
+
+
+@query("fuente:s carga:s origen:s leidos:i cargados:i fuera:i otros:i rechazados:i rechazados_nuevos:i")
+def ingest_accounts(spark, sf):
+    """Where every document of a damaged source goes: two batch loads of it, and the same texts through the stream."""
+    root, flow, folder, progress = (fresh_path(spark, n) for n in ("accounts", "flow", "json", "progress"))
+    source = stage(damaged(spark, sf), "documents")
+    for until in (DOC_MARK, m.AS_OF):
+        ingest_plan.run_ingest(spark, root, source, until)
+    m.damaged_documents(spark, sf).write.text(folder)
+    stream_ingest.start_ingest(stream_ingest.document_stream(spark, folder), flow, progress).awaitTermination()
+    loads = ingest_plan.accounts_of_loads(spark, root).withColumn("fuente", F.lit("lote"))
+    arrived = ingest_plan.accounts_of_loads(spark, flow).withColumns({"fuente": F.lit("flujo"), "origen": F.lit("flujo")})
+    return loads.unionByName(arrived)
+
+
+@query("motivo:s order_id:s carga:s")
+def ingest_rejects(spark, sf):
+    """Each rejected document once, with the reason and the load that met it; a cut text has no id but in its text."""
+    root = fresh_path(spark, "rejects")
+    source = stage(damaged(spark, sf), "documents")
+    for until in (DOC_MARK, m.AS_OF):
+        ingest_plan.run_ingest(spark, root, source, until)
+    found = tables.load_table(spark, root, ingest_plan.REJECTS)
+    return found.withColumn("order_id", F.coalesce("order_id", F.regexp_extract("documento", '"_id":"([0-9]+)"', 1)))
+
+
+def three_loads(spark, sf) -> str:
+    """Events in three loads: those of even number, then the others with corrected values, then every tenth again 31 days later."""
+    root = fresh_path(spark, "totals")
+    events = m.event_orders(spark, sf).withColumn("p", F.lit(0))
+    number = F.col("order_id").cast("bigint")
+    loads = (
+        events.where(number % 2 == 0),
+        events.where((number % 2 == 1) | (number % 6 == 0)).withColumn("pago_total", F.col("pago_total") + 1),
+        events.where(number % 10 == 0).withColumn("fecha", F.col("fecha") + F.expr("INTERVAL 31 DAYS")),
+    )
+    for part in loads:
+        version = versions.Version(spark, root)
+        _, changes = tables.upsert(version, tables.VIEWS["orders"], part, ORDER_KEYS, "p")
+        totals.add_changes(version, changes)
+        version.publish()
+    return root
+
+
+@query("tabla:s segmento:s periodo:s hora:n pedidos:i revenue:d4")
+def temp_mantenido(spark, sf):
+    """Hour, month and day tables from totals that three loads have kept by their changes."""
+    found = totals.stored_season_tables(spark, three_loads(spark, sf), m.event_segments(spark, sf), m.EVENTS_AS_OF)
+    rows = None
+    for name, when_, hour, money in (
+        ("hora_dia", "dia_nombre", F.col("hora"), F.lit(None)), ("mensual", "año_mes", F.lit(None), F.col("revenue")),
+        ("diario", "fecha_dia", F.lit(None), F.col("revenue")),
+    ):
+        segment_name = "segmento" if name == "diario" else "segmento_cluster"
+        one = found[name].select(
+            F.lit(name).alias("tabla"), F.col(segment_name).alias("segmento"), F.col(when_).cast("string").alias("periodo"),
+            hour.cast("int").alias("hora"), "pedidos", money.cast("double").alias("revenue"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("cliente_id:s segmento_cluster:s recency:i frequency:i monetary:d4 dias_entre_compras:d4 razon_distancias:d6 snapshot_month:s")
 def snapshot_write(spark, sf):
     """Two months, the second written twice: the rerun replaces its own month only."""
@@ -809,29 +903,53 @@ def monetary_index(spark, sf):
 # --- streams and the job -------------------------------------------------------------------------
 
 
-@query(ORDER_SPEC)
-def stream_ingest_orders(spark, sf):
-    """The documents as JSON files, drained by the stream into the order history."""
+def drained_documents(spark, sf) -> str:
+    """The documents as JSON files, drained by the stream into the order and line history."""
     folder, root, progress = (fresh_path(spark, n) for n in ("json", "history", "progress"))
     m.documents(spark, sf).write.text(folder)
     stream_ingest.start_ingest(stream_ingest.document_stream(spark, folder), root, progress).awaitTermination()
-    return tables.load_table(spark, root, tables.VIEWS["orders"])
+    return root
+
+
+@query(ORDER_SPEC)
+def stream_ingest_orders(spark, sf):
+    return tables.load_table(spark, drained_documents(spark, sf), tables.VIEWS["orders"])
+
+
+@query(ITEM_SPEC + " precio_mxn:d4 subtotal_mxn:d4 familia:s")
+def stream_ingest_items(spark, sf):
+    """The lines that the same stream stores."""
+    return tables.load_table(spark, drained_documents(spark, sf), tables.VIEWS["items"])
 
 
 QUERIES["stream_ingest"] = QUERIES.pop("stream_ingest_orders")
 SPECS["stream_ingest"] = SPECS.pop("stream_ingest_orders")
 
 
+def drained_days(spark, sf) -> str:
+    """The events as a stream of files in two deliveries that overlap in time: a good part of the second is late."""
+    files, root, progress = (fresh_path(spark, n) for n in ("events", "days", "progress"))
+    events = m.event_orders(spark, sf).withColumn("_odd", F.col("order_id").cast("bigint") % 2)
+    schema = "order_id string, cliente_id string, fecha timestamp, pago_total double"
+    for odd in (0, 1):
+        events.where(F.col("_odd") == odd).drop("_odd").write.mode("append").parquet(files)
+        arriving = spark.readStream.schema(schema).parquet(files)
+        stream_daily.start_daily(arriving, m.event_segments(spark, sf), root, progress, LATE_BY).awaitTermination()
+    return root
+
+
+LATE_BY = "7 days"
+
+
 @query("fecha_dia:D segmento:s pedidos:i revenue:d4")
 def stream_daily_orders(spark, sf):
-    """The events as a stream of files; the result equals the batch table."""
-    files = fresh_path(spark, "events")
-    m.event_orders(spark, sf).write.parquet(files)
-    arriving = spark.readStream.schema("order_id string, cliente_id string, fecha timestamp, pago_total double").parquet(files)
-    path, progress = fresh_path(spark, "daily"), fresh_path(spark, "progress")
-    days = stream_daily.daily_stream(arriving, m.event_segments(spark, sf), late_by="60 days")
-    stream_daily.start_daily(days, path, progress).awaitTermination()
-    return stream_daily.read_daily(spark.read.parquet(path))
+    """Every event counts, late or not: the result equals the batch table."""
+    return stream_daily.read_daily(spark, drained_days(spark, sf))
+
+
+@query("order_id:s cliente_id:s fecha:s pago_total:d4")
+def stream_late_orders(spark, sf):
+    return stream_daily.late_orders(spark, drained_days(spark, sf))
 
 
 QUERIES["stream_daily"] = QUERIES.pop("stream_daily_orders")

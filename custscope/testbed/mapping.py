@@ -183,3 +183,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("pedido"),
         )).alias("value"))
     )
+
+
+def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts, every 29th cut off and every 37th with a time that cannot be read."""
+    key = F.get_json_object("value", "$._id").cast("bigint")
+    return documents(spark, sf_dir).withColumn("value", (
+        F.when(key % 29 == 0, F.expr("substring(value, 1, length(value) - 7)"))
+        .when(key % 37 == 0, F.regexp_replace("value", '"fecha":"[^"]*"', '"fecha":"n/d"'))
+        .otherwise(F.col("value"))))

@@ -3,6 +3,7 @@ import re
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from custscope.operators import season
 from custscope.operators.quality import QualityCheckFailed
@@ -93,12 +94,26 @@ def test_stream_ingest_equals_batch(spark, tmp_path, store):
 
 
 def test_stream_daily_equals_batch(spark, tmp_path):
+    """Shuffled files, a third of them 90 days late and one batch that comes twice: every order counts once."""
     events, segments = m.event_orders(spark, DATA), m.event_segments(spark, DATA)
-    folder = str(tmp_path / "ev")
-    events.repartition(3).write.parquet(folder)
+    folder, root, progress = str(tmp_path / "ev"), str(tmp_path / "days"), str(tmp_path / "cp")
+    newest = events.agg(F.max("fecha")).first()[0]
+    early = F.col("fecha") < F.lit(newest) - F.expr("INTERVAL 90 DAYS")
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = sd.start_daily(sd.daily_stream(arriving, segments, "60 days"), str(tmp_path / "d"), str(tmp_path / "cp"))
-    query.awaitTermination()
-    got = {(r.fecha_dia, r.segmento): (r.pedidos, round(r.revenue, 4)) for r in sd.read_daily(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    parts = [events.where(~early).repartition(2), events.where(early).repartition(2)]
+    parts[1] = parts[1].unionByName(spark.createDataFrame([("x", "1", None, 5.0)], events.schema))
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        sd.start_daily(arriving, segments, root, progress, "60 days").awaitTermination()
+    assert sd.merge_batch(spark, root, events, (progress, 0), segments, "60 days") == 0  # published before
+    got = {(r.fecha_dia, r.segmento): (r.pedidos, round(r.revenue, 4)) for r in sd.read_daily(spark, root).collect()}
     batch = season.daily(events, segments, m.EVENTS_AS_OF, 400).collect()
     assert got == {(r.fecha_dia, r.segmento): (r.pedidos, round(r.revenue, 4)) for r in batch}
+    late = {r.order_id for r in sd.late_orders(spark, root).collect()}
+    assert late == {r.order_id for r in events.where(early).collect()} | {"x"} and sd.late_count(spark, root) == len(late) > 100
+
+
+def test_an_empty_batch_of_days(spark, tmp_path):
+    root, none = str(tmp_path), m.event_orders(spark, DATA).where("false")
+    assert sd.merge_batch(spark, root, none, ("s", 0), m.event_segments(spark, DATA), "1 day") == 0
+    assert sd.read_daily(spark, root).count() == 0 and sd.late_orders(spark, root) is None
