@@ -100,33 +100,36 @@ def frequent_itemsets(
     return stage(reduce(DataFrame.unionByName, mined, spark.createDataFrame([], _ITEMSETS)), "itemsets")
 
 
-def _rule_splits(itemsets: DataFrame) -> DataFrame:
-    """Every unordered split of a set into two sides, with the counts of both sides.
+def _confident_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
+    """(segmento, freq, n_pedidos, x, y, fx, fy): rules x → y of every set that reach the confidence.
 
-    The first item stays on side `a`, so each split appears once; both directions of a rule come
-    from the same row and need no second pass to be compared.
+    Consequents grow level by level. Moving an item from the antecedent to the consequent can only
+    lower the confidence, so a longer consequent is built only from two that passed and differ in
+    their last item; a set whose single consequents fail is never split further. Each level is a written table, and there
+    are at most as many as the longest set has items.
     """
-    def on_b(i: Column) -> Column:
-        """Bit i-1 of the mask says whether item i moves to side b."""
-        shifted = F.call_function("shiftright", F.col("_mask"), F.greatest(i - 1, F.lit(0)))
-        return (i > 0) & (shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1)
-
-    splits = (
-        itemsets.where(F.size("items") > 1)
-        .withColumn("_mask", F.explode(F.sequence(
-            F.lit(1).cast("bigint"),
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size("items") - 1) - 1,
-        )))
-        .select(
-            "segmento", "freq", "n_pedidos",
-            F.filter("items", lambda x, i: ~on_b(i)).alias("a"),
-            F.filter("items", lambda x, i: on_b(i)).alias("b"),
-        )
-    )
-    known = itemsets.select("segmento", "items", "freq")
-    side_a = known.select("segmento", F.col("items").alias("a"), F.col("freq").alias("freq_a"))
-    side_b = known.select("segmento", F.col("items").alias("b"), F.col("freq").alias("freq_b"))
-    return splits.join(side_a, ["segmento", "a"]).join(side_b, ["segmento", "b"])
+    known = itemsets.select("segmento", F.col("items").alias("x"), F.col("freq").alias("fx"))
+    sets = stage(itemsets.where(F.size("items") > 1).withColumn("_set", F.monotonically_increasing_id()), "rule-sets")
+    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    columns = ["_set", "segmento", "items", "freq", "n_pedidos", "y"]
+    candidates = sets.withColumn("y", F.explode(F.transform("items", lambda i: F.array(i)))).select(columns)
+    enough = F.col("freq").cast("double") / F.col("fx").cast("double") >= min_confidence
+    found = None
+    for size in range(1, max(longest, 2)):
+        checked = candidates.withColumn("x", F.array_except("items", "y")).join(known, ["segmento", "x"]).where(enough)
+        level = stage(checked.select(*columns, "x", "fx"), "rule-level")
+        found = level if found is None else found.unionByName(level)
+        longer = level.where(F.size("items") > size + 1).select(
+            *columns, F.slice("y", 1, size - 1).alias("_head"), F.element_at("y", -1).alias("_last"))
+        if size + 1 >= longest:
+            break
+        other = longer.select("_set", "_head", F.col("_last").alias("_next"))
+        candidates = longer.join(other, ["_set", "_head"]).where(F.col("_last") < F.col("_next")).select(
+            *columns[:-1], F.concat("y", F.array("_next")).alias("y"))
+        if candidates.isEmpty():
+            break
+    side = known.select("segmento", F.col("x").alias("y"), F.col("fx").alias("fy"))
+    return found.join(side, ["segmento", "y"])
 
 
 def _metrics(ante: Column, cons: Column, c_ante: Column, c_cons: Column) -> list[Column]:
@@ -159,16 +162,8 @@ def _passing(rules: DataFrame, min_confidence: float, min_lift: float) -> DataFr
 def association_rules(
     itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT
 ) -> DataFrame:
-    """Both directions of every split that pass the thresholds."""
-    splits = _rule_splits(itemsets)
-    directed = splits.select(
-        "segmento", "freq", "n_pedidos",
-        F.inline(F.array(
-            F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("freq_a").alias("fx"), F.col("freq_b").alias("fy")),
-            F.struct(F.col("b").alias("x"), F.col("a").alias("y"), F.col("freq_b").alias("fx"), F.col("freq_a").alias("fy")),
-        )),
-    )
-    rules = directed.select(*_metrics(F.col("x"), F.col("y"), F.col("fx"), F.col("fy")))
+    """Every directed rule that passes the thresholds."""
+    rules = _confident_rules(itemsets, min_confidence).select(*_metrics(F.col("x"), F.col("y"), F.col("fx"), F.col("fy")))
     return _passing(rules, min_confidence, min_lift)
 
 
@@ -176,19 +171,8 @@ def one_rule_per_pair(
     itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT
 ) -> DataFrame:
     """The direction with the higher confidence (the rarer antecedent); ties go to the label."""
-    splits = _rule_splits(itemsets)
-    a_first = (F.col("freq_a") < F.col("freq_b")) | (
-        (F.col("freq_a") == F.col("freq_b")) & (item_label(F.col("a")) < item_label(F.col("b")))
-    )
-
-    def pick(yes: str, no: str) -> Column:
-        return F.when(a_first, F.col(yes)).otherwise(F.col(no))
-
-    chosen = splits.select(
-        "segmento", "freq", "n_pedidos",
-        pick("a", "b").alias("x"), pick("b", "a").alias("y"),
-        pick("freq_a", "freq_b").alias("fx"), pick("freq_b", "freq_a").alias("fy"),
-    )
+    rarer = (F.col("fx") < F.col("fy")) | ((F.col("fx") == F.col("fy")) & (item_label(F.col("x")) < item_label(F.col("y"))))
+    chosen = _confident_rules(itemsets, min_confidence).where(rarer)
     rules = chosen.select(*_metrics(F.col("x"), F.col("y"), F.col("fx"), F.col("fy")))
     return _passing(rules, min_confidence, min_lift)
 
@@ -215,24 +199,43 @@ def top_by_lift(rules: DataFrame, top_n: int) -> DataFrame:
 def orders_matching(rules: DataFrame, items: DataFrame) -> DataFrame:
     """(antecedents, consequents, order_id): orders that hold all families of a rule.
 
-    Each rule is looked up by one of its families and then checked against the order's whole
-    family list in place, so only real matches are produced and nothing is grouped by rule.
-    Lines of families that no rule names are dropped before the shuffle by order. `rules` should
-    be a written table: its known size lets the planner broadcast it when, and only when, it is
-    below the broadcast threshold.
+    A set containment join: each rule is looked up by the rarest of its families and then checked against the
+    order's whole family list in place, so only real matches are produced and nothing is grouped by
+    rule. Where even the rarest family of a rule is in very many orders, those orders are dealt to
+    several parts by their id and the few rules of the family are copied to each, so that no part gets
+    more than a quarter of a partition's share. Lines of families that no rule names are dropped before the
+    shuffle by order. `rules` should be a written table: its known size lets the planner broadcast it
+    when, and only when, it is below the broadcast threshold.
     """
+    spark = rules.sparkSession
     named = rules.select("antecedents", "consequents").distinct().withColumn(
         "_need", rule_items(F.col("antecedents"), F.col("consequents"))
     )
     wanted = named.select(F.explode("_need").alias("familia")).distinct()
-    baskets = (
+    baskets = stage(
         items.select("order_id", "familia").where(F.col("familia").isNotNull())
         .join(wanted, "familia", "left_semi")
-        .groupBy("order_id").agg(F.collect_set("familia").alias("_have"))
+        .groupBy("order_id").agg(F.collect_set("familia").alias("_have")),
+        "rule-baskets",
+    )
+    held = stage(baskets.select(F.explode("_have").alias("familia")).groupBy("familia").count(), "families")
+    anchors = (
+        named.select("*", F.explode("_need").alias("familia"))
+        .join(held, "familia", "left")
+        .groupBy("antecedents", "consequents")
+        .agg(F.first("_need").alias("_need"), F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "familia")).alias("_rarest"))
     )
+    named_orders = held.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    share = max(1, named_orders // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = stage(anchors.select(
+        "antecedents", "consequents", "_need", F.col("_rarest.familia").alias("_anchor"),
+        F.greatest(F.lit(1), F.ceil(F.col("_rarest.n") / share)).cast("int").alias("_parts")), "anchors")
+    parts = dealt.select("_anchor", "_parts").distinct()
+    entries = baskets.select("order_id", "_have", F.explode("_have").alias("_anchor")).join(parts, "_anchor").withColumn(
+        "_part", F.pmod(F.xxhash64("order_id"), F.col("_parts")).cast("int"))
+    copies = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return (
-        baskets.select("order_id", "_have", F.explode("_have").alias("_anchor"))
-        .join(named.withColumn("_anchor", F.col("_need")[0]), "_anchor")
+        entries.drop("_parts").join(copies, ["_anchor", "_part"])
         .where(F.size(F.array_except("_need", "_have")) == 0)
         .select("antecedents", "consequents", "order_id")
     )

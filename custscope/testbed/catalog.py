@@ -702,13 +702,10 @@ def mba_accionables(spark, sf):
 
 @query("antecedents:s consequents:s" + VALUE_SPEC)
 def rule_value(spark, sf):
-    """Every type rule of 1→1 and 1→2 families."""
-    small = stage(
-        type_rules(spark, sf).where("n_antecedents = 1 AND n_consequents <= 2")
-        .select("antecedents", "consequents").distinct(), "small",
-    )
+    """Every type rule, of whatever size."""
+    pairs = stage(type_rules(spark, sf).select("antecedents", "consequents").distinct(), "pairs")
     lines = flatten.drop_non_products(m.type_items(spark, sf))
-    return basket.rule_value(small, lines, m.orders(spark, sf))
+    return basket.rule_value(pairs, lines, m.orders(spark, sf))
 
 
 @query("segmento:s antecedents:s consequents:s cuadrante:s")
@@ -736,7 +733,7 @@ def bundles_top(spark, sf):
 @query(BUNDLE_SPEC)
 def bundles_top_completa(spark, sf):
     found = family_rules(spark, sf)
-    return rules.bundles_top(found, found, "MVPs", "completa")
+    return rules.bundles_top(found, found, None, "completa")
 
 
 @query(BUNDLE_SPEC)

@@ -166,3 +166,49 @@ def test_quadrants(spark):
         [("a", 0.9, 9.0), ("b", 0.9, 1.0), ("c", 0.1, 9.0), ("d", 0.1, 1.0)], "k string, confidence double, lift double")
     assert [r.cuadrante for r in basket.rule_quadrants(rules).orderBy("k").collect()] == basket.QUADRANTS
     assert basket.quadrant_counts(rules).agg(F.sum("n_reglas")).first()[0] == 4
+
+
+def test_a_planted_long_set_is_not_split_further_than_it_passes(spark, monkeypatch):
+    """14 families in 2^14 frequent sets: where two consequents cannot pass, none of the 2^13 splits of the long set is built."""
+    names = [f"f{i:02d}" for i in range(14)]
+    rows = []
+    for mask in range(1, 1 << 14):
+        own = [x for i, x in enumerate(names) if mask >> i & 1]
+        rows.append(("s", own, 30 if len(own) == 14 else 40 * 3 ** (13 - len(own)), 10**9))
+    sets = basket.stage(spark.createDataFrame(rows, basket._ITEMSETS), "sets")
+    counts, real = {}, basket.stage
+
+    def counting(df, name, *more):
+        table = real(df, name, *more)
+        counts.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(basket, "stage", counting)
+    got = {(r.antecedents, r.consequents): r.support_count for r in basket.association_rules(sets, 0.5, 0.0).collect()}
+    assert got == {(", ".join(x for x in names if x != y), y): 30 for y in names}
+    assert counts["rule-level"] == [14, 0]  # of 91 consequents of two none passes, and longer ones are not built
+
+
+@pytest.mark.parametrize("parts", ["4", "32"])
+def test_rules_of_a_hot_family_are_matched_in_parts(spark, monkeypatch, parts):
+    """One family is in every order: rules that only hold it are dealt by order, all others by their rarest family."""
+    rng = random.Random(3)
+    orders = {f"o{i}": {"hot", *rng.sample([f"f{j}" for j in range(30)], rng.randint(0, 4))} for i in range(600)}
+    lines = spark.createDataFrame([(o, f) for o, fams in orders.items() for f in fams], "order_id string, familia string")
+    pairs = [("hot", "f1"), ("f1, f2", "hot"), ("f3", "f4"), ("hot", "none"), ("f5, f6", "f7"), ("hot", "hot")]
+    rules = spark.createDataFrame(pairs, "antecedents string, consequents string")
+    spread, real = [], basket.stage
+    monkeypatch.setattr(basket, "stage", lambda df, name, *more: spread.append((name, real(df, name, *more))) or spread[-1][1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted(tuple(r) for r in basket.orders_matching(rules, lines).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted((a, b, o) for a, b in pairs for o, fams in orders.items() if set(f"{a}, {b}".split(", ")) <= fams)
+    assert got == want
+    dealt = {r.antecedents + r.consequents: (r._anchor, r._parts) for r in dict(spread)["anchors"].collect()}
+    assert dealt["hotf1"][0] == "f1" and dealt["hotnone"] == ("none", 1)
+    anchor, cut = dealt["hothot"]
+    share = sum(len(f & {"hot", *(f"f{j}" for j in range(1, 8))}) for f in orders.values()) // (4 * int(parts))
+    assert anchor == "hot" and cut == -(-600 // share)
