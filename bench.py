@@ -38,8 +38,11 @@ def replicate(df: DataFrame, copies: int, keys: list[str]) -> DataFrame:
 
 def steps(spark: SparkSession, folder: str, copies: int):
     """Name and builder of each timed step, in pipeline order."""
-    orders = stage(replicate(m.orders(spark, folder), copies, ["order_id", "cliente_id"]), "orders")
-    items = stage(replicate(m.items(spark, folder), copies, ["order_id", "cliente_id"]), "items")
+    # The input is one file with one row group. The store holds a table in many files, one for each core at least, so
+    # that is how the steps find theirs, at every size.
+    files = spark.sparkContext.defaultParallelism
+    orders = stage(replicate(m.orders(spark, folder), copies, ["order_id", "cliente_id"]).repartition(files), "orders")
+    items = stage(replicate(m.items(spark, folder), copies, ["order_id", "cliente_id"]).repartition(files), "items")
     proxy = stage(replicate(m.proxy_segments(spark, folder), copies, ["cliente_id"]), "proxy")
     scored = stage(segment.segment_customers(orders, None, m.AS_OF), "scored")
     products = flatten.drop_non_products(items)

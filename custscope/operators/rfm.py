@@ -88,20 +88,20 @@ def purchase_cadence(orders: DataFrame, as_of=None, months: int = DEFAULT_MONTHS
 def impute_single_buyers(features: DataFrame) -> DataFrame:
     """Flags customers without a cadence and gives them the 95th percentile of the others.
 
-    The percentile is one value read as a scalar subquery. Cadences are multiples of half a day,
+    The percentile is one row that is joined to all. As a scalar subquery it would be planned again, with all
+    that lies below it, for every filter on a column made from it. Cadences are multiples of half a day,
     so its aggregation state is bounded by the window, not by the number of customers.
     """
     check = features.agg(
-        F.struct(
-            F.percentile("dias_entre_compras", 0.95).alias("p95"),
-            F.count_if(F.col("recency").isNull() | F.isnan("monetary")).alias("n_malos"),
-        )
-    ).scalar()
-    filled = F.coalesce(F.col("dias_entre_compras"), check["p95"], F.lit(FALLBACK_CADENCE_DAYS))
-    return features.select(
+        F.percentile("dias_entre_compras", 0.95).alias("_p95"),
+        F.count_if(F.col("recency").isNull() | F.isnan("monetary")).alias("_malos"),
+    )
+    filled = F.coalesce(F.col("dias_entre_compras"), F.col("_p95"), F.lit(FALLBACK_CADENCE_DAYS))
+    # A global aggregate: exactly one row, whatever the size of the data.
+    return features.crossJoin(F.broadcast(check)).select(
         "cliente_id", "recency", "frequency", "monetary",
         F.when(
-            check["n_malos"] > 0,
+            F.col("_malos") > 0,
             F.raise_error(F.lit("null feature values remain after imputation")).cast("double"),
         ).otherwise(filled).alias("dias_entre_compras"),
         F.col("dias_entre_compras").isNull().cast("int").alias("es_single_buyer"),

@@ -73,6 +73,36 @@ class SegmentModel:
         """The model shipped with the library, read without a session."""
         return SegmentModel.from_json((PACKAGED_MODELS / version / "params.json").read_text("utf-8"))
 
+    @staticmethod
+    def from_fitted(
+        pipeline: PipelineModel, n_customers: int, version: str = DEFAULT_VERSION, cluster_names=None,
+        silhouette: float | None = None, notas: str | None = None, features: list[str] | None = None,
+    ) -> SegmentModel:
+        """Takes over a pipeline that was fitted elsewhere: assembler, scaler and k-means as `build_pipeline` orders them.
+
+        `cluster_names` is a list by cluster number, or a map from number to name, with a name of its own for every
+        cluster; without it clusters are named from best to worst.
+        """
+        features = list(features or FEATURES)
+        scaler, kmeans = pipeline.stages[-2:]
+        # Spark scales by the sample deviation; the parameters use the population deviation.
+        widen = math.sqrt(n_customers / (n_customers - 1)) if n_customers > 1 else 1.0
+        centroids = [[float(x) * widen for x in c] for c in kmeans.clusterCenters()]
+        names = _given_names(cluster_names, len(centroids)) if cluster_names is not None else _name_clusters(centroids, features)
+        return SegmentModel(
+            version=version,
+            features=features,
+            mean=[float(x) for x in scaler.mean],
+            std=[(float(x) / widen) or 1.0 for x in scaler.std],
+            centroids=centroids,
+            cluster_names=names,
+            trained_at=datetime.now(tz=timezone.utc).isoformat(),
+            n_clientes_entrenamiento=n_customers,
+            silhouette_score=silhouette,
+            notas=notas,
+            pipeline=pipeline,
+        )
+
     def load_pipeline(self, models_dir: str) -> PipelineModel:
         return PipelineModel.load(f"{models_dir.rstrip('/')}/{self.version}/pipeline")
 
@@ -103,6 +133,13 @@ def _name_clusters(centroids: list[list[float]], features: list[str]) -> list[st
     return names
 
 
+def _given_names(names, k: int) -> list[str]:
+    by_number = {int(i): n for i, n in names.items()} if isinstance(names, dict) else dict(enumerate(names))
+    if sorted(by_number) != list(range(k)) or len(set(by_number.values())) != k:
+        raise ValueError(f"give each of the {k} clusters one name of its own, not {names!r}")
+    return [by_number[i] for i in range(k)]
+
+
 def fit(
     rfm: DataFrame,
     version: str = DEFAULT_VERSION,
@@ -111,6 +148,7 @@ def fit(
     n_init: int = 10,
     with_silhouette: bool = False,
     notas: str | None = None,
+    cluster_names=None,
 ) -> SegmentModel:
     """Trains with `n_init` seeds and keeps the lowest within-cluster cost.
 
@@ -131,23 +169,8 @@ def fit(
         silhouette = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster_id").evaluate(
             best.transform(prepared)
         )
-    scaler = preparation.stages[-1]
-    # Spark scales by the sample deviation; the parameters use the population deviation.
-    widen = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    centroids = [[float(x) * widen for x in c] for c in best.clusterCenters()]
-    return SegmentModel(
-        version=version,
-        features=list(FEATURES),
-        mean=[float(x) for x in scaler.mean],
-        std=[(float(x) / widen) or 1.0 for x in scaler.std],
-        centroids=centroids,
-        cluster_names=_name_clusters(centroids, FEATURES),
-        trained_at=datetime.now(tz=timezone.utc).isoformat(),
-        n_clientes_entrenamiento=n,
-        silhouette_score=silhouette,
-        notas=notas,
-        pipeline=PipelineModel(stages=[*preparation.stages, best]),
-    )
+    return SegmentModel.from_fitted(
+        PipelineModel(stages=[*preparation.stages, best]), n, version, cluster_names, silhouette, notas)
 
 
 def k_scan(rfm: DataFrame, ks=range(2, 11), seed: int = 42, n_init: int = 10) -> DataFrame:

@@ -955,11 +955,12 @@ SPECS["stream_daily"] = SPECS.pop("stream_daily_orders")
 
 @query("modo:s orden:i paso:s estado:s error:s")
 def pipeline_runs(spark, sf):
-    """A weekly run with ingest, then a daily one that reuses the rules, then a monthly one: one row per step."""
+    """A weekly run with ingest and rules, then a daily one that reuses the rules, then a monthly one: one row per step."""
+    limits = {"min_support_count": 10, "min_support_pct": 0.001, "min_confidence": 0.02, "min_lift": 1.2}
     root = fresh_path(spark, "pipeline")
     source = stage(parsed(spark, sf), "documents")
     out = None
     for mode, day in (("weekly", m.AS_OF), ("daily", m.AS_OF + timedelta(days=1)), ("monthly", m.AS_OF + timedelta(days=2))):
-        rows = job.run_pipeline(spark, root, source, mode, day).to_frame(spark)
+        rows = job.run_pipeline(spark, root, source, mode, day, rule_limits=limits).to_frame(spark)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -81,3 +81,19 @@ def test_orders_to_segments(make_orders, ref):
     got = segment.segment_customers(orders, None, ref).collect()
     assert len(got) == 300 == len({r.cliente_id for r in got})
     assert all(0 <= r.cluster_id <= 4 and 0 <= r.razon_distancias <= 1 for r in got)
+
+
+def test_a_pipeline_fitted_elsewhere_and_given_names(spark):
+    rng = random.Random(2)
+    rows = [(f"c{i}", rng.randint(0, 300), rng.randint(1, 60), rng.random() * 1e4, rng.random() * 90, 0) for i in range(200)]
+    rfm = spark.createDataFrame(rows, "cliente_id string, recency bigint, frequency bigint, monetary double, dias_entre_compras double, es_single_buyer int")
+    pipeline = segment.build_pipeline(3).fit(rfm)
+    model = segment.SegmentModel.from_fitted(pipeline, 200, "ajeno", {2: "alto", 0: "bajo", 1: "medio"})
+    assert (model.cluster_names, model.version, model.n_clientes_entrenamiento) == (["bajo", "medio", "alto"], "ajeno", 200)
+    want = {r.cliente_id: r.cluster_id for r in pipeline.transform(rfm).collect()}
+    assert {r.cliente_id: r.cluster_id for r in segment.score(rfm, model).collect()} == want
+    named = segment.fit(rfm, k=3, n_init=1, cluster_names=["x", "y", "z"])
+    assert named.cluster_names == ["x", "y", "z"]
+    for wrong in (["a", "b"], ["a", "a", "b"], {0: "a", 1: "b", 3: "c"}):
+        with pytest.raises(ValueError, match="name of its own"):
+            segment.SegmentModel.from_fitted(pipeline, 200, cluster_names=wrong)
