@@ -44,10 +44,20 @@ def tokenizer(path: str):
     return loaded, {}
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A word and the marks after its last letter: the vocabulary's pattern always parts them."""
+@lru_cache(1 << 12)
+def _stays_letter(path: str, char: str) -> bool:
+    """Whether the vocabulary's own rules leave a letter at the end of what they make of this one.
+
+    Some turn into a letter and a combining mark, which the pattern keeps together with the marks behind it.
+    """
+    loaded, _ = tokenizer(path)
+    return char.isalpha() and loaded.normalizer.normalize_str(char)[-1:].isalpha()
+
+
+def _parts(path: str, word: str) -> tuple[str, str]:
+    """A word and the marks after its last letter, which the vocabulary's pattern then parts."""
     core = word.rstrip(_MARKS)
-    return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
+    return (core, word[len(core) :]) if core and _stays_letter(path, core[-1]) else (word, "")
 
 
 def _letters(piece: str) -> str | None:
@@ -80,7 +90,7 @@ def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
     loaded, cache = tokenizer(path)
     if len(cache) + len(words) > _CACHED_WORDS:
         cache.clear()
-    split = {w: _parts(w) for w in words.difference(cache)}
+    split = {w: _parts(path, w) for w in words.difference(cache)}
     unknown = list({p for parts in split.values() for p in parts}.difference(cache))
     found = _spelled(loaded, unknown)
     ids = lambda p: found[p] if p in found else cache[p]

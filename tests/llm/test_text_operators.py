@@ -418,3 +418,21 @@ def test_pipeline_stages_keep_rows_apart(spark, odd_docs, tmp_path):
     for r in kept:
         assert tuple(r) in all_rows
     assert {r["source"] for r in kept} >= {"a", "d", "g", "h", "i", "j", "k"} and not {"b", "c"} & {r["source"] for r in kept}
+
+
+def test_document_ids_of_every_code_point():
+    """Each assigned code point at the end of a word, before marks, before a combining mark and in random mixes."""
+    import unicodedata
+
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) not in ("Cn", "Co")]
+    ends = ("", "a", "!!", ".", ".́", "̇!", "#b")
+    texts = [" ".join(f"a{c}{end} {c}{end}" for end in ends) for c in chars]
+    rng = random.Random(6)
+    odd = ["İ", "ß", "Σ", "ς", "̇", "́", "क़", "יִ", "̈́", "!", "#", "'s", " ", "a", "E", "1", "‍", "İ"]
+    texts += ["".join(rng.choices(odd + rng.sample(chars, 3), k=12)) for _ in range(20_000)]
+    texts += ["Kitap İKİ. Son", "aİ.", "İ!!"]
+    loaded = Tokenizer.from_file(WORDS)
+    loaded.encode_special_tokens = True
+    want = loaded.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, w, g in zip(texts, want, packing.document_ids(WORDS, texts), strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids]
+    assert wrong == []
