@@ -30,7 +30,7 @@ SHORT_ENDINGS, LONG_ENDINGS = ("s", "t", "m", "d"), ("re", "ve", "ll")
 LETTER, NUMBER, OTHER, CUT2, CUT3, BLANK, LEAD, LAST_BLANK, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_LEAD, ONE_LEFT, TWO_LEFT = range(8)
 _LANE = 256
-_CACHED_PIECES, _CACHED_CHARS = 200_000, 40
+_CACHED_PIECES, _CACHED_BYTES = 200_000, 40
 
 
 @lru_cache(1)
@@ -107,19 +107,28 @@ def piece_starts(symbols: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
-def split_texts(texts: list[str]) -> Iterator[list[str]]:
-    """Pieces of each text."""
+def cut_texts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts as byte strings that share one buffer, with one zero byte behind each text, and the places of those."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes + 1) - 1
     joined = "\0".join(texts) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     starts = piece_starts(symbols_of(points, ends))
     starts[ends] = True
     cuts = np.flatnonzero(starts)
-    places = np.searchsorted(cuts, ends)
-    cuts, first = cuts.tolist(), 0
+    widths = 1 + (points >= 0x80).view(np.int8) + (points >= 0x800).view(np.int8) + (points >= 0x10000).view(np.int8)
+    behind = np.cumsum(widths, dtype=np.int64)
+    offsets = np.append(behind[cuts] - widths[cuts], behind[-1]).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
+    return pieces, np.searchsorted(cuts, ends)
+
+
+def split_texts(texts: list[str]) -> Iterator[list[str]]:
+    """Pieces of each text."""
+    pieces, places = cut_texts(texts)
+    first = 0
     for last in places.tolist():
-        yield [joined[a:b] for a, b in zip(cuts[first:last], cuts[first + 1 : last + 1], strict=True)]
+        yield [p.decode() for p in pieces[first:last].to_pylist()]
         first = last + 1
 
 
@@ -133,7 +142,8 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        self.cache: dict[str, bytes] = {}
+        self.bytes = pa.array(self.tokens, pa.binary())
+        self.cache: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: a queue of neighbours by (rank, place), stale entries skipped."""
@@ -164,18 +174,46 @@ class Vocabulary:
         return out
 
     def ids(self, pieces: list[str]) -> bytes:
-        """Joined 32-bit ids of pieces; short pieces are remembered until the cache is full."""
+        """Joined 32-bit ids of pieces."""
+        return b"".join(self.ids_of_each([p.encode("utf-8", "surrogatepass") for p in pieces]))
+
+    def ids_of_each(self, pieces: list[bytes]) -> list[bytes]:
+        """32-bit ids of each piece; short pieces are remembered until the cache is full."""
         cache, found = self.cache, []
         for piece in pieces:
             known = cache.get(piece)
             if known is None:
-                known = np.asarray(self.merge(piece.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-                if len(piece) <= _CACHED_CHARS:
+                known = np.asarray(self.merge(piece), np.int32).tobytes()
+                if len(piece) <= _CACHED_BYTES:
                     if len(cache) >= _CACHED_PIECES:
                         cache.clear()
                     cache[piece] = known
             found.append(known)
-        return b"".join(found)
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, with the end of the last.
+
+        Only the distinct pieces are merged; the ids of all pieces are then taken from theirs.
+        """
+        pieces, places = cut_texts(texts)
+        coded = pieces.dictionary_encode()
+        index = coded.indices.to_numpy()
+        own = self.ids_of_each(coded.dictionary.to_pylist())
+        count = np.fromiter((len(o) // 4 for o in own), np.int64, len(own))
+        begin = np.cumsum(count) - count
+        sizes = count[index]
+        sizes[places] = 0
+        behind = np.cumsum(sizes)
+        flat = np.repeat(begin[index] - (behind - sizes), sizes) + np.arange(behind[-1])
+        return np.frombuffer(b"".join(own), np.int32)[flat], np.concatenate(([0], behind[places]))
+
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """The bytes of each text, whose ids begin at `cuts`."""
+        taken = self.bytes.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[cuts])), data or pa.py_buffer(b"")])
 
 
 @lru_cache(2)
@@ -183,8 +221,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _lists(sizes: list[int], values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
+def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
 
 def _encode(path: str):
@@ -193,16 +231,12 @@ def _encode(path: str):
         for batch in batches:
             texts = batch["text"].to_pylist()
             for a, b in slabs(texts):
-                found = [vocab.ids(pieces) for pieces in split_texts(texts[a:b])]
-                ids = np.frombuffer(b"".join(found), np.int32)
-                sizes = [len(f) // 4 for f in found]
-                ends = np.cumsum(vocab.lengths[ids])
+                ids, cuts = vocab.encode(texts[a:b])
+                ends = np.concatenate(([0], np.cumsum(vocab.lengths[ids])))
                 # Ends within the own text: those of the texts before it are taken off.
-                first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-                base = np.repeat(np.concatenate(([0], ends))[first], sizes)
+                own = ends[1:] - np.repeat(ends[cuts[:-1]], np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][a:b], _lists(sizes, ids), _lists(sizes, (ends - base).astype(np.int32))],
-                    ["doc_id", "ids", "ends"])
+                    [batch["doc_id"][a:b], _lists(cuts, ids), _lists(cuts, own.astype(np.int32))], ["doc_id", "ids", "ends"])
 
     return run
 
@@ -220,14 +254,15 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            out = []
-            for ids, ends in zip(batch["ids"], batch["ends"], strict=True):
-                text = b"".join(map(vocab.tokens.__getitem__, ids.values.tolist()))
-                if (ends.values[-1].as_py() if len(ends.values) else 0) != len(text):
-                    raise ValueError("ids and offsets do not belong together")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            cuts = batch["ids"].offsets.to_numpy()
+            ids = batch["ids"].values.to_numpy()[cuts[0] : cuts[-1]]
+            cuts = cuts - cuts[0]
+            decoded = vocab.decode(ids, cuts)
+            ends, size = batch["ends"].flatten().to_numpy(), np.diff(cuts)
+            last = ends[cuts[1:][size > 0] - 1] if len(ends) == len(ids) else None
+            if last is None or not np.array_equal(last, np.diff(np.frombuffer(decoded.buffers()[1], np.int32))[size > 0]):
+                raise ValueError("ids and offsets do not belong together")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], decoded], ["doc_id", "ids", "decoded"])
 
     return run
 
