@@ -31,6 +31,7 @@ LETTER, NUMBER, OTHER, CUT2, CUT3, BLANK, LEAD, LAST_BLANK, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_LEAD, ONE_LEFT, TWO_LEFT = range(8)
 _LANE = 256
 _CACHED_PIECES, _CACHED_BYTES = 200_000, 40
+_NO_PAIR = 1 << 40
 
 
 @lru_cache(1)
@@ -143,6 +144,11 @@ class Vocabulary:
             self.tokens[rank] = token
         self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.bytes = pa.array(self.tokens, pa.binary())
+        # All pairs of tokens that make a token, in order, and what they make.
+        halves = ((self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
+        pairs = np.array([(a << 32 | b, r) for a, b, r in halves if a is not None and b is not None], np.int64).reshape(-1, 2)
+        self.pairs, self.made = pairs[np.argsort(pairs[:, 0])].T.copy()
+        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.cache: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -173,22 +179,65 @@ class Vocabulary:
             i = end[i]
         return out
 
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], _NO_PAIR)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """32-bit ids of many short pieces at once: each round merges the first pair of lowest rank of every piece."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        token = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.append(self._pair_ranks(token[:-1], token[1:]), _NO_PAIR)
+        rank[np.cumsum(sizes) - 1] = _NO_PAIR
+        done = []
+        while len(token):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(owner))))
+            over = lowest == _NO_PAIR
+            done.append((owner[over], token[over]))
+            hit = np.flatnonzero((rank == lowest) & ~over)
+            hit = hit[np.diff(owner[hit], prepend=-1) != 0]
+            token[hit] = rank[hit]
+            kept = ~over
+            kept[hit + 1] = False
+            place = np.cumsum(kept) - 1
+            owner, token, rank, hit = owner[kept], token[kept], rank[kept], place[hit]
+            for at in (hit[(hit > 0)] - 1, hit):
+                both = at[(at + 1 < len(owner))]
+                both = both[owner[both] == owner[both + 1]]
+                rank[at] = _NO_PAIR
+                rank[both] = self._pair_ranks(token[both], token[both + 1])
+        owner, token = (np.concatenate(side) for side in zip(*done, strict=True)) if done else (owner, token)
+        order = np.argsort(owner, kind="stable")
+        flat, cuts = token[order].astype(np.int32).tobytes(), 4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))
+        return [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
     def ids(self, pieces: list[str]) -> bytes:
         """Joined 32-bit ids of pieces."""
         return b"".join(self.ids_of_each([p.encode("utf-8", "surrogatepass") for p in pieces]))
 
     def ids_of_each(self, pieces: list[bytes]) -> list[bytes]:
         """32-bit ids of each piece; short pieces are remembered until the cache is full."""
-        cache, found = self.cache, []
-        for piece in pieces:
-            known = cache.get(piece)
+        cache, ranks, whole = self.cache, self.ranks, self.of_byte.min() >= 0
+        found = [cache.get(p) for p in pieces]
+        short = []
+        for i, known in enumerate(found):
             if known is None:
-                known = np.asarray(self.merge(piece), np.int32).tobytes()
-                if len(piece) <= _CACHED_BYTES:
-                    if len(cache) >= _CACHED_PIECES:
-                        cache.clear()
-                    cache[piece] = known
-            found.append(known)
+                piece = pieces[i]
+                if (rank := ranks.get(piece)) is not None:
+                    found[i] = rank.to_bytes(4, "little")
+                elif len(piece) <= _CACHED_BYTES and whole:
+                    short.append(i)
+                else:
+                    found[i] = np.asarray(self.merge(piece), np.int32).tobytes()
+        if short:
+            own = [pieces[i] for i in short]
+            if len(cache) + len(own) > _CACHED_PIECES:
+                cache.clear()
+            for i, piece, made in zip(short, own, self.merge_all(own), strict=True):
+                found[i] = cache[piece] = made
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
