@@ -9,9 +9,12 @@ pseudonyms in every document, different values different ones, and nothing is lo
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import slabs
 
-KEY = b"pseudonyms of the corpus"
 ROUNDS = 8
+#: Up to this many values of a format the permutation leaves none in its place.
+SMALL = 1 << 20
 
 
 class Feistel:
@@ -34,6 +38,12 @@ class Feistel:
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=64).digest()) % modulus
 
     def permute(self, value: int, n: int, tweak: str) -> int:
+        """The place of a value. In a small set a turn between the network and its inverse leaves no value where it was."""
+        if 1 < n <= SMALL:
+            return self._walk((self._walk(value, n, tweak, 1) + 1) % n, n, tweak, -1)
+        return self._walk(value, n, tweak, 1)
+
+    def _walk(self, value: int, n: int, tweak: str, way: int) -> int:
         side = 1
         while side * side < n:
             side *= 2
@@ -47,8 +57,11 @@ class Feistel:
                 side = middle
         while True:
             left, right = divmod(value, side)
-            for number in range(ROUNDS):
-                left, right = right, (left + self._round(tweak, number, right, side)) % side
+            for number in range(ROUNDS)[::way]:
+                if way > 0:
+                    left, right = right, (left + self._round(tweak, number, right, side)) % side
+                else:
+                    left, right = (right - self._round(tweak, number, left, side)) % side, left
             value = left * side + right
             if value < n:
                 return value
@@ -76,8 +89,25 @@ def _spell(text: str, alphabets: list[str | None], feistel: Feistel, tweak: str)
     return "".join(out)
 
 
+@lru_cache(1 << 12)
+def _alphabet(char: str) -> str | None:
+    """The letters or digits that may stand for one: a fixed alphabet, or those of its kind among the 128 code points around it."""
+    for alphabet in ALPHABETS:
+        if char in alphabet:
+            return alphabet
+    kind = unicodedata.category(char)
+    if kind[0] != "L" and kind != "Nd":
+        return None
+    start = ord(char) & ~127
+    around = "".join(c for c in map(chr, range(start, start + 128)) if unicodedata.category(c) == kind)
+    return around if len(around) > 1 else ALPHABETS[1]  # a letter alone of its kind is written with a to z
+
+
 def by_class(text: str, feistel: Feistel, tweak: str) -> str:
-    return _spell(text, [next((a for a in ALPHABETS if c in a), None) for c in text], feistel, tweak)
+    """Every letter and digit becomes one of its own alphabet; a letter that is not in its alphabet is replaced first."""
+    alphabets = [_alphabet(c) for c in text]
+    plain = "".join(c if not a or c in a else a[ord(c) % len(a)] for c, a in zip(text, alphabets, strict=True))
+    return _spell(plain, alphabets, feistel, tweak)
 
 
 def luhn_digit(digits: str) -> str:
@@ -130,7 +160,10 @@ def _iban_end(text: str) -> int | None:
 
 
 def iban(text: str, feistel: Feistel) -> str | None:
-    """The value may be shorter than the text: what follows it is not part of it."""
+    """The value may be shorter than the text: what follows it is not part of it. Small letters stay small and count as capitals."""
+    if text[:1].islower():
+        fresh = iban(text.upper(), feistel)
+        return fresh and fresh.lower()
     end = _iban_end(text)
     if end is None or text[end : end + 1].isalnum():
         return None
@@ -153,7 +186,8 @@ CODES_1, CODES_2 = set("17"), set(
 def phone(text: str, feistel: Feistel) -> str | None:
     """With a country code, that stays, by the table of codes; a national number is permuted as a whole.
 
-    The value may be shorter than the text: groups at the end that make the number too long are not part of it.
+    The value may be shorter than the text: groups at the end that make the number too long are not part of it. A
+    national number without brackets has nine digits or more, so that versions, rooms and chapters are none.
     """
     digits, country = re.sub(r"\D", "", text), ""
     if text[0] == "+":
@@ -162,7 +196,7 @@ def phone(text: str, feistel: Feistel) -> str | None:
     if len(digits) > (10 if country == "1" else min(12, 15 - len(country))):
         shorter = re.sub(r"[ ./-]+\d+$", "", text)
         return phone(shorter, feistel) if shorter != text else None
-    if len(digits) < 6:
+    if len(digits) < (6 if text[0] in "+(" else 9):
         return None
     return _like(country + by_class(digits, feistel, "phone" + country), text)
 
@@ -179,6 +213,16 @@ def social(text: str, feistel: Feistel) -> str | None:
 
 
 def address(text: str, feistel: Feistel) -> str | None:
+    """Four numbers, or the groups of a long address: at least three of them, with a digit, so that code is none."""
+    if ":" in text:
+        try:
+            number = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        if len([g for g in text.split(":") if g]) < 3 or not any(c.isdigit() for c in text):
+            return None
+        fresh = str(ipaddress.IPv6Address(feistel.permute(number, 1 << 128, "long address")))
+        return fresh if text == text.lower() else fresh.upper()
     parts = [int(x) for x in text.split(".")]
     if max(parts) > 255:
         return None
@@ -227,14 +271,16 @@ _NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|priva
 KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
     ("secret", rf"(?<![^\W_]){_NAMES}[^\w\n]{{1,12}}(?P<value>[A-Za-z0-9_+/=-]{{16,}})", secret),
     ("email", r"[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+", email),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)", iban),
+    ("iban", r"(?<!\w)(?:[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)|"
+             r"[a-z]{2}\d{2}(?:[a-z0-9]{11,30}|(?: [a-z0-9]{4}){2,7}(?: [a-z0-9]{1,4})?))(?!\w)", iban),
     ("phone", r"(?<![\w+])(?:\+\d{7,15}|\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,8}){1,6}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|"
               r"(?<![\d.-])[2-9]\d{2}(?P<s1>[ .-])[2-9]\d{2}(?P=s1)\d{4}|"
               r"\(0\d{1,5}\)(?:[ ./-]?\d{2,8}){1,4}|(?<![\d./-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))0[1-9]\d{0,4}(?:[ ./-]\d{2,8}){1,4})(?!\w|[-]\d|[./]\d)", phone),
     ("social", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social),
     ("day", r"(?<![\w./-])(?:\d{4}(?P<s0>[/.-])\d{1,2}(?P=s0)\d{1,2}|\d{1,2}(?P<s2>[./-])\d{1,2}(?P=s2)\d{4})"
             r"(?:(?=T\d{1,2}:?\d{2})|(?![\w-]|[./]\d))", day),
-    ("address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", address),
+    ("address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|"
+                r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|(?=::))(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", address),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|"
              r"\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?![\w-])", card),
 )
@@ -243,14 +289,49 @@ _EACH = {k: re.compile(p) for k, p, _ in KINDS}
 _MAKE = {k: f for k, _, f in KINDS}
 #: Kinds whose value may be shorter than what the pattern took, and as long as its pseudonym.
 SHORTER = ("iban", "phone")
-_HINT = re.compile(r"[0-9@]|" + _NAMES)
+_HINT = re.compile(r"[\d@]|" + _NAMES)
+# Words that a national phone number may follow. Behind any other word it is a total, a room or the like.
+PHONE_WORDS = frozenset((
+    "anruf anrufen appeler appelez at au call calling cel celular cell contact dial fax fon handy is llamar llame mobil mobile móvil movil "
+    "no nr number nummer numéro número oder on or ou o phone portable reach ring rufen tel tél tele telefon telefono teléfono telephone "
+    "téléphone text to und unter under whatsapp").split())
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[ \t]+\Z")
+
+
+def _ascii_digits(text: str) -> tuple[str, str | None]:
+    """The text with digits 0 to 9, and the zero of the first digit that was of another script."""
+    other = next((c for c in text if c.isdecimal() and not c.isascii()), None)
+    if other is None:
+        return text, None
+    plain = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+    return plain, chr(ord(other) - unicodedata.decimal(other))
+
+
+def _fresh(kind: str, value: str, feistel: Feistel) -> str | None:
+    """The pseudonym of a value, in the digits that it is written with; None if it is not valid, or nothing in it can change."""
+    if kind in ("email", "secret"):
+        fresh = _MAKE[kind](value, feistel)
+    else:
+        plain, zero = _ascii_digits(value)
+        fresh = _MAKE[kind](plain, feistel)
+        if fresh is not None and zero:
+            fresh = "".join(chr(ord(zero) + int(c)) if c in ALPHABETS[0] else c for c in fresh)
+    return None if fresh is not None and value.startswith(fresh) else fresh
+
+
+def _named_otherwise(kind: str, text: str, start: int) -> bool:
+    """A national phone number behind a word that speaks of something else."""
+    if kind != "phone" or text[start] in "+(":
+        return False
+    before = _WORD_BEFORE.search(text, max(0, start - 40), start)
+    return before is not None and before[1].lower() not in PHONE_WORDS
 KIND_NAMES = tuple(k for k, _, _ in KINDS)
 
 
 def _other(text: str, at: int, tried: str, feistel: Feistel) -> tuple[str, str, int] | None:
     """(kind, pseudonym, end) of the first later kind that is valid at a place where `tried` is not."""
     for kind in KIND_NAMES[KIND_NAMES.index(tried) + 1 :]:
-        if (m := _EACH[kind].match(text, at)) and (fresh := _MAKE[kind](m[0], feistel)) is not None:
+        if (m := _EACH[kind].match(text, at)) and not _named_otherwise(kind, text, at) and (fresh := _fresh(kind, m[0], feistel)) is not None:
             return kind, fresh, at + len(fresh) if kind in SHORTER else m.end()
     return None
 
@@ -263,7 +344,7 @@ def pseudonymise(text: str, feistel: Feistel) -> tuple[str, list[tuple[str, int,
     while m := _ANY.search(text, look):
         kind = next(k for k in KIND_NAMES if m[k] is not None)
         group = "value" if kind == "secret" else kind
-        fresh = _MAKE[kind](m[group], feistel)
+        fresh = None if _named_otherwise(kind, text, m.start()) else _fresh(kind, m[group], feistel)
         if fresh is None:
             if other := _other(text, m.start(), kind, feistel):
                 kind, fresh, end = other
@@ -301,8 +382,10 @@ def _run(key: bytes, text_at: str):
     return run
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Every row with all its columns, pseudonyms in `text`, and `pii`: kind, start and end (code points) of each.
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
+    """Whoever has the key can undo the pseudonyms: give one of your own and keep it out of the code.
+
+    Every row with all its columns, pseudonyms in `text`, and `pii`: kind, start and end (code points) of each.
 
     Texts keep their length but for addresses, whose numbers have no fixed width. A null text stays null and has
     no spans, an empty one stays empty. Rows do not depend on each other; a column named pii is replaced. An

@@ -197,11 +197,62 @@ def test_phones_link_in_all_spellings():
     assert pii.pseudonymise("+1234", feistel)[1] == [] and pii.pseudonymise("version 1.2.3 of 10 and 20", feistel)[1] == []
 
 
+@pytest.mark.parametrize(("kind", "value"), [
+    *[("email", v) for v in ("иван@почта.рф", "ş@ğ.tr", "łukasz@żółć.pl", "νίκος@παράδειγμα.gr", "a@b.c", "名前@例え.jp")],
+    *[("address", v) for v in ("2001:db8::8a2e:370:7334", "2001:0DB8:85A3:0:0:8A2E:370:7334", "190.137.223.204")],
+    ("iban", "de89370400440532013000"), ("phone", "+٤٩ ١٧٠ ١٢٣٤٥٦٧"), ("day", "٢٠٢٤-٠٣-٠٥"), ("card", "٤٥٣٢٠١٥١١٢٨٣٠٣٦٦"),
+])
+def test_pseudonyms_change_whatever_they_report(kind, value):
+    """Every letter and digit but those of the last label, the country and the check digits may change; the value as a whole does."""
+    for key in (b"key", b"other", b"3"):
+        text, found = pii.pseudonymise(f"see {value} here", pii.Feistel(key))
+        assert [k for k, _, _ in found] == [kind] and value not in text and text.startswith("see ") and text.endswith(" here")
+        if kind == "email":
+            parts, fresh = re.split("[@.]", value), re.split("[@.]", text[4:-5])
+            assert len(parts) == len(fresh) and parts[-1] == fresh[-1]
+            assert all(a != b and len(a) == len(b) for a, b in zip(parts[:-1], fresh[:-1], strict=True))
+        if value[-1] in "٤٥٦٧":
+            assert not re.search("[0-9]", text)
+    ascii_ = pii.pseudonymise("+49 170 1234567", pii.Feistel(b"key"))[0]
+    assert pii._ascii_digits(pii.pseudonymise("+٤٩ ١٧٠ ١٢٣٤٥٦٧", pii.Feistel(b"key"))[0])[0] == ascii_
+
+
+@pytest.mark.parametrize("text", [
+    "release 01.02.03", "chapter 01 02 03", "room 0123 4567", "total 0800 1200 5000", "at 12:34:56 or 1:2:3", "std::vector a::b", "::1",
+    "section 02.10.11", "order 0123 4567 8901", "x = 3.14159, y = 100000"])
+def test_other_numbers_are_left_alone(text):
+    assert pii.pseudonymise(text, pii.Feistel(b"key")) == (text, [])
+
+
+def test_small_formats_have_no_fixed_points():
+    feistel = pii.Feistel(b"key")
+    for n in (2, 3, 26, 1000):
+        found = [feistel.permute(i, n, "t") for i in range(n)]
+        assert sorted(found) == list(range(n)) and all(i != x for i, x in enumerate(found))
+
+
+def test_values_stay_linked_across_a_table_and_none_is_left(spark):
+    values = ["4532015112830366", "DE89 3704 0044 0532 0130 00", "+1 (974) 555-3436", "a.b@mail7.example.com", "иван@почта.рф",
+              "190.137.223.204", "1999-12-31", "123-45-6789", "2001:db8::8a2e:370:7334"]
+    rows = [(i, f"Text {chr(65 + i % 26)} of its own. " + " and ".join(values[i % 3 :: 3]) + " end") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    done = {r["doc_id"]: r for r in pii.pseudonyms(docs, b"key").collect()}
+    fresh = {}
+    for i, text in rows:
+        got = done[i]["text"]
+        assert len(done[i]["pii"]) == 3 and not any(v in got for v in values)
+        assert got[:16] == text[:16] and got.endswith(" end")
+        fresh.setdefault(i % 3, set()).add(got[16:])
+    assert all(len(x) == 1 for x in fresh.values())  # equal values, equal pseudonyms, in twenty documents each
+    other = pii.pseudonyms(docs, b"another").where("doc_id = 0").first()["text"]
+    assert other != done[0]["text"]
+
+
 def test_pseudonyms_of_odd_rows(odd_docs, no_docs):
     before = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
-    done = pii.pseudonyms(odd_docs)
+    done = pii.pseudonyms(odd_docs, b"key")
     assert {(r["doc_id"], r["text"]) for r in done.collect()} == before
-    assert done.columns == [*odd_docs.columns, "pii"] and pii.pseudonyms(no_docs).count() == 0
+    assert done.columns == [*odd_docs.columns, "pii"] and pii.pseudonyms(no_docs, b"key").count() == 0
 
 
 def test_lm_counts_and_probabilities(odd_docs, no_docs):
