@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from custscope.llm import line_dedup, ngram_join, packing, pii, quality_rules
 from custscope.llm.common import ship, table
+from custscope.llm.queries import pseudonym_key
 from custscope.sources.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
     ship(spark)
-    hidden = pii.pseudonyms(docs.select(*COLUMNS)).drop("pii")
+    hidden = pii.pseudonyms(docs.select(*COLUMNS), pseudonym_key(spark)).drop("pii")
     return hidden.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
