@@ -57,7 +57,9 @@ def _stays_letter(path: str, char: str) -> bool:
 def _parts(path: str, word: str) -> tuple[str, str]:
     """A word and the marks after its last letter, which the vocabulary's pattern then parts."""
     core = word.rstrip(_MARKS)
-    return (core, word[len(core) :]) if core and _stays_letter(path, core[-1]) else (word, "")
+    last = core[-1:]
+    parted = last.isalpha() and (last.isascii() or _stays_letter(path, last))
+    return (core, word[len(core) :]) if parted else (word, "")
 
 
 def _letters(piece: str) -> str | None:
