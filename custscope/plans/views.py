@@ -56,8 +56,10 @@ def overview(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def bundles(t: Tables, segment: str | None = None, mode: str = "accionables") -> dict[str, DataFrame]:
-    shown = rules.bundles_scatter(t.mba_accionables, t.mba_por_segmento, segment, mode)
+def bundles(
+    t: Tables, segment: str | None = None, mode: str = "accionables", min_confidence: float = 0.30, min_lift: float = 1.5
+) -> dict[str, DataFrame]:
+    shown = rules.bundles_scatter(t.mba_accionables, t.mba_por_segmento, segment, mode, min_confidence, min_lift)
     return {
         "top": rules.bundles_top(t.mba_accionables, t.mba_por_segmento, segment, mode),
         "mapa": basket.rule_quadrants(shown),
