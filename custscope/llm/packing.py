@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ END_ID = 0
 _CACHED_WORDS, _CACHED_CHARS = 500_000, 40
 #: Marks that never belong to a contraction.
 _MARKS = ".,!?;:*#$%&|"
+_MARK_SET = frozenset(_MARKS)
 #: Fixed rule of the vocabulary's byte alphabet: printable bytes are their own letter, the others are 256, 257, ...
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -44,6 +46,12 @@ def tokenizer(path: str):
     return loaded, {}
 
 
+@lru_cache(1)
+def _guests(path: str) -> list[str]:
+    """Long words in the cache, which stay until the next call only."""
+    return []
+
+
 @lru_cache(1 << 12)
 def _stays_letter(path: str, char: str) -> bool:
     """Whether the vocabulary's own rules leave a letter at the end of what they make of this one.
@@ -67,39 +75,43 @@ def _letters(piece: str) -> str | None:
 
     The vocabulary's rules neither rewrite nor part such a word, so its model can take it as it is.
     """
-    if not piece.isalpha() or piece != piece.lower():
+    if not (piece.isalpha() and piece.islower()):
         return None
     if piece.isascii():
         return piece
     return piece.encode().decode("latin-1").translate(_BYTE_LETTERS) if max(piece) <= "\xff" else None
 
 
-def _spelled(loaded, pieces: list[str]) -> dict[str, bytes]:
+def _spelled(loaded, pieces) -> dict[str, bytes]:
     """Little-endian 32-bit ids of each piece."""
     merge, found, rest = loaded.model.tokenize, {}, []
     for piece in pieces:
         if (own := _letters(piece)) is None:
             rest.append(piece)
         else:
-            found[piece] = b"".join([t.id.to_bytes(4, "little") for t in merge(own)])
+            found[piece] = array("I", [t.id for t in merge(own)]).tobytes()
     encoded = loaded.encode_batch_fast(rest, add_special_tokens=False)
     found.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(rest, encoded, strict=True))
     return found
 
 
 def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
-    """Little-endian 32-bit ids of each word, from a cache that is emptied when full."""
+    """Little-endian 32-bit ids, for these words at least, until the next call; the cache behind it is emptied when full."""
     loaded, cache = tokenizer(path)
+    guests = _guests(path)
+    while guests:
+        cache.pop(guests.pop(), None)
     if len(cache) + len(words) > _CACHED_WORDS:
         cache.clear()
-    split = {w: _parts(path, w) for w in words.difference(cache)}
-    unknown = list({p for parts in split.values() for p in parts}.difference(cache))
-    found = _spelled(loaded, unknown)
+    fresh = words.difference(cache)
+    split = {w: _parts(path, w) for w in fresh if w[-1:] in _MARK_SET}
+    pieces = {p for parts in split.values() for p in parts}
+    found = _spelled(loaded, (fresh.difference(split) | pieces).difference(cache))
     ids = lambda p: found[p] if p in found else cache[p]
-    fresh = {w: ids(core) + ids(marks) for w, (core, marks) in split.items()}
-    known = {w: cache[w] for w in words if w in cache}
-    cache.update((w, i) for made in (found, fresh) for w, i in made.items() if len(w) <= _CACHED_CHARS)
-    return known | fresh
+    found.update({w: ids(core) + ids(marks) for w, (core, marks) in split.items()})
+    cache.update(found)
+    guests += [w for w in found if len(w) > _CACHED_CHARS]
+    return cache
 
 
 def _plain(text: str) -> str:
