@@ -1,12 +1,13 @@
 """Quality and drift checks.
 
 Each check is a one-row DataFrame with its figures, `ok` and `mensaje`; `enforce` runs it and
-raises when it failed.
+raises when it failed. The figures come from the tables, or from an `Observation` of the write that made the table: the
+`observe_…` functions add it, and the checks take what it saw, so that a job reads nothing again for its checks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from custscope.functions.labels import share
@@ -69,15 +70,17 @@ def _ingest_verdict(figures: DataFrame, max_drop_pct: float) -> DataFrame:
     ))
 
 
-def check_segments(segments: DataFrame, features: list[str] = FEATURES, max_cluster: int = 4) -> DataFrame:
-    nulls = [F.count_if(F.col(f).isNull()).alias(f"{f}_nulos") for f in features]
-    figures = segments.agg(
+def _segment_figures(features: list[str]) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_clientes"),
         F.count_if(F.col("segmento_cluster").isNull()).alias("n_sin_segmento"),
-        *nulls,
+        *[F.count_if(F.col(f).isNull()).alias(f"{f}_nulos") for f in features],
         F.min("cluster_id").alias("cluster_min"),
         F.max("cluster_id").alias("cluster_max"),
-    )
+    ]
+
+
+def _segments_verdict(figures: DataFrame, features: list[str], max_cluster: int) -> DataFrame:
     n_null = sum(F.col(f"{f}_nulos") for f in features)
     return _verdict(
         figures,
@@ -89,9 +92,11 @@ def check_segments(segments: DataFrame, features: list[str] = FEATURES, max_clus
     )
 
 
-def check_distribution(segments: DataFrame, max_share_pct: float = MAX_SHARE_PCT) -> DataFrame:
-    """No segment may hold more than the limit; guards against scoring in the wrong scale."""
-    counts = segments.groupBy("segmento_cluster").agg(F.count(F.lit(1)).alias("n"))
+def check_segments(segments: DataFrame, features: list[str] = FEATURES, max_cluster: int = 4) -> DataFrame:
+    return _segments_verdict(segments.agg(*_segment_figures(features)), features, max_cluster)
+
+
+def _distribution_verdict(counts: DataFrame, max_share_pct: float) -> DataFrame:
     # Larger count first, then the name, so that a tie has one answer.
     figures = counts.agg(
         F.max_by("segmento_cluster", F.struct("n", "segmento_cluster")).alias("segmento_dominante"),
@@ -104,12 +109,43 @@ def check_distribution(segments: DataFrame, max_share_pct: float = MAX_SHARE_PCT
     ))
 
 
+def check_distribution(segments: DataFrame, max_share_pct: float = MAX_SHARE_PCT) -> DataFrame:
+    """No segment may hold more than the limit; guards against scoring in the wrong scale."""
+    counts = segments.groupBy("segmento_cluster").agg(F.count(F.lit(1)).alias("n"))
+    return _distribution_verdict(counts, max_share_pct)
+
+
+def observe_segments(segments: DataFrame, names: list[str]) -> tuple[DataFrame, Observation]:
+    """`names`: the segments that there can be. The write of the result tells all that the segment checks ask for."""
+    seen = Observation()
+    each = [F.count_if(F.col("segmento_cluster") == n).alias(f"n_{i}") for i, n in enumerate(names)]
+    return segments.observe(
+        seen, *_segment_figures(FEATURES), *each, F.coalesce(F.sum("frequency"), F.lit(0)).alias("pedidos_rfm")), seen
+
+
+def check_observed_segments(
+    spark: SparkSession, seen: dict, names: list[str], max_cluster: int = 4, max_share_pct: float = MAX_SHARE_PCT
+) -> list[DataFrame]:
+    """`check_segments` and `check_distribution` from what the write saw."""
+    known = [k for k in seen if k.endswith("_nulos") or k in ("n_clientes", "n_sin_segmento", "cluster_min", "cluster_max")]
+    kinds = ", ".join(f"{k} {'int' if k.startswith('cluster_') else 'bigint'}" for k in known)
+    figures = spark.createDataFrame([tuple(seen[k] for k in known)], kinds)
+    counts = [(n, seen[f"n_{i}"]) for i, n in enumerate(names) if seen[f"n_{i}"]]
+    counts += [(None, seen["n_sin_segmento"])] * bool(seen["n_sin_segmento"])
+    shares = spark.createDataFrame(counts, "segmento_cluster string, n bigint")
+    return [_segments_verdict(figures, FEATURES, max_cluster), _distribution_verdict(shares, max_share_pct)]
+
+
 def check_monthly(monthly: DataFrame, segments: DataFrame, tolerance_pct: float = CROSS_CHECK_PCT) -> DataFrame:
     """Orders of the monthly table against the summed order counts of the customers."""
     rfm = segments.agg(F.coalesce(F.sum("frequency"), F.lit(0))).scalar()
     figures = monthly.agg(F.count(F.lit(1)).alias("n_filas"), F.sum("pedidos").alias("pedidos_temporal")).select(
-        "n_filas", "pedidos_temporal", rfm.alias("pedidos_rfm")
-    ).withColumn(
+        "n_filas", "pedidos_temporal", rfm.alias("pedidos_rfm"))
+    return _monthly_verdict(figures, tolerance_pct)
+
+
+def _monthly_verdict(counts: DataFrame, tolerance_pct: float) -> DataFrame:
+    figures = counts.withColumn(
         "diferencia_pct", share(F.abs(F.col("pedidos_temporal") - F.col("pedidos_rfm")) * 100, F.col("pedidos_rfm"))
     )
     some = F.col("n_filas") > 0
@@ -122,6 +158,20 @@ def check_monthly(monthly: DataFrame, segments: DataFrame, tolerance_pct: float
     )
 
 
+def observe_orders(table: DataFrame, names: list[str], segment: str) -> tuple[DataFrame, Observation]:
+    """Rows, orders and the orders of each segment of a month or day table, seen by its write."""
+    seen = Observation()
+    each = [F.count_if(F.col(segment) == n).alias(f"n_{i}") for i, n in enumerate(names)]
+    return table.observe(
+        seen, F.count(F.lit(1)).alias("n_filas"), F.coalesce(F.sum("pedidos"), F.lit(0)).alias("pedidos"), *each), seen
+
+
+def check_observed_monthly(spark: SparkSession, seen: dict, segments_seen: dict, tolerance_pct: float = CROSS_CHECK_PCT) -> DataFrame:
+    """`check_monthly` from what the writes of both tables saw."""
+    row = (seen["n_filas"], seen["pedidos"] if seen["n_filas"] else None, segments_seen["pedidos_rfm"])
+    return _monthly_verdict(spark.createDataFrame([row], "n_filas bigint, pedidos_temporal bigint, pedidos_rfm bigint"), tolerance_pct)
+
+
 def check_daily(
     daily: DataFrame, min_orders: int = MIN_DAILY_ORDERS, min_segments: int = MIN_DAILY_SEGMENTS
 ) -> DataFrame:
@@ -130,6 +180,18 @@ def check_daily(
         F.coalesce(F.sum("pedidos"), F.lit(0)).alias("pedidos"),
         F.count_distinct("segmento").alias("n_segmentos"),
     )
+    return _daily_verdict(figures, min_orders, min_segments)
+
+
+def check_observed_daily(
+    spark: SparkSession, seen: dict, min_orders: int = MIN_DAILY_ORDERS, min_segments: int = MIN_DAILY_SEGMENTS
+) -> DataFrame:
+    """`check_daily` from what the write saw."""
+    row = (seen["n_filas"], seen["pedidos"], sum(1 for k, n in seen.items() if k[2:].isdigit() and n))
+    return _daily_verdict(spark.createDataFrame([row], "n_filas bigint, pedidos bigint, n_segmentos bigint"), min_orders, min_segments)
+
+
+def _daily_verdict(figures: DataFrame, min_orders: int, min_segments: int) -> DataFrame:
     return _verdict(
         figures,
         (F.col("n_filas") == 0, F.lit("El agregado diario está vacío")),

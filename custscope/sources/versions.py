@@ -35,7 +35,10 @@ class Overtaken(RuntimeError):
 
 @dataclass(frozen=True)
 class Stored:
-    """One table in a manifest: its partition column, the schema with that column last, and folder and rows by partition."""
+    """One table in a manifest: its partition column, the schema with that column last, and folder and rows by partition.
+
+    A table without partitions has no column and one part without a name.
+    """
 
     column: str
     schema: str
@@ -94,7 +97,7 @@ def read(
     schema = StructType.fromJson(json.loads(table.schema))
     wanted = table.parts if parts is None else [p for p in parts if p in table.parts]
     base = f"{root.rstrip('/')}/{name}"
-    paths = [f"{base}/{FOLDER}={table.parts[p][0]}/{table.column}={p}" for p in wanted]
+    paths = [f"{base}/{FOLDER}={table.parts[p][0]}" + (f"/{table.column}={p}" if table.column else "") for p in wanted]
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*[F.col(f"`{c}`") for c in schema.names])
@@ -134,6 +137,14 @@ class Version:
         self.tables[name] = Stored(column, json.dumps(schema.jsonValue()), dict(sorted(parts.items())))
         return self.tables[name]
 
+    def replace_all(self, name: str, rows: DataFrame) -> Stored:
+        """Writes `rows` as the whole of a table without partitions."""
+        path = f"{self.root}/{name}/{FOLDER}={self.folder}"
+        rows.write.mode("errorifexists").parquet(path)
+        n = self.spark.read.schema(rows.schema).parquet(path).count()  # from the footers
+        self.tables[name] = Stored("", json.dumps(rows.schema.jsonValue()), {"": (self.folder, n)})
+        return self.tables[name]
+
     def publish(self, **notes) -> Manifest:
         """Makes this version the newest. Notes of earlier versions stay unless they are given anew."""
         done = Manifest(self.number, self.tables, {**self.base.notes, **notes})

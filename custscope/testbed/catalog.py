@@ -857,6 +857,66 @@ def dq_diario(spark, sf):
     return quality.check_daily(daily(spark, sf))
 
 
+def _third(yes, no):
+    return F.when(F.col("cliente_id").cast("bigint") % 3 == 0, yes).otherwise(no)
+
+
+@query(SPECS["dq_ingest"])
+def dq_ingest_falla(spark, sf):
+    """A load after which every tenth order is gone."""
+    orders = m.orders(spark, sf)
+    return quality.check_ingest(orders, orders.where(F.col("order_id").cast("bigint") % 10 != 0))
+
+
+@query(SPECS["dq_segmentos"])
+def dq_segmentos_falla(spark, sf):
+    """Customers without money, and a cluster that the model does not have."""
+    broken = segments(spark, sf).withColumns({
+        "monetary": _third(F.lit(None).cast("double"), F.col("monetary")), "cluster_id": _third(F.lit(9), F.col("cluster_id"))})
+    return quality.check_segments(broken)
+
+
+@query(SPECS["dq_distribucion"])
+def dq_distribucion_falla(spark, sf):
+    return quality.check_distribution(segments(spark, sf).withColumn("segmento_cluster", _third(F.lit("En Riesgo"), F.lit("MVPs"))))
+
+
+@query(SPECS["dq_crosscheck"])
+def dq_crosscheck_falla(spark, sf):
+    """Every order of the month table counted twice."""
+    now = segments(spark, sf)
+    return quality.check_monthly(season.monthly(order_window(spark, sf), now).withColumn("pedidos", F.col("pedidos") * 2), now)
+
+
+@query(SPECS["dq_diario"])
+def dq_diario_falla(spark, sf):
+    return quality.check_daily(daily(spark, sf).where("segmento IN ('MVPs', 'Hibernando')"))
+
+
+@query("chequeo:s n:i porcentaje:d6 ok:b")
+def dq_escrituras(spark, sf):
+    """The same checks from what the writes of the three tables saw, without reading them again."""
+    version = versions.Version(spark, fresh_path(spark, "checked"))
+    scored, of_segments = quality.observe_segments(segments(spark, sf), SEGMENT_ORDER)
+    version.replace_all("segmentos", scored)
+    now = version.new("segmentos")
+    months, of_months = quality.observe_orders(season.monthly(order_window(spark, sf), now), SEGMENT_ORDER, "segmento_cluster")
+    days, of_days = quality.observe_orders(daily(spark, sf), SEGMENT_ORDER, "segmento")
+    version.replace_all("meses", months)
+    version.replace_all("dias", days)
+    seen = of_segments.get
+    whole, shares = quality.check_observed_segments(spark, seen, SEGMENT_ORDER)
+    found = (
+        ("segmentos", whole, "n_clientes", None), ("distribucion", shares, None, "max_pct"),
+        ("mensual", quality.check_observed_monthly(spark, of_months.get, seen), "pedidos_temporal", "diferencia_pct"),
+        ("diario", quality.check_observed_daily(spark, of_days.get), "pedidos", None))
+    rows = [
+        check.select(F.lit(name).alias("chequeo"), (F.col(n) if n else F.lit(None)).cast("bigint").alias("n"),
+                     (F.col(p) if p else F.lit(None)).cast("double").alias("porcentaje"), "ok")
+        for name, check, n, p in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("n_comunes:i coincidencia:d6 alerta:b")
 def drift_coincidencia(spark, sf):
     return quality.drift_agreement(segments(spark, sf), snapshot(spark, sf))

@@ -84,3 +84,15 @@ def test_revenue(spark):
     items = spark.createDataFrame([("a", 60.0), ("a", 42.0), ("b", 1.0)], "cliente_id string, subtotal_mxn double")
     segments = spark.createDataFrame([("a", 100.0), ("b", 2.0)], "cliente_id string, monetary double")
     assert {r.cliente_id: r.ok for r in q.revenue_reconciliation(items, segments).collect()} == {"a": True, "b": False}
+
+
+def test_checks_of_a_write_agree_with_checks_of_the_table(spark, tmp_path):
+    names = ["MVPs", "En Riesgo"]
+    rows = healthy()
+    for name, broken in (("ok", rows), ("alone", [(r[0], *r[1:]) for r in rows[:1]]), ("empty", [])):
+        df = frame(spark, broken)
+        observed, seen = q.observe_segments(df, sorted({r.segmento_cluster for r in df.collect()} | set(names)))
+        observed.write.parquet(str(tmp_path / name))
+        own = q.check_observed_segments(spark, seen.get, sorted({r.segmento_cluster for r in df.collect()} | set(names)))
+        for mine, theirs in zip(own, (q.check_segments(df), q.check_distribution(df)), strict=True):
+            assert mine.select(theirs.columns).first() == theirs.first()
