@@ -49,20 +49,24 @@ def profile(segments: DataFrame, customer: str | None = None) -> DataFrame:
 
 
 def order_history(orders: DataFrame, items: DataFrame, customer: str | None = None) -> DataFrame:
-    """Every order with its units, charges left out; an order without lines has 0 units."""
+    """Every order with its units, charges left out; an order without lines has 0 units.
+
+    In order of time for one customer. For all customers the rows are in no order: sorting every order there is would
+    serve nobody.
+    """
     is_product = ~F.col("clave").isin(NON_PRODUCT_SKUS)
     units = (
         _one(items, customer).groupBy("order_id")
         .agg(F.sum(F.when(is_product, F.col("cantidad"))).alias("unidades"))
     )
-    return (
+    history = (
         _one(orders, customer).join(units, "order_id", "left")
         .select(
             "cliente_id", "order_id", second_text(F.col("fecha")).alias("fecha"), "pago_total", "num_productos",
             F.coalesce("unidades", F.lit(0.0)).alias("unidades_totales"),
         )
-        .orderBy("cliente_id", "fecha", "order_id")
     )
+    return history if customer is None else history.orderBy("fecha", "order_id")
 
 
 def position_in_segment(segments: DataFrame, customer: str) -> DataFrame:

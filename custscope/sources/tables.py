@@ -36,6 +36,7 @@ VIEWS = {
 
 BATCH_COLUMN = "lote"
 MONTH_COLUMN = "mes"
+CUSTOMER_COLUMN = "cliente_id"
 UNDATED = "sin-fecha"
 
 
@@ -147,7 +148,8 @@ def upsert(
 ) -> tuple[UpsertResult, DataFrame]:
     """Merges `new` into a month-partitioned table of the version, keeping the last row per key.
 
-    Only months that receive rows, or already hold one of the incoming keys, are written again. Rows carry the number of
+    Only months that receive rows, or already hold one of the incoming keys, are written again, each in the order of its
+    customers where the rows name one, so that one customer's rows lie in few row groups. Rows carry the number of
     their version and their position, so "last" does not depend on task order; merging the same rows
     again gives the same table but for that number.
 
@@ -180,7 +182,8 @@ def upsert(
         touched = version.old(name, months).select(*incoming.columns)
         before = touched.alias("o").join(arriving, match, "left_semi").select(*[F.col(f"o.{c}") for c in incoming.columns])
         merged = touched.unionByName(incoming)
-    stored = version.replace(name, keep_last(merged, keys, sequence), MONTH_COLUMN, months)
+    clustered = [CUSTOMER_COLUMN, *keys] if CUSTOMER_COLUMN in incoming.columns else ()
+    stored = version.replace(name, stage(keep_last(merged, keys, sequence), "upsert-merged"), MONTH_COLUMN, months, clustered)
     duplicates = n_old + n_new - stored.rows
     _report(name, n_old + n_new, duplicates, keys)
     # Incoming rows always win, so the rows of this version's number are the touched ones.

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,11 +121,24 @@ class Version:
         """What the table will hold when this version is published."""
         return read(self.spark, self.root, name, Manifest(self.number, self.tables), parts)
 
-    def replace(self, name: str, rows: DataFrame, column: str, touched: Iterable[str]) -> Stored:
-        """Writes `rows` in place of the partitions `touched`; those that get no rows are gone, all others stay."""
+    def replace(
+        self, name: str, rows: DataFrame, column: str, touched: Iterable[str], cluster_by: Sequence[str] = ()
+    ) -> Stored:
+        """Writes `rows` in place of the partitions `touched`; those that get no rows are gone, all others stay.
+
+        `cluster_by` orders each partition by these columns, over its files and inside them, and gives the first
+        one a bloom filter: a look-up by it reads the few row groups whose range holds the value, and of
+        those only such as may have it. Name a key last, so that one value with very many rows still spreads.
+        """
         path = f"{self.root}/{name}/{FOLDER}={self.folder}"
-        # Gathers each partition in few files; adaptive execution splits one that is too large.
-        rows.hint("rebalance", column).write.mode("errorifexists").partitionBy(column).parquet(path)
+        if cluster_by:
+            order = [column, *cluster_by]
+            writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option(
+                f"parquet.bloom.filter.enabled#{cluster_by[0]}", "true")
+        else:
+            # Gathers each partition in few files; adaptive execution splits one that is too large.
+            writer = rows.hint("rebalance", column).write
+        writer.mode("errorifexists").partitionBy(column).parquet(path)
         body = StructType([f for f in rows.schema if f.name != column])
         schema = StructType([*body, StructField(column, StringType())])
         written = self.spark.read.schema(StructType([StructField(column, StringType())])).parquet(path)

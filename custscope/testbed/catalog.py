@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from custscope.functions.labels import item_label
 from custscope.functions.ordered import over_few_rows
-from custscope.functions.timeparts import instant, time_features
-from custscope.operators import basket, explore, flatten, quality, rfm, season, segment
+from custscope.functions.timeparts import instant, local_time, time_features
+from custscope.operators import basket, explore, flatten, quality, rfm, season, segment, sketches
 from custscope.operators import serve_customer as customer
 from custscope.operators import serve_moves as moves
 from custscope.operators import serve_rules as rules
@@ -575,6 +575,36 @@ def monetary_box(spark, sf):
     return segs.monetary_box(segments(spark, sf))
 
 
+RANKS = {"p05": 0.05, "q1": 0.25, "mediana": 0.5, "q3": 0.75, "p95": 0.95}
+RANK_SPEC = "segmento:s n:i " + " ".join(f"{name}_bien:b" for name in RANKS)
+SKETCHED = ("1998-03-10", "2000-11-20")
+
+
+def within_one_percent(quantiles: DataFrame, errors: DataFrame) -> DataFrame:
+    good = errors.select("segmento", *[(F.col(name) < 0.01).alias(f"{name}_bien") for name in RANKS])
+    return quantiles.select("segmento", "n").join(good, "segmento")
+
+
+@query(RANK_SPEC)
+def monetary_box_aprox(spark, sf):
+    """Approximate quantiles of the customers' money, and whether each is within one percent of its rank."""
+    named = segments(spark, sf).withColumnRenamed("segmento_cluster", "segmento")
+    found = stage(sketches.merged_quantiles(sketches.value_sketches(named, ["segmento", "cluster_id"], "monetary"), ["segmento"], RANKS), "quantiles")
+    return within_one_percent(found, sketches.rank_errors(named, ["segmento"], "monetary", found, RANKS))
+
+
+@query(RANK_SPEC)
+def ticket_box_aprox(spark, sf):
+    """Quantiles of order amounts over a span of days, merged from sketches stored per segment and day."""
+    version = versions.Version(spark, fresh_path(spark, "sketches"))
+    version.replace("tickets", sketches.ticket_sketches(m.orders(spark, sf), m.proxy_segments(spark, sf)), "mes", [])
+    found = stage(sketches.ticket_quantiles(version.new("tickets"), RANKS, *SKETCHED), "quantiles")
+    day = F.to_date(local_time(F.col("fecha")))
+    orders = m.orders(spark, sf).where(day.between(*[F.lit(d).cast("date") for d in SKETCHED])).join(
+        m.proxy_segments(spark, sf).withColumnRenamed("segmento_cluster", "segmento"), "cliente_id")
+    return within_one_percent(found, sketches.rank_errors(orders, ["segmento"], "pago_total", found, RANKS))
+
+
 RANGE_SPEC = " ".join(f"{f}_{e}:d4" for f in ("recency", "frequency", "monetary", "cadencia") for e in ("min", "max"))
 
 

@@ -197,3 +197,46 @@ def test_totals_read_only_touched_months(spark, tmp_path, monkeypatch):
     parts = versions.manifest(spark, root).tables[totals.TOTALS].parts
     assert sum(folder.startswith("0000000002") for folder, _ in parts.values()) == 2 < len(parts)
     assert files.names_in(spark, f"{root}/nada") == []
+
+
+def test_one_customer_is_read_from_few_row_groups(spark, tmp_path):
+    """Orders stored by month and customer: a look-up pushes its filter and meets few of the row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from custscope.operators import serve_customer
+
+    root = str(tmp_path)
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("o"), "id").alias("order_id"), F.concat(F.lit("c"), F.pmod(F.xxhash64("id"), F.lit(3000))).alias("cliente_id"),
+        F.expr("timestamp_seconds(1767225600 + id * 120)").alias("fecha"), (F.col("id") % 97).cast("double").alias("pago_total"),
+        F.lit(1).alias("num_productos"), F.lit(0).alias("p"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in (("parquet.block.size", "8192"), ("parquet.page.size", "1024"), ("parquet.block.row.count.limit", "500")):
+        hadoop.set(key, value)
+    try:
+        version = versions.Version(spark, root)
+        tables.upsert(version, "orders_historicos", rows, ["order_id"], "p")
+        version.publish()
+    finally:
+        for key in ("parquet.block.size", "parquet.page.size", "parquet.block.row.count.limit"):
+            hadoop.unset(key)
+    groups = met = 0
+    for path in glob.glob(f"{root}/orders_historicos/**/*.parquet", recursive=True):
+        meta = pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            column = next(meta.row_group(g).column(i) for i in range(meta.num_columns) if meta.row_group(g).column(i).path_in_schema == "cliente_id")
+            groups += 1
+            met += column.statistics.min <= "c1234" <= column.statistics.max
+    assert groups > 60 and met <= 0.05 * groups, (met, groups)
+    orders = tables.load_table(spark, root, "orders_historicos")
+    items = spark.createDataFrame([], "order_id string, cliente_id string, clave string, cantidad double")
+    found = serve_customer.order_history(orders, items, "c1234")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(cliente_id), EqualTo(cliente_id,c1234)]" in plan
+    want = [r.order_id for r in rows.where("cliente_id = 'c1234'").orderBy("fecha").collect()]
+    assert [r.order_id for r in found.collect()] == want and len(want) > 5
+    one = found.select("order_id")
+    assert "Sort [" not in serve_customer.order_history(orders, items)._jdf.queryExecution().optimizedPlan().toString() and one.count() == len(want)
+    assert versions.manifest(spark, root).tables["orders_historicos"].column == "mes"
