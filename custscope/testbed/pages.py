@@ -1,4 +1,5 @@
-"""Composite views as queries: all rows of all members of a view, each row as one text, with check SQL made from the members'.
+"""Composite views as queries: all rows of all members of a view, asked for through their table functions, each row as
+one text, with check SQL made from the members'.
 
 A member shows what one of the named queries shows, so its columns and its SQL are that query's. Customers are in the
 segments of the frozen model throughout, as in the stored tables that the views read.
@@ -12,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custscope.plans import views
+from custscope.plans import sql_views, views
 from custscope.sources import tables
 from custscope.sources.staging import stage
 from custscope.testbed import catalog as c
@@ -31,6 +32,18 @@ class Page:
     members: dict[str, tuple[str, str]]
     params: dict = field(default_factory=dict)
 
+    def call(self, member: str) -> str:
+        """SQL for the rows of a member, through its table function."""
+        function, argument = member, ""
+        if self.view == "comparador" and member[-2:] in ("_a", "_b"):
+            function, argument = member[:-2], f"segment => '{self.params[member[-1]]}'"
+        elif "customer_id" in self.params:
+            argument = f"customer_id => '{self.params['customer_id']}'"
+        elif "segment" in self.params:
+            argument = f"segment => '{self.params['segment']}'"
+        chosen = f" WHERE {self.members[member][1]}" if "segments" in self.params else ""
+        return f"SELECT * FROM {self.view}_{function}({argument}){chosen}"
+
 
 def _own(*names: str) -> dict[str, tuple[str, str]]:
     return dict(zip(names[::2], ((q, "true") for q in names[1::2]), strict=True))
@@ -116,10 +129,10 @@ def rows_of(members: dict[str, DataFrame], page: Page) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def build(page: Page):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            members = views.view(page.view, stored_tables(m.use_utc(spark), sf), **page.params)
-            if set(members) != set(page.members):
-                raise ValueError(f"{page.view} has the members {sorted(members)}")
-            return shape(rows_of(members, page), PAGE_SPEC)
+            t = stored_tables(m.use_utc(spark), sf)
+            limits = {k: v for k, v in page.params.items() if k in LIMITS}
+            sql_views.register_view_functions(spark, t, page.params.get("as_of"), **limits)
+            return shape(rows_of({name: spark.sql(page.call(name)) for name in page.members}, page), PAGE_SPEC)
 
         return run
 
