@@ -30,3 +30,20 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
         if moved.where("root <> _old").isEmpty():
             return labels
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of earlier links, given as (node, root), and of more `links` (a, b) together.
+
+    Links are taken between whole components first, so only those that join two of them are walked, however many links
+    the earlier ones have.
+    """
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+    between = (
+        links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    )
+    top = components(between)
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select(
+        "node", F.coalesce("_top", "root").alias("root"))
+    return stage(moved.unionByName(top.join(roots.select("node"), "node", "left_anti")), "labels")

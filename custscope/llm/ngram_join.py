@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .common import blocks, doc_texts, mix, shingle_hashes, slabs, word_hashes, words_of
-from .components import components
+from .components import components, extended
 
 #: Documents in which a member of each level occurs at least, and bits over all members of that level.
 LEVELS = ((2, 1 << 27), (8, 1 << 25), (64, 1 << 24), (1024, 1 << 24))
@@ -287,7 +287,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     runs = stage(
         placed.select("node", "n", (F.col("skipped") + F.col("_at")).alias("at"), "member").distinct(), "prefixes")
     # Rounds of hubs, another one per run in each, until a round joins nothing.
-    links = roots = None
+    roots = None
     open_ = runs.withColumn("root", F.col("node"))
     for turn in range(ROUNDS):
         # The first hub has the fewest rare members of its own, so it is the nearest to what the run has in common.
@@ -299,8 +299,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         fresh = stage(linked(pairs, sets, num, den), "linked")
         if turn and fresh.isEmpty():
             break
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = components(links)
+        roots = components(fresh) if roots is None else extended(roots, fresh)
         # Only runs that still hold several components are looked at again.
         labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = stage(_still_open(labelled, num, den), "open-runs")
@@ -310,7 +309,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         left.join(right, "member").where("root1 < root2")
         .where(_may_reach(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), num, den))
         .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "pairs")
-    merged = components(links.unionByName(linked(second, sets, num, den)))
+    merged = extended(roots, stage(linked(second, sets, num, den), "linked"))
     # A component is named by its smallest document; a node without links is its own component.
     placed = members.join(merged, "node", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("_root"))

@@ -218,3 +218,16 @@ def test_scores_pass_64_bits(spark):
     """a * 2,000,000 has no room in 64 bits once a phrase occurs 10^13 times."""
     big = spark.range(1).select(F.lit(9 * 10**15).alias("a"), F.lit(10**16).alias("l"), F.lit(10**16).alias("r"))
     assert big.select(collocations.score_of("a", "l", "r").alias("s")).first()["s"] == 900_000
+
+
+def test_components_of_links_in_parts(spark):
+    from custscope.llm.components import components, extended
+
+    rng = random.Random(3)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
+    frame = lambda some: spark.createDataFrame(some, "a bigint, b bigint")
+    roots = components(frame(links[:80]))
+    for part in (links[80:150], links[150:150], links[150:]):
+        roots = extended(roots, frame(part))
+    whole = {r["node"]: r["root"] for r in components(frame(links)).collect()}
+    assert {r["node"]: r["root"] for r in roots.collect()} == whole and len(set(whole.values())) > 5
