@@ -82,58 +82,89 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measure(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
-    """Adds the counts and ratios that rules speak of, in two projections without a shuffle.
+def _arrays(text: Column) -> dict[str, Column]:
+    return {
+        "_words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
+        "_lines": F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != ""),
+    }
 
-    A null text counts as an empty one: no words, all counts 0. Rows are independent of each other, so
-    repeated rows and null ids keep their own results; columns that clash with the added names are replaced.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")
-    arrays = docs.withColumns({"_words": words, "_lines": lines})
-    w, n = F.col("_words"), F.size("_words").cast("long")
-    counts = arrays.withColumns({
+
+def _counts(text: Column, w: Column, lines: Column, stop_words) -> dict[str, Column]:
+    n = F.size(w).cast("long")
+    return {
         "n_words": n,
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"),
-        "n_lines_with_words": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.col("_lines")))).cast("long"),
+        "n_lines_with_words": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeated_words(w),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*stop_words))).cast("long"),
         "n_mark_words": F.size(F.filter(w, lambda x: x.endswith("!!") | (x == "|"))).cast("long"),
         "n_echo_words": F.when(n < 2, F.lit(0)).otherwise(F.size(F.filter(
             F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: a == b), lambda same: same,
         ))).cast("long"),
-    }).drop("_words", "_lines")
-    words_, lines_ = F.col("n_words"), F.col("n_lines_with_words")
-    return counts.withColumns({
-        "mean_word_chars": _share(F.col("word_chars"), words_),
-        "symbol_ratio": _share(F.col("n_symbols"), F.col("word_chars")),
-        "mark_word_ratio": _share(F.col("n_mark_words"), words_),
-        "stop_word_ratio": _share(F.col("n_stop_words"), words_),
-        "repeat_word_ratio": _share(F.col("n_repeat_words"), words_),
-        "echo_word_ratio": _share(F.col("n_echo_words"), words_),
-        "dup_line_ratio": _share(F.col("n_dup_lines"), lines_),
-    })
-
-
-def verdict(rules=RULES) -> Column:
+    }
+
+
+def _ratios(c) -> dict[str, Column]:
+    return {
+        "mean_word_chars": _share(c("word_chars"), c("n_words")),
+        "symbol_ratio": _share(c("n_symbols"), c("word_chars")),
+        "mark_word_ratio": _share(c("n_mark_words"), c("n_words")),
+        "stop_word_ratio": _share(c("n_stop_words"), c("n_words")),
+        "repeat_word_ratio": _share(c("n_repeat_words"), c("n_words")),
+        "echo_word_ratio": _share(c("n_echo_words"), c("n_words")),
+        "dup_line_ratio": _share(c("n_dup_lines"), c("n_lines_with_words")),
+    }
+
+
+def measure(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
+    """Adds the counts and ratios that rules speak of, in two projections without a shuffle.
+
+    A null text counts as an empty one: no words, all counts 0; a very long one is counted whole. Rows are independent of
+    each other, so repeated rows and null ids keep their own results; columns that clash with the added names are replaced.
+    An empty table gives an empty table.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    arrays = docs.withColumns(_arrays(text))
+    counts = arrays.withColumns(_counts(text, F.col("_words"), F.col("_lines"), stop_words)).drop("_words", "_lines")
+    return counts.withColumns(_ratios(F.col))
+
+
+def verdict(rules=RULES, of=F.col) -> Column:
     """The threshold table as one boolean expression."""
     passed = F.lit(True)
     for rule in rules:
         if rule.low is not None:
-            passed = passed & (F.col(rule.metric) >= F.lit(rule.low))
+            passed = passed & (of(rule.metric) >= F.lit(rule.low))
         if rule.high is not None:
-            passed = passed & (F.col(rule.metric) <= F.lit(rule.high))
+            passed = passed & (of(rule.metric) <= F.lit(rule.high))
     return passed
 
 
+def _base_failed(of=F.col) -> Column:
+    return (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
+
+
+def keeps(text: Column, rules=RULES, stop_words=STOP_WORDS) -> Column:
+    """`kept` of `judge` as one expression of a text.
+
+    Words, counts and ratios are each bound once, so a filter on it cuts the text once and not once for every rule.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    struct = lambda parts: F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def ruled(counts: Column) -> Column:
+        every = struct({n: counts[n] for n in ("n_words", "n_repeat_words")} | _ratios(counts.__getitem__))
+        return _bound(every, lambda m: ~_base_failed(m.__getitem__) & verdict(rules, m.__getitem__))
+
+    return _bound(struct(_arrays(plain)), lambda a: _bound(
+        struct(_counts(plain, a["_words"], a["_lines"], stop_words)), ruled))
+
+
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """Every row with its counts, ratios, base_failed and kept.
 
     base_failed: fewer than 20 words, or over 30 of 100 words inside repeated windows; such rows are never kept.
     """
-    measured = measure(docs)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return measure(docs).withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

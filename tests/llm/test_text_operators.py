@@ -120,6 +120,14 @@ def test_quality_counts(odd_docs, no_docs):
     assert quality_rules.judge(no_docs).count() == 0
 
 
+def test_the_verdict_as_one_expression(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    judged = quality_rules.judge(docs).withColumn("own", quality_rules.keeps(F.col("text"))).collect()
+    assert all(r["own"] == r["kept"] for r in judged) and {r["kept"] for r in judged} == {True, False}
+    plan = docs.where(quality_rules.keeps(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[\\x20\\x09-\\x0D]+") == plan.count("Filter") == 2  # once for each side of the union
+
+
 def test_quality_model_learns_held_out_labels(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
