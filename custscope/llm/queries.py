@@ -45,7 +45,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality_model.train(docs, table(spark, folder, "labels"))
-    held_out = crc_text("doc_id") % quality_model.FOLDS == quality_model.HELD_OUT_FOLD
+    held_out = F.coalesce(crc_text("doc_id") % quality_model.FOLDS == quality_model.HELD_OUT_FOLD, F.lit(False))
     return quality_model.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"),
         "top_weight", "n_passages")
