@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the rows of the queries SQL can express."""
 
+from . import quality_rules
+
 _BLANK = r"[ \t\n\x0B\x0C\r]"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _LEVELS = range(13)
@@ -27,6 +29,15 @@ def _mixing_steps() -> str:
 
 
 
+def _rules() -> str:
+    """The threshold table over the columns of CTE `share`."""
+    ends = [f"{r.metric} {op} {end}::DOUBLE" for r in quality_rules.RULES for op, end in ((">=", r.low), ("<=", r.high)) if end is not None]
+    return " AND ".join(ends)
+
+
+_STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_HAS_WORD = r"regexp_matches(s, '[^ \t\n\x0B\x0C\r]')"
+
 SQL = {
     "op1_line_dedup": rf"""
         WITH line AS (
@@ -137,4 +148,49 @@ SQL = {
             FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a
         ), total AS (SELECT lang, sum(f)::BIGINT AS n FROM phrase WHERE m = 1 GROUP BY lang)
         SELECT lang, rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op4_quality_rules": rf"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\x0C\r]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: {_HAS_WORD}) AS lines
+            FROM documents
+        ), run AS (
+            SELECT r, i, words[i:i + 7] AS run FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM doc WHERE len(words) > 8)
+        ), again AS (
+            SELECT r, i FROM run QUALIFY count(*) OVER (PARTITION BY r, run) > 1
+        ), covered AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(8)) AS k) GROUP BY r
+        ), counted AS (
+            SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+                   len(list_filter(words, lambda w: list_contains([{_STOP}], lower(w)))) AS n_stop,
+                   len(list_filter(words, lambda w: ends_with(w, '!!') OR w = '|')) AS n_mark,
+                   coalesce(list_sum(list_transform(range(1, len(words)), lambda i: (words[i] = words[i + 1])::INT)), 0) AS n_echo
+            FROM doc LEFT JOIN covered USING (r)
+        ), share AS (
+            SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio,
+                   coalesce(n_mark / nullif(n_words, 0), 0) AS mark_word_ratio, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_word_ratio,
+                   coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio, coalesce(n_echo / nullif(n_words, 0), 0) AS echo_word_ratio,
+                   coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+                   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+            FROM counted
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules()} AS kept FROM share""",
+    "op9_ngram_jaccard": rf"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^ \t\n\x0B\x0C\r]+') AS words FROM documents
+        ), gram AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS gram
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1)) + 1)) AS i FROM worded)
+        ), size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+        link AS (
+            SELECT x, y FROM (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM gram a JOIN gram b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+            JOIN size s ON s.doc_id = x JOIN size t ON t.doc_id = y WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+        ), reach AS (
+            SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y
+        ), least_of AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+        FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least_of USING (doc_id)""",
 }
