@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the rows of the queries SQL can express."""
 
-from . import quality_rules
+from . import chat_format, quality_rules
 
 _BLANK = r"[ \t\n\x0B\x0C\r]"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -38,6 +38,12 @@ def _rules() -> str:
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _HAS_WORD = r"regexp_matches(s, '[^ \t\n\x0B\x0C\r]')"
 
+def _escaped(text: str) -> str:
+    """Length of an escaped text: one more for each backslash and each control string."""
+    times = lambda c: f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}"
+    return " + ".join([f"length({text})", *(times(c) for c in ("\\", *chat_format.CONTROLS))])
+
+
 SQL = {
     "op1_line_dedup": rf"""
         WITH line AS (
@@ -193,4 +199,14 @@ SQL = {
         ), least_of AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
         FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least_of USING (doc_id)""",
+    "op10_chat_formatting": f"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({2 * len(chat_format.DELIMITER)} + {_escaped("role")} + {_escaped("text")})::BIGINT + {len(chat_format.DELIMITER)} AS formatted_chars
+        FROM said GROUP BY conv_id""",
 }
