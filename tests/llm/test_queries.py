@@ -110,3 +110,43 @@ def test_a_word_has_one_hash_whatever_stands_beside_it():
         assert beside[:-1] == alone and len(set(beside)) == len(beside)
     turned = word_hashes(*words_of([b"y" * 64 + b"ab" + b"y" * 64 + b"cd", ])[:3])
     assert turned[0] != word_hashes(*words_of([b"y" * 64 + b"cd" + b"y" * 64 + b"ab", ])[:3])[0]
+
+
+def spots(text):
+    """Anchors with their chains, the windows of a text without any, or the text itself if it has no word."""
+    import regex
+
+    from custscope.llm import spot_signatures as spot
+
+    own = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    if not own:
+        return {text} if text else set()
+    chains = set()
+    for i, w in enumerate(own):
+        if w in spot.STOP_WORDS:
+            content = [x for x in own[i + 1 : i + 1 + spot.REACH] if x not in spot.STOP_WORDS][: spot.CHAIN]
+            if len(content) == spot.CHAIN:
+                chains.add((w, *content))
+    return chains or {tuple(own[i : i + spot.CHAIN + 1]) for i in range(len(own))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_op2_likeness(spark, folder, tmp_path):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 5000)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(real)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        near = [round(jaccard(spots(text), spots(x)), 9) for x in (edited, after)]
+        want.append((str(i), len(text), SHA(edited), len(spots(text)), len(spots(edited)), *near))
+    got = queries.op2_spot_signatures(spark, str(tmp_path)).collect()
+    shown = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], len(r["fingerprint"].split()), len(r["edited_fingerprint"].split()),
+                    round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got)
+    assert shown == sorted(want) and len({x[5] for x in want}) > 50
