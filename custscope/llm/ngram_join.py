@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -303,10 +303,12 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         # Only runs that still hold several components are looked at again.
         labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = stage(_still_open(labelled, num, den), "open-runs")
-    # What is left: pairs across components within a run.
-    left, right = (open_.select("member", *[F.col(c).alias(c + s) for c in ("node", "n", "at", "root")]) for s in "12")
+    # What is left: pairs across components within a run. Two sets that share a stretch of members meet at its first
+    # one only: where the members before are the same, they have met there.
+    open_ = open_.withColumn("last", F.lag("member").over(Window.partitionBy("node").orderBy("member")))
+    left, right = (open_.select("member", *[F.col(c).alias(c + s) for c in ("node", "n", "at", "root", "last")]) for s in "12")
     second = stage(
-        left.join(right, "member").where("root1 < root2")
+        left.join(right, "member").where("root1 < root2").where("last1 IS NULL OR last2 IS NULL OR last1 <> last2")
         .where(_may_reach(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), num, den))
         .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "pairs")
     merged = extended(roots, stage(linked(second, sets, num, den), "linked"))
