@@ -1,4 +1,6 @@
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor as threads
 
 import numpy as np
 import pytest
@@ -97,3 +99,24 @@ def test_a_pipeline_fitted_elsewhere_and_given_names(spark):
     for wrong in (["a", "b"], ["a", "a", "b"], {0: "a", 1: "b", 3: "c"}):
         with pytest.raises(ValueError, match="name of its own"):
             segment.SegmentModel.from_fitted(pipeline, 200, cluster_names=wrong)
+
+
+def test_starts_run_side_by_side_and_equal_those_run_alone(skewed, monkeypatch):
+    """Two fits wait for each other, which only ends if they run at the same time."""
+    fit, meeting, met = segment.KMeans.fit, threading.Barrier(2), []
+
+    def together(self, data, params=None):
+        try:
+            meeting.wait(20)
+            met.append(True)
+        except threading.BrokenBarrierError:
+            met.append(False)
+        return fit(self, data, params)
+
+    monkeypatch.setattr(segment.KMeans, "fit", together)
+    side = segment.k_scan(skewed, ks=[2, 3], n_init=2).collect()
+    assert met == [True] * 4
+    monkeypatch.setattr(segment.KMeans, "fit", fit)
+    monkeypatch.setattr(segment, "ThreadPoolExecutor", lambda max_workers: threads(max_workers=1))
+    alone = segment.k_scan(skewed, ks=[2, 3], n_init=2).collect()
+    assert [tuple(r) for r in side] == [tuple(r) for r in alone]
