@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +47,12 @@ def multi_family_baskets(
 
 
 def support_thresholds(
-    baskets: DataFrame, min_count: int = MIN_SUPPORT_COUNT, min_pct: float = MIN_SUPPORT_PCT
+    baskets: DataFrame, min_count: int = MIN_SUPPORT_COUNT, min_pct: float = MIN_SUPPORT_PCT, weight: str | None = None
 ) -> DataFrame:
-    """Baskets and the count an item set needs, per segment; small segments are left out."""
+    """Baskets and the count an item set needs, per segment; small segments are left out. `weight` counts equal baskets."""
     n = F.col("n_pedidos")
     return (
-        baskets.groupBy("segmento").agg(F.count(F.lit(1)).alias("n_pedidos"))
+        baskets.groupBy("segmento").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n_pedidos"))
         .withColumn("umbral", F.greatest(F.lit(min_count).cast("bigint"), F.floor(F.lit(float(min_pct)) * n)))
         .withColumn("se_omite", n < 2 * min_count)
     )
@@ -63,41 +60,49 @@ def support_thresholds(
 
 def frequent_itemsets(
     baskets: DataFrame, min_count: int = MIN_SUPPORT_COUNT, min_pct: float = MIN_SUPPORT_PCT,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Item sets of every size that reach their segment's threshold, mined with FP-Growth.
+    """Item sets of every size that reach their segment's threshold, grown like FP-Growth's, for all segments at once.
 
-    Baskets are written once, partitioned by segment, so each segment's passes read only its own
-    files. The loop runs over segments (the clusters of the model), never over data rows. Each segment
-    is mined in `partitions` parts, as many as the session's default parallelism if none are given.
+    A row stands for equal baskets: a set found so far, the items that may still join it, and how many baskets. Items are
+    ordered by their count, the rarest first, so the many baskets of a frequent item have few items left behind it and fall
+    together. A round counts the items behind each set, keeps those that reach the threshold, and grows each set by
+    each of them. Counts combine map-side, no group is gathered anywhere, and there are at most as many rounds as the
+    largest set has items.
     """
     spark = baskets.sparkSession
-    staged = stage(baskets.select("segmento", "familias"), "baskets", ["segmento"])
-    sizes = support_thresholds(staged, min_count, min_pct).where(~F.col("se_omite")).collect()
-
-    parts = partitions or spark.sparkContext.defaultParallelism
-
-    def mine(row) -> DataFrame:
-        miner = FPGrowth(
-            itemsCol="familias",
-            # Half a basket below the count: the library rounds the fraction up.
-            minSupport=(row.umbral - 0.5) / row.n_pedidos,
-            numPartitions=parts,
-        )
-        found = miner.fit(staged.where(F.col("segmento") == row.segmento).select("familias")).freqItemsets
-        return found.select(
-            F.lit(row.segmento).alias("segmento"),
-            F.sort_array("items").alias("items"),
-            "freq",
-            F.lit(row.n_pedidos).alias("n_pedidos"),
-        )
-
-    # Segments are independent: their jobs run side by side, so a small one does not leave the
-    # cluster idle.
-    with ThreadPoolExecutor(max_workers=max(1, len(sizes))) as pool:
-        mined = list(pool.map(mine, sizes))
+    equal = stage(
+        baskets.groupBy("segmento", F.sort_array("familias").alias("_rest")).agg(F.count(F.lit(1)).alias("_n")), "baskets")
+    sizes = stage(
+        support_thresholds(equal, min_count, min_pct, "_n").where(~F.col("se_omite")).drop("se_omite"),
+        "thresholds")
+    if equal.where(F.size(F.array_distinct("_rest")) < F.size("_rest")).limit(1).count():
+        raise ValueError("a basket names an item twice")
+    rows = equal.join(sizes, "segmento").select(
+        "segmento", "umbral", "n_pedidos", F.expr("cast(array() as array<string>)").alias("_set"), "_rest", "_n")
+    found = spark.createDataFrame([], _ITEMSETS)
+    keys = ["segmento", "_set"]
+    while True:
+        counts = rows.select("segmento", "umbral", "n_pedidos", "_set", F.explode("_rest").alias("_item"), "_n").groupBy(
+            *keys, "_item").agg(F.sum("_n").alias("freq"), F.first("umbral").alias("umbral"), F.first("n_pedidos").alias("n_pedidos"))
+        level = stage(counts.where(F.col("freq") >= F.col("umbral")).drop("umbral"), "itemsets-level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.select(
+            "segmento", F.sort_array(F.concat("_set", F.array("_item"))).alias("items"), "freq", "n_pedidos"))
+        # At most the items of the catalogue behind each set, in the order in which they may join it.
+        allowed = level.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("freq", "_item"))).alias("_a")).where(
+            F.size("_a") > 1).select(*keys, F.col("_a._item").alias("_allowed"))
+        left = rows.join(allowed, keys).withColumn("_rest", F.array_intersect("_allowed", "_rest")).where(F.size("_rest") > 1)
+        grown = left.select(
+            "segmento", "umbral", "n_pedidos", "_n", F.col("_set").alias("_before"), F.col("_rest").alias("_all"),
+            F.posexplode(F.slice("_rest", 1, F.size("_rest") - 1)).alias("_at", "_item"))
+        rows = stage(
+            grown.groupBy(
+                "segmento", "umbral", "n_pedidos", F.concat("_before", F.array("_item")).alias("_set"),
+                F.slice("_all", F.col("_at") + 2, F.size("_all")).alias("_rest"),
+            ).agg(F.sum("_n").alias("_n")), "baskets-left")
     # Read three times by the rules (set, left side, right side): mine once.
-    return stage(reduce(DataFrame.unionByName, mined, spark.createDataFrame([], _ITEMSETS)), "itemsets")
+    return stage(found, "itemsets")
 
 
 def _confident_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:

@@ -212,3 +212,24 @@ def test_rules_of_a_hot_family_are_matched_in_parts(spark, monkeypatch, parts):
     anchor, cut = dealt["hothot"]
     share = sum(len(f & {"hot", *(f"f{j}" for j in range(1, 8))}) for f in orders.values()) // (4 * int(parts))
     assert anchor == "hot" and cut == -(-600 // share)
+
+
+def test_equal_baskets_are_mined_as_one_row(spark, monkeypatch):
+    kinds = [["A", "B", "C"], ["A", "B"], ["B", "C", "D"]]
+    rows = [(f"O{i}", "C", "MVPs", kinds[i % 3]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "order_id string, cliente_id string, segmento string, familias array<string>")
+    written = []
+
+    def counted(df, name, *more):
+        out = stage(df, name, *more)
+        written.append(out.count())
+        return out
+
+    stage = basket.stage
+    monkeypatch.setattr(basket, "stage", counted)
+    found = {tuple(r["items"]): (r.freq, r.n_pedidos) for r in basket.frequent_itemsets(frame, 10, 0.0).collect()}
+    assert {k: v[0] for k, v in found.items()} == brute([frozenset(kinds[i % 3]) for i in range(900)], 10, 0, 0)[0]
+    assert {v[1] for v in found.values()} == {900}
+    assert max(written) <= 11, "tables grow with the kinds of baskets and the item sets, not with the baskets"
+    with pytest.raises(ValueError, match="twice"):
+        basket.frequent_itemsets(frame.limit(1).withColumn("familias", F.array(F.lit("A"), F.lit("A"))), 1, 0.0)
