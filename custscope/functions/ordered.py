@@ -41,24 +41,30 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, float],
     weight: str | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with an interpolated quantile column per entry of `quantiles`.
 
     With `weight` the input is already one row per group and value. Groups holding only NULL
-    values do not appear; callers left-join.
+    values do not appear; callers left-join. With `members` the groups share parts: its columns are `groups` and those
+    that name a part, and `df` has the values of the parts. A part is binned once, however many groups hold it, and only
+    values of bins that a group looks into are copied to the group.
     """
     groups = list(groups)
+    part = groups if members is None else [c for c in members.columns if c not in groups]
     present = df.where(F.col(value).isNotNull())
     v = F.col(value).cast("double").alias("_v")
     if weight is None:
-        counts = present.select(*groups, v).groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        counts = present.select(*part, v).groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_n"))
     else:
-        counts = present.select(*groups, v, F.col(weight).alias("_n"))
+        counts = present.select(*part, v, F.col(weight).alias("_n"))
     counts = counts.withColumn("_bin", value_bin(F.col("_v")))
     in_order = Window.partitionBy(*groups).orderBy("_bin")
+    binned = counts.groupBy(*part, "_bin").agg(F.sum("_n").alias("_bn"))
+    if members is not None:
+        binned = binned.join(members, part).groupBy(*groups, "_bin").agg(F.sum("_bn").alias("_bn"))
     bins = (
-        counts.groupBy(*groups, "_bin").agg(F.sum("_n").alias("_bn"))
-        .withColumn("_upto", F.sum("_bn").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        binned.withColumn("_upto", F.sum("_bn").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*groups)))
         .withColumn("_before", F.col("_upto") - F.col("_bn"))
     )
@@ -76,8 +82,13 @@ def exact_quantiles(
         .select(*groups, "_bin", "_before", "_total", "_ranks")
     )
     inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    if members is None:
+        looked_into = counts.join(hit_bins, [*groups, "_bin"])
+    else:
+        hit = [*groups, "_bin", "_before", "_total", "_ranks"]
+        looked_into = counts.join(hit_bins.join(members, groups), [*part, "_bin"]).groupBy(*hit, "_v").agg(F.sum("_n").alias("_n"))
     found = (
-        counts.join(hit_bins, [*groups, "_bin"])
+        looked_into
         .withColumn("_hi", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
         .withColumn("_hits", F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))))

@@ -246,26 +246,48 @@ def orders_matching(rules: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def lists_matching(rules: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (order_id, _list) with the families of each order that a rule names, and (antecedents,
+    consequents, _list) with the lists that hold all families of a rule.
+
+    Few families are named, so very many orders share a list; each list is matched once.
+    """
+    wanted = rules.select(F.explode(rule_items(F.col("antecedents"), F.col("consequents"))).alias("familia")).distinct()
+    held = stage(
+        items.select("order_id", "familia").where(F.col("familia").isNotNull())
+        .join(wanted, "familia", "left_semi")
+        .groupBy("order_id").agg(F.sort_array(F.collect_set("familia")).alias("_have"))
+        .select("order_id", F.to_json("_have").alias("_list"), "_have"),
+        "order-lists",
+    )
+    lists = stage(held.groupBy("_list", "_have").agg(F.count(F.lit(1)).alias("_n")), "lists")
+    lines = lists.select(F.col("_list").alias("order_id"), F.explode("_have").alias("familia"))
+    matched = orders_matching(rules, lines).select("antecedents", "consequents", F.col("order_id").alias("_list"))
+    return held.select("order_id", "_list"), stage(matched, "matched-lists")
+
+
 def rule_value(rules: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
     """Orders, mean, median and total money per rule, over all segments and all time."""
     require_columns(orders, ["order_id", "pago_total"], "orders")
     keys = ["antecedents", "consequents"]
-    # Written once: the totals and both passes of the median read it, and matching is the
-    # expensive part.
+    # Orders that hold the same families hold the same rules: lists are matched, and money is summed and ranked by list.
+    held, matched = lists_matching(rules, items)
     paid = stage(
-        orders_matching(rules, items)
-        .join(orders.select("order_id", "pago_total"), "order_id", "left")
-        .groupBy(*keys, "pago_total").agg(F.count(F.lit(1)).alias("veces")),
+        held.join(orders.select("order_id", "pago_total"), "order_id", "left")
+        .groupBy("_list", "pago_total").agg(F.count(F.lit(1)).alias("veces")),
         "paid",
     )
-    money = F.sum(F.col("pago_total") * F.col("veces"))
-    known = F.sum(F.when(F.col("pago_total").isNotNull(), F.col("veces")))
-    totals = paid.groupBy(*keys).agg(
-        F.try_divide(money, known).alias("ticket_medio"),
+    of_lists = paid.groupBy("_list").agg(
+        F.sum(F.col("pago_total") * F.col("veces")).alias("_money"),
+        F.sum(F.when(F.col("pago_total").isNotNull(), F.col("veces"))).alias("_known"),
+        F.sum("veces").alias("veces"),
+    )
+    totals = matched.join(of_lists, "_list").groupBy(*keys).agg(
+        F.try_divide(F.sum("_money"), F.sum("_known")).alias("ticket_medio"),
         F.sum("veces").alias("n_pedidos"),
-        F.coalesce(money, F.lit(0.0)).alias("revenue_total"),
+        F.coalesce(F.sum("_money"), F.lit(0.0)).alias("revenue_total"),
     )
-    medians = exact_quantiles(paid, keys, "pago_total", {"ticket_mediano": 0.5}, weight="veces")
+    medians = exact_quantiles(paid, keys, "pago_total", {"ticket_mediano": 0.5}, weight="veces", members=matched)
     zero = F.lit(0.0)
     return (
         rules.select(*keys).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custscope.functions.guards import require_columns
 from custscope.functions.labels import rule_arrow
 from custscope.functions.timeparts import days_before, instant, local_time, time_features, weekday_name, window_start
-from custscope.operators.basket import orders_matching, top_by_lift
+from custscope.operators.basket import lists_matching, top_by_lift
 from custscope.schema import LOCAL_TIMEZONE
 from custscope.sources.staging import stage
 
@@ -101,10 +101,12 @@ def bundles_by_month(
     priced = windowed.join(segments.select("cliente_id"), "cliente_id", "left_semi").select(
         "order_id", "año_mes", "pago_total"
     )
+    held, lists = lists_matching(top, items)
+    of_lists = held.join(priced, "order_id").groupBy("_list", "año_mes").agg(
+        F.count("pago_total").alias("pedidos"), F.sum("pago_total").alias("revenue"))
     matched = (
-        orders_matching(top, items).join(priced, "order_id")
-        .groupBy("antecedents", "consequents", "año_mes")
-        .agg(F.count("pago_total").alias("pedidos"), F.coalesce(F.sum("pago_total"), F.lit(0.0)).alias("revenue"))
+        lists.join(of_lists, "_list").groupBy("antecedents", "consequents", "año_mes")
+        .agg(F.sum("pedidos").alias("pedidos"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"))
     )
     return matched.join(top, ["antecedents", "consequents"]).select(
         rule_arrow(F.col("antecedents"), F.col("consequents")).alias("regla"),

@@ -233,3 +233,23 @@ def test_equal_baskets_are_mined_as_one_row(spark, monkeypatch):
     assert max(written) <= 11, "tables grow with the kinds of baskets and the item sets, not with the baskets"
     with pytest.raises(ValueError, match="twice"):
         basket.frequent_itemsets(frame.limit(1).withColumn("familias", F.array(F.lit("A"), F.lit("A"))), 1, 0.0)
+
+
+def test_orders_with_equal_lists_are_matched_once(spark, monkeypatch):
+    """400 orders of two kinds: rules meet two lists, and a rule's money is that of all its orders."""
+    orders = [(f"O{i}", ["A", "B", "Z"] if i % 4 else ["A", "B", "C"], float(i)) for i in range(400)]
+    items = spark.createDataFrame([(o, f) for o, fams, _ in orders for f in fams], "order_id string, familia string")
+    paid = spark.createDataFrame([(o, p) for o, _, p in orders], "order_id string, pago_total double")
+    rules = spark.createDataFrame([("A", "B"), ("A", "C"), ("C", "D")], "antecedents string, consequents string")
+    sizes, stage = {}, basket.stage
+
+    def counted(df, name, *more):
+        out = stage(df, name, *more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(basket, "stage", counted)
+    got = {(r.antecedents, r.consequents): (r.n_pedidos, r.ticket_mediano, r.revenue_total) for r in basket.rule_value(rules, items, paid).collect()}
+    some = [p for _, fams, p in orders if "C" in fams]
+    assert got == {("A", "B"): (400, 199.5, sum(range(400))), ("A", "C"): (100, 198.0, sum(some)), ("C", "D"): (0, 0.0, 0.0)}
+    assert sizes["rule-baskets"] == 2 and sizes["matched-lists"] == 3
