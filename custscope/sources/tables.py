@@ -115,12 +115,13 @@ def keep_last(df: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> Da
     copies never gathers in one task. NULL keys are equal to each other.
     """
     require_columns(df, [*keys, *sequence])
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    order = F.struct(*[F.col(c) for c in [*sequence, *(c for c in df.columns if c not in (*keys, *sequence))]])
+    keys = list(keys)
+    # The keys are the group's; every other value moves once, in the order in which rows are compared.
+    rest = [*sequence, *(c for c in df.columns if c not in (*keys, *sequence))]
     return (
         df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.max_by(whole, order).alias("_last"))
-        .select("_last.*")
+        .agg(F.max(F.struct(*[F.col(c) for c in rest])).alias("_last"))
+        .select(*[F.col(f"_k{keys.index(c)}").alias(c) if c in keys else F.col(f"_last.{c}") for c in df.columns])
     )
 
 

@@ -197,3 +197,13 @@ def test_equal_positions_do_not_depend_on_row_order(spark):
     for found in (versions, versions[::-1]):
         kept = tables.keep_last(spark.createDataFrame(found, "k string, p int, v double"), ["k"], ["p"]).collect()
         assert [r.v for r in kept] == [2.0]
+
+
+def test_keep_last_moves_each_value_once(spark):
+    """Keys, sequence and other values go through the shuffle once per row, and come back in the columns' order."""
+    df = spark.createDataFrame([("a", 2.0, 1, None), ("a", 1.0, 2, "x"), (None, 3.0, 1, "y")], "k string, payload double, n int, t string")
+    kept = tables.keep_last(df, ["k"], ["n"])
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([("a", 1.0, 2, "x"), (None, 3.0, 1, "y")], key=str)
+    aggregate = next(x for x in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
+    assert aggregate.count("payload#") == 1, aggregate
