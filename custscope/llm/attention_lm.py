@@ -33,8 +33,10 @@ from .packing import ids_of_words, tokenizer
 VOCABULARY, BEGIN, END = 49408, 49406, 49407
 #: Half a window, so that every subword behind the first window is predicted from more than WINDOW / 2 subwords.
 WINDOW, CONTEXT = 32, 16
-#: Windows scored at once: their arrays stay in a core's cache.
-BATCH = 40
+#: Half windows scored at once, and rows of small products: their arrays stay in a core's cache.
+BATCH, ROWS = 64, 128
+#: Documents whose words are looked up at once.
+SLAB = 1024
 #: Windows that training passes at least: a corpus with fewer is passed several times, a larger one once.
 SAMPLE = 96_000
 #: Windows for each task that trains, and the slices after which tasks average their weights.
@@ -93,6 +95,45 @@ def _cut(streams: list[np.ndarray], stride: int) -> tuple[np.ndarray, ...]:
     return flat, owners, skipped, begins[owners] + skipped, np.minimum(n[owners] - skipped, WINDOW)
 
 
+def _halves(streams: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """All streams cut into rows of CONTEXT places: subwords, the ones they are followed by, which places are of a
+    stream, and each stream's first row."""
+    n = np.fromiter(map(len, streams), np.int64, len(streams))
+    parts = n // CONTEXT + 1
+    rows = np.cumsum(parts) - parts
+    starts = rows * CONTEXT
+    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+    ids, want = np.full((2, parts.sum() * CONTEXT), END)
+    ids[starts] = BEGIN
+    ids[at + 1] = want[at] = np.concatenate(streams)
+    counts = np.zeros(len(ids), bool)
+    counts[at] = counts[starts + n] = True
+    return *(t.reshape(-1, CONTEXT) for t in (ids, want, counts)), rows
+
+
+def _times(rows: np.ndarray, matrix: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """rows @ matrix, a few rows at a time."""
+    if len(rows) % ROWS:
+        return np.matmul(rows, matrix, out=out)
+    cut = lambda t: t.reshape(-1, ROWS, t.shape[1])
+    return np.matmul(cut(rows), matrix, out=None if out is None else cut(out)).reshape(len(rows), -1)
+
+
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def _wide(values: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Each value a row of equal numbers: sums with it are faster than with a column."""
+    return np.repeat(values, width).reshape(-1, width)
+
+
+#: Exponentials are taken to base 2, the faster ones; what they are taken of is scaled instead.
+LOG2_E, ROOT = np.float32(1 / np.log(2)), np.float32(1 / np.sqrt(WIDTH))
+#: No subword sees a later one.
+EARLIER = np.tri(WINDOW, dtype=np.float32)
+
+
 @dataclass
 class AttentionLm:
     weights: dict[str, np.ndarray]
@@ -100,82 +141,118 @@ class AttentionLm:
     share: np.ndarray  # log10 of a subword's share of its class: as first subword of a word, and further on
     closes: np.ndarray  # subwords that end a word
 
-    def forward(self, ids: np.ndarray, room: tuple = (None, None)) -> dict[str, np.ndarray]:
-        """ids: windows of at most WINDOW subwords, one row each. `room`: arrays to use again for logits and p."""
+    def products(self) -> dict[str, np.ndarray]:
+        """The matrices that only ever meet each other, multiplied once."""
         w = self.weights
+        return {"link": w["query"] @ w["key"].T * ROOT, "pull": w["value"] @ w["merge"], "out": w["out"] * LOG2_E, "size": np.exp(w["bias"])}
+
+    def seen(self, ids: np.ndarray, products: dict[str, np.ndarray], first: int = 0, room: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """ids: windows of at most WINDOW subwords, one row each. Gives, from place `first` on, the logits to base 2
+        without the bias (in `room`, to use its memory again) and what led to them.
+
+        Keys and values are never made: energy is x query key' x', and what is merged is a x value merge.
+        """
         n = ids.shape[1]
-        x = w["embed"][ids] + w["place"][:n]
-        flat = x.reshape(-1, WIDTH)
-        q, k, v = ((flat @ w[name]).reshape(x.shape) for name in ("query", "key", "value"))
-        energy = q @ k.transpose(0, 2, 1) * np.float32(1 / np.sqrt(WIDTH))
-        a = np.exp(np.clip(energy, -60, 60, out=energy), out=energy)
-        a *= np.tri(n, dtype=np.float32)  # no subword sees a later one
-        a /= (a.reshape(-1, n) @ np.ones(n, np.float32)).reshape(-1, n, 1)
-        mixed = a @ v
-        h = np.tanh(x + mixed @ w["merge"])
+        x = self.weights["embed"].take(ids, 0)
+        x += self.weights["place"][:n]
+        own = _flat(np.ascontiguousarray(x[:, first:]))
+        turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+        asks = (own @ (products["link"] * LOG2_E)).reshape(len(ids), n - first, WIDTH)
+        a = asks @ turned
+        a = np.exp2(np.clip(a, -60 * LOG2_E, 60 * LOG2_E, out=a), out=a)
+        a *= EARLIER[first:n, :n]
+        weight = _wide(_flat(a) @ np.ones(n, np.float32))
+        mixed = _flat(a @ x)
+        mixed /= weight
+        h = mixed @ products["pull"]
+        h += own
+        np.tanh(h, out=h)
+        logits = _times(h, products["out"], None if room is None else room[: len(h)])
+        return {"x": x, "own": own, "turned": turned, "asks": asks, "a": a, "weight": weight, "mixed": mixed, "h": h, "logits": logits}
+
+    def forward(self, ids: np.ndarray) -> dict[str, np.ndarray]:
+        """What each place of each window gives every class, and the sum over classes."""
         # h lies between -1 and 1 and weights are small, so the exponential stays finite without a shift.
-        room = [r if r is None else r[: ids.size] for r in room]
-        logits = np.matmul(h.reshape(-1, WIDTH), w["out"], out=room[0])
-        logits += w["bias"]
-        p = np.exp(logits, out=room[1])
-        total = (p @ np.ones(p.shape[1], np.float32)).reshape(*ids.shape, 1)
-        logits, p = (t.reshape(*ids.shape, -1) for t in (logits, p))
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "logits": logits, "p": p, "total": total}
-
-    def gradients(self, ids: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss of the target classes that count, and its gradients; "embed" has the rows of np.unique(ids)."""
-        w, f = self.weights, self.forward(ids)
-        scale = (counts / counts.sum()).astype(np.float32)[:, :, None]
-        p = f["p"] / f["total"]
-        hit = np.take_along_axis(p, target[:, :, None], 2)
-        d = p.copy()
-        np.put_along_axis(d, target[:, :, None], hit - 1, 2)
-        d *= scale
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(f["h"]).T @ flat(d), "bias": flat(d).sum(0)}
-        dz = (d @ w["out"].T) * (1 - f["h"] ** 2)
-        g["merge"] = flat(f["mixed"]).T @ flat(dz)
-        dm = dz @ w["merge"].T
-        da, dv = dm @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dm
-        de = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = de @ f["k"], de.transpose(0, 2, 1) @ f["q"]
-        dx = dz.copy()
-        for name, part in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = flat(f["x"]).T @ flat(part)
-            dx += part @ w[name].T
+        products = self.products()
+        p = np.exp2(self.seen(ids, products)["logits"]) * products["size"]
+        return {"p": p.reshape(*ids.shape, -1), "total": p.sum(1).reshape(*ids.shape, 1)}
+
+    def gradients(
+        self, ids: np.ndarray, target: np.ndarray, counts: np.ndarray, room: np.ndarray | None = None,
+    ) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean log loss of the target classes that count, its gradients, and the rows of "embed" that they are for."""
+        w, products, (m, n) = self.weights, self.products(), ids.shape
+        f, size = self.seen(ids, products, room=room), products["size"]
+        x, a, h, p = f["x"], f["a"], f["h"], f["logits"]
+        total = np.exp2(p, out=p) @ size
+        scale = counts.ravel() / np.float32(np.count_nonzero(counts))
+        each = scale / total
+        spread = _wide(each)
+        # p size each is the probability of each class, scaled; less the target's own it is the gradient of the logits.
+        at, own = np.arange(0, p.size, len(size)) + target.ravel(), size.take(target.ravel())
+        hit = p.ravel().take(at)
+        loss = -(scale * np.log(np.maximum(hit * own / total, 1e-30))).sum()
+        p.ravel()[at] = hit - total / own
+        step = ROWS // 2 if len(p) % ROWS == 0 else len(p)
+        weighed = (h * spread).reshape(-1, step, WIDTH)
+        g = {"out": (weighed.transpose(0, 2, 1) @ p.reshape(-1, step, len(size))).sum(0) * size, "bias": (each @ p) * size}
+        dz = _times(p, np.ascontiguousarray((w["out"] * size).T))
+        dz *= spread
+        h *= h
+        dz *= np.subtract(1, h, out=h)
+        pulled = f["mixed"].T @ dz
+        g["merge"], g["value"] = w["value"].T @ pulled, pulled @ w["merge"].T
+        dm = dz @ np.ascontiguousarray(products["pull"].T)
+        dm /= f["weight"]
+        mean = _wide((dm * f["mixed"]) @ np.ones(WIDTH, np.float32), n)
+        dm = dm.reshape(x.shape)
+        de = dm @ f["turned"]
+        de -= mean.reshape(m, n, n)
+        de *= a
+        asked = _flat(de @ x)
+        linked = f["own"].T @ asked * ROOT
+        g["query"], g["key"] = linked @ w["key"], linked.T @ w["query"]
+        dx = dz
+        dx += asked @ np.ascontiguousarray(products["link"].T)
+        dx = dx.reshape(x.shape)
+        dx += a.transpose(0, 2, 1) @ dm
+        f["asks"] /= LOG2_E
+        dx += de.transpose(0, 2, 1) @ f["asks"]
         g["place"] = np.zeros_like(w["place"])
-        g["place"][: ids.shape[1]] = dx.sum(0)
-        order = np.argsort(ids, axis=None, kind="stable")
-        met = ids.ravel()[order]
-        g["embed"] = np.add.reduceat(flat(dx)[order], np.flatnonzero(np.diff(met, prepend=-1)))
-        return float(-(scale * np.log(np.maximum(hit, 1e-30))).sum()), g
+        g["place"][:n] = dx.sum(0)
+        short = ids.astype(np.uint16).ravel()  # few bytes to sort
+        order = np.argsort(short, kind="stable")
+        met = short[order]
+        fresh = np.ones(len(met), bool)
+        np.not_equal(met[1:], met[:-1], out=fresh[1:])
+        begins = np.flatnonzero(fresh)
+        g["embed"] = np.add.reduceat(_flat(dx).take(order, 0), begins)
+        return float(loss), g, met[begins].astype(np.int64)
 
     def score(self, streams: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each stream of subwords, BEGIN before and END after it left out of the input."""
         if not streams:
             return np.empty(0)
-        # The first window scores WINDOW subwords, each later one what it adds to its CONTEXT.
-        flat, owners, skipped, starts, sizes = _cut(streams, WINDOW - CONTEXT)
-        firsts = np.where(skipped > 0, CONTEXT, 0)
-        out = np.zeros(len(streams))
-        order = np.argsort(sizes, kind="stable")
-        # The two largest arrays are made once: fresh memory costs more than the sums in it.
-        room = tuple(np.empty((BATCH * WINDOW, len(self.weights["bias"])), np.float32) for _ in range(2))
-        for k in range(0, len(order), BATCH):
-            some = order[k : k + BATCH]
-            longest = sizes[some].max()
-            # Later subwords are masked for earlier ones, so what fills the end of a row changes nothing before it.
-            at = np.minimum(starts[some][:, None] + np.arange(longest), len(flat) - 2)
-            ids, want = flat[at], flat[at + 1]
-            f = self.forward(ids, room)
-            place = np.arange(longest)
-            scored = (place >= firsts[some][:, None]) & (place < sizes[some][:, None])
-            cls = self.classes[want]
-            found = np.take_along_axis(f["logits"], cls[:, :, None], 2)[:, :, 0] - np.log(f["total"][:, :, 0])
-            inside = (~self.closes[ids]).astype(np.int64)
-            each = np.where(scored, found.astype(np.float64) / np.log(10) + self.share[inside, want], 0).sum(1)
-            np.add.at(out, owners[some], each)
-        return out
+        # The first window scores WINDOW subwords, each later one what it adds to its CONTEXT: so the first half
+        # window of a stream stands alone, and any other one is seen behind the half before it.
+        ids, want, counts, rows = _halves(streams)
+        alone = np.zeros(len(ids), bool)
+        alone[rows] = True
+        products, classes = self.products(), self.classes[want]
+        found, bias = np.empty(ids.shape, np.float32), self.weights["bias"]
+        # The largest array is made once: fresh memory costs more than the sums in it.
+        room = np.empty((BATCH * CONTEXT, len(bias)), np.float32)
+        for some, first in ((np.flatnonzero(alone), 0), (np.flatnonzero(~alone), CONTEXT)):
+            for k in range(0, len(some), BATCH):
+                own = some[k : k + BATCH]
+                logits = self.seen(np.concatenate([ids[own - 1], ids[own]], 1) if first else ids[own], products, first, room)["logits"]
+                cls = classes[own].ravel()
+                hit = logits.ravel().take(np.arange(0, logits.size, len(bias)) + cls) / LOG2_E + bias[cls]
+                hit -= np.log(np.exp2(logits, out=logits) @ products["size"])
+                found[own] = hit.reshape(-1, CONTEXT)
+        inside = (~self.closes[ids]).astype(np.int64)
+        each = np.where(counts, found.astype(np.float64) / np.log(10) + self.share[inside, want], 0).sum(1)
+        return np.add.reduceat(each, rows)
 
 
 def drawn(table: np.ndarray, placed: np.ndarray, closes: np.ndarray, seed: int = 11) -> AttentionLm:
@@ -208,9 +285,16 @@ def train(
 
     Short windows and tails are filled up and masked. Gives the number of windows and how often each subword was met.
     """
-    rng, weights = np.random.default_rng(seed), model.weights
+    rng, weights, f4 = np.random.default_rng(seed), model.weights, np.float32
     flat, _, _, starts, sizes = _cut(streams, WINDOW)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
+    # All weights but the embeddings are parts of one array, so that a step changes them together.
+    names = [k for k in weights if k != "embed"]
+    dense = np.concatenate([weights[k].ravel() for k in names])
+    ends = np.cumsum([weights[k].size for k in names])
+    weights.update({k: part.reshape(weights[k].shape) for k, part in zip(names, np.split(dense, ends[:-1]), strict=True)})
+    embed, m, v = weights["embed"], np.zeros_like(weights["embed"]), np.zeros_like(weights["embed"])
+    dense_m, dense_v = np.zeros_like(dense), np.zeros_like(dense)
+    room = np.empty((batch * WINDOW, len(weights["bias"])), f4)
     order = np.concatenate([rng.permutation(len(starts)) for _ in range(passes)])
     for at in range(0, len(order), batch):
         some = order[at : at + batch]
@@ -218,20 +302,17 @@ def train(
         picked = np.minimum(starts[some][:, None] + place, len(flat) - 2)
         counts = place < sizes[some][:, None]
         ids = np.where(counts, flat[picked], END)
-        _, grads = model.gradients(ids, model.classes[flat[picked + 1]], counts)
+        _, grads, rows = model.gradients(ids, model.classes[flat[picked + 1]], counts, room)
         done = span[0] + (span[1] - span[0]) * (at + len(some)) / len(order)
-        pace = rate * min(1, 2 - 2 * done)
-        for k, g in grads.items():
-            m, v = moment[k]
-            if k == "embed":  # only the rows that were met
-                rows = np.unique(ids)
-                mm, vv = 0.9 * m[rows] + 0.1 * g, 0.99 * v[rows] + 0.01 * g * g
-                m[rows], v[rows] = mm, vv
-                weights[k][rows] -= np.float32(pace) * mm / (np.sqrt(vv) + np.float32(1e-7))
-                continue
-            m[...] = 0.9 * m + 0.1 * g
-            v[...] = 0.99 * v + 0.01 * g * g
-            weights[k] -= np.float32(pace) * m / (np.sqrt(v) + np.float32(1e-7))
+        pace = f4(rate * min(1, 2 - 2 * done))
+        g = grads["embed"]  # only the rows that were met
+        mm, vv = f4(0.9) * m.take(rows, 0) + f4(0.1) * g, f4(0.99) * v.take(rows, 0) + f4(0.01) * g * g
+        m[rows], v[rows] = mm, vv
+        embed[rows] = embed.take(rows, 0) - pace * mm / (np.sqrt(vv) + f4(1e-7))
+        g = np.concatenate([grads[k].ravel() for k in names])
+        dense_m[:] = f4(0.9) * dense_m + f4(0.1) * g
+        dense_v[:] = f4(0.99) * dense_v + f4(0.01) * g * g
+        dense -= pace * dense_m / (np.sqrt(dense_v) + f4(1e-7))
     return len(starts), np.bincount(flat, minlength=VOCABULARY)
 
 
@@ -269,16 +350,30 @@ def spelled(path: str, words: list[bytes]) -> list[bytes]:
     return [np.frombuffer(found[t], "<u4").astype("<u2").tobytes() for t in text]
 
 
+def coded_words(texts: pa.ChunkedArray) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct words of texts, and for each SLAB of texts the numbers of its words and of the text that has each.
+
+    The same words as those of `tokens`.
+    """
+    words, owners = [], []
+    for k in range(0, len(texts), SLAB):
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays(texts.slice(k, SLAB).chunks)))
+        kept = pc.not_equal(pc.binary_length(found.flatten()), 0)  # blanks at either end leave an empty word
+        words.append(found.flatten().filter(kept).cast(pa.binary()))
+        owners.append(pc.list_parent_indices(found).filter(kept).to_numpy())
+    coded = pa.chunked_array(words, pa.binary()).dictionary_encode().unify_dictionaries()
+    distinct = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.binary())
+    return distinct, [(c.indices.to_numpy(), o) for c, o in zip(coded.chunks, owners, strict=True)]
+
+
 def _block_words(table: pa.Table) -> pa.Table:
     """The distinct words of a block and how often its training documents have each."""
-    counted, block = {}, table["block"][0].as_py()
-    for text, learned in zip(table["text"].to_pylist(), table["learned"].to_pylist(), strict=True):
-        step = int(learned)
-        for word in tokens(text):
-            counted[word] = counted.get(word, 0) + step
+    words, slabs = coded_words(table["text"])
+    learned, counted = table["learned"].to_numpy(), np.zeros(len(words), np.int64)
+    for k, (codes, owners) in enumerate(slabs):
+        counted += np.bincount(codes[learned[k * SLAB :][owners]], minlength=len(words))
     return pa.table({
-        "word": pa.array(list(counted), pa.binary()), "block": pa.array([block] * len(counted), pa.int32()),
-        "n": pa.array(list(counted.values()), pa.int64())})
+        "word": words, "block": pa.array(np.full(len(words), table["block"][0].as_py()), pa.int32()), "n": pa.array(counted)})
 
 
 def closing(path: str) -> np.ndarray:
@@ -320,24 +415,27 @@ def _subword_counts(path: str):
 def _streams_of_block(n_tokens: int, n_words: int, end_count: int):
     """Word counts, base score and subword ids of each document."""
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        row_of = {w: i for i, w in enumerate(counts["word"].to_pylist())}
-        count_of, ids_of = counts["c"].to_numpy(), counts["ids"].to_pylist()
+        words, slabs = coded_words(docs["text"])
+        row_of = pc.index_in(words, value_set=counts["word"].combine_chunks()).to_numpy(zero_copy_only=False)
+        count_of = counts["c"].to_numpy()[row_of]
+        ids_of = pa.chunked_array([counts["ids"].combine_chunks().take(pa.array(row_of))], pa.binary()).combine_chunks()
         rare = np.log10(n_tokens + 1.0 * (n_words + 1))
-        end = np.log10(end_count + 1.0) - rare
+        end, share_of, known_of = np.log10(end_count + 1.0) - rare, np.log10(count_of + 1.0) - rare, count_of > 0
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "ids")}
-        texts = docs["text"]
-        for k in range(0, len(texts), 256):
-            for text in texts[k : k + 256].to_pylist():
-                at = list(map(row_of.__getitem__, tokens(text)))
-                out["ids"].append(b"".join(map(ids_of.__getitem__, at)))
-                c = count_of[at] if at else np.empty(0, np.int64)
-                out["n_tokens"].append(len(at) + 1)
-                out["n_known"].append(int((c > 0).sum()) + (end_count > 0))
-                out["base_score"].append(float((np.log10(c + 1.0) - rare).sum() + end))
+        for k, (codes, owners) in enumerate(slabs):
+            n = min(SLAB, len(docs) - k * SLAB)
+            sizes = np.bincount(owners, minlength=n)
+            out["n_tokens"].append(pa.array(sizes + 1))
+            out["n_known"].append(pa.array(np.bincount(owners[known_of[codes]], minlength=n) + (end_count > 0)))
+            out["base_score"].append(pa.array(np.bincount(owners, share_of[codes], n) + end))
+            ids = ids_of.take(pa.array(codes))
+            edges = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            edges = np.ascontiguousarray(edges[np.append(0, np.cumsum(sizes))])
+            out["ids"].append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), ids.buffers()[2]]))
         kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "ids": pa.binary()}
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "learned": docs["learned"],
-            **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
+            **{k: pa.chunked_array(v, kinds[k]) for k, v in out.items()}})
 
     return run
 
@@ -451,7 +549,7 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
     own = Window.partitionBy("word")
     counted = stage(words.select(
         "word", "block", "n", F.sum("n").over(own).alias("c"),
-        (F.row_number().over(own.orderBy("block")) == 1).alias("first"),
+        (F.min("block").over(own) == F.col("block")).alias("first"),
     ).mapInArrow(_spell(tokenizer_path), "word binary, block int, n bigint, c bigint, first boolean, ids binary"), "word-counts")
     ends = dealt.where("learned").count()
     total, distinct = counted.agg(
