@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -34,9 +34,9 @@ VOCABULARY, BEGIN, END = 49408, 49406, 49407
 #: Half a window, so that every subword behind the first window is predicted from more than WINDOW / 2 subwords.
 WINDOW, CONTEXT = 32, 16
 #: Half windows scored at once, and rows of small products: their arrays stay in a core's cache.
-BATCH, ROWS = 64, 128
-#: Documents whose words are looked up at once.
-SLAB = 1024
+BATCH, ROWS = 128, 128
+#: Documents whose words are looked up at once, and words spelled at once.
+SLAB, SPELLED = 1024, 20_000
 #: Windows that training passes at least: a corpus with fewer is passed several times, a larger one once.
 SAMPLE = 96_000
 #: Windows for each task that trains, and the slices after which tasks average their weights.
@@ -191,7 +191,7 @@ class AttentionLm:
         # p size each is the probability of each class, scaled; less the target's own it is the gradient of the logits.
         at, own = np.arange(0, p.size, len(size)) + target.ravel(), size.take(target.ravel())
         hit = p.ravel().take(at)
-        loss = -(scale * np.log(np.maximum(hit * own / total, 1e-30))).sum()
+        loss = -(scale @ np.log(np.maximum(hit * own / total, 1e-30)))
         p.ravel()[at] = hit - total / own
         step = ROWS // 2 if len(p) % ROWS == 0 else len(p)
         weighed = (h * spread).reshape(-1, step, WIDTH)
@@ -346,8 +346,10 @@ def _joined(parts) -> np.ndarray:
 def spelled(path: str, words: list[bytes]) -> list[bytes]:
     """16-bit subword ids of each word."""
     text = [w.decode("utf-8", "surrogatepass") for w in words]
-    found = ids_of_words(path, set(text))
-    return [np.frombuffer(found[t], "<u4").astype("<u2").tobytes() for t in text]
+    found = list(map(ids_of_words(path, set(text)).__getitem__, text))
+    ids = np.frombuffer(b"".join(found), "<u4").astype("<u2").tobytes()
+    ends = np.cumsum([len(f) // 2 for f in found]).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def coded_words(texts: pa.ChunkedArray) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
@@ -384,13 +386,24 @@ def closing(path: str) -> np.ndarray:
     return out
 
 
-def _spell(path: str):
-    """Adds subword ids to rows that come sorted by word."""
+def _count_and_spell(path: str):
+    """One row for each word of a partition that has all rows of its words: count, subword ids and blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = batch["word"].dictionary_encode()
-            ids = pa.array(spelled(path, coded.dictionary.to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids.take(coded.indices)], [*batch.schema.names, "ids"])
+        rows = pa.Table.from_batches(batches, pa.schema([("word", pa.binary()), ("block", pa.int32()), ("n", pa.int64())]))
+        if not len(rows):
+            return
+        coded = rows["word"].dictionary_encode().unify_dictionaries()
+        words, codes = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        c = np.zeros(len(words), np.int64)
+        np.add.at(c, codes, rows["n"].to_numpy())
+        held = rows["block"].to_numpy()[np.argsort(codes, kind="stable")]
+        ends = np.append(0, np.cumsum(np.bincount(codes)))
+        for k in range(0, len(words), SPELLED):
+            some = words.slice(k, SPELLED)
+            at = ends[k : k + len(some) + 1]
+            yield pa.RecordBatch.from_arrays([
+                some, pa.array(c[k : k + len(some)]), pa.array(spelled(path, some.to_pylist()), pa.binary()),
+                pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(held[at[0] : at[-1]]))], ["word", "c", "ids", "blocks"])
 
     return run
 
@@ -452,7 +465,7 @@ def _transition_counts(column: np.ndarray):
             if len(batch):
                 streams = _read(batch["ids"].to_pylist())
                 total += transitions(streams, column).ravel()
-                windows += len(_cut(streams, WINDOW)[3])
+                windows += sum(max(1, -(-(len(s) + 1) // WINDOW)) for s in streams)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(some, -1)), pa.array(np.append(total[some], windows))], ["key", "n"])
@@ -546,23 +559,19 @@ def score(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -> DataFra
         F.pmod(F.hash("doc_id"), F.lit(blocks(spark))).alias("block"))
     words = dealt.select("text", "learned", "block").groupBy("block").applyInArrow(
         _block_words, "word binary, block int, n bigint")
-    own = Window.partitionBy("word")
-    counted = stage(words.select(
-        "word", "block", "n", F.sum("n").over(own).alias("c"),
-        (F.min("block").over(own) == F.col("block")).alias("first"),
-    ).mapInArrow(_spell(tokenizer_path), "word binary, block int, n bigint, c bigint, first boolean, ids binary"), "word-counts")
+    counted = stage(words.repartition(blocks(spark), "word").mapInArrow(
+        _count_and_spell(tokenizer_path), "word binary, c bigint, ids binary, blocks array<int>"), "word-counts")
     ends = dealt.where("learned").count()
-    total, distinct = counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
     counts = np.zeros(2 * VOCABULARY, np.int64)
-    per_id = counted.where("first AND c > 0").select("ids", "c").mapInArrow(
+    per_id = counted.where("c > 0").select("ids", "c").mapInArrow(
         _subword_counts(tokenizer_path), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     for row in per_id.collect():  # two rows at most per subword of the vocabulary
         counts[row["id"]] = row["n"]
     counts[END] += ends
     streams = stage(
-        dealt.groupBy("block").cogroup(counted.select("word", "c", "ids", "block").groupBy("block")).applyInArrow(
+        dealt.groupBy("block").cogroup(counted.select("word", "c", "ids", F.explode("blocks").alias("block")).groupBy("block")).applyInArrow(
             _streams_of_block(total, distinct, ends),
             "doc_id bigint, held_out boolean, learned boolean, n_tokens bigint, n_known bigint, base_score double, ids binary"),
         "streams")

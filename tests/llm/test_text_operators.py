@@ -495,3 +495,48 @@ def test_document_ids_of_every_code_point():
     want = loaded.encode_batch_fast(texts, add_special_tokens=False)
     wrong = [t for t, w, g in zip(texts, want, packing.document_ids(WORDS, texts), strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids]
     assert wrong == []
+
+
+def test_lm_passes_each_scored_place_once(monkeypatch):
+    """Places that a window only adds as context are neither asked nor given classes."""
+    rng, asked = np.random.default_rng(3), []
+    streams = [rng.integers(0, 300, n) for n in (0, 5, 16, 200, 999)]
+    model = attention_lm.fit(streams, np.ones((2, attention_lm.VOCABULARY)), attention_lm.closing(WORDS), steps=3)
+    tanh = np.tanh
+    monkeypatch.setattr(attention_lm.np, "tanh", lambda h, **k: (asked.append(len(h)), tanh(h, **k))[1])
+    model.score(streams)
+    half = attention_lm.WINDOW // 2
+    assert sum(asked) == sum(-(-(len(s) + 1) // half) * half for s in streams)
+
+
+def test_lm_gradients_follow_the_loss():
+    rng = np.random.default_rng(5)
+    streams = [rng.integers(0, 300, 64) for _ in range(4)]
+    model = attention_lm.fit(streams, np.ones((2, attention_lm.VOCABULARY)), attention_lm.closing(WORDS), steps=3)
+    ids, target = rng.integers(0, 300, (4, 32)), rng.integers(0, 128, (4, 32))
+    counts = np.arange(32) < np.array([[32], [7], [32], [1]])
+    model.weights = {k: w.astype(np.float64) for k, w in model.weights.items()}
+    plain = lambda: model.gradients(ids, target, counts)[0]
+    _, grads, rows = model.gradients(ids, target, counts)
+    assert list(rows) == sorted({*ids.ravel()})
+    for name, weight in model.weights.items():
+        at = (rows[3], 2) if name == "embed" else tuple(d // 2 for d in weight.shape)
+        got = grads["embed"][3, 2] if name == "embed" else grads[name][at]
+        before, step = weight[at], 1e-2
+        weight[at] = before + step
+        above = plain()
+        weight[at] = before - step
+        assert got == pytest.approx((above - plain()) / (2 * step), rel=0.02, abs=2e-4), name
+        weight[at] = before
+
+
+def test_lm_words_are_those_between_blanks():
+    import pyarrow as pa
+
+    texts = ["", " ", "a  B\tc\r\n\x0b\x0c d ", "\x1cx\x85y z  É Ça", "A\x1fb a", " " * 3 + "tail"] * 400
+    words, slabs = attention_lm.coded_words(pa.chunked_array([texts[:7], texts[7:]], pa.string()))
+    got = [[] for _ in texts]
+    for k, (codes, owners) in enumerate(slabs):
+        for code, owner in zip(codes, owners, strict=True):
+            got[k * attention_lm.SLAB + owner].append(words[code].as_py())
+    assert got == [attention_lm.tokens(t) for t in texts]
