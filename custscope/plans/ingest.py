@@ -56,18 +56,26 @@ class Load:
 
 
 def split_documents(docs: DataFrame, watermark: datetime | None = None, until: datetime | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """(pending documents, rejected documents with their reason, documents per class), in one pass over the input.
+    """(pending documents, rejected documents with their reason, documents per class).
 
-    Only pending and rejected ones are written; the others are counted by the same write.
+    Without a mark that is one pass over the input: only pending and rejected documents are written, the others are counted
+    by the same write. Behind a mark few documents are new, so classes are counted first, which does not read the lines
+    of any document; documents are then written only if there are some.
     """
-    seen = Observation()
+    classes = (PENDING, OUTSIDE, OTHER, REJECTED)
+    figures = [F.count(F.lit(1)).alias("read"), *[F.count_if(F.col("_clase") == c).alias(c) for c in classes]]
     marked = docs.withColumns({"_clase": document_class(docs, watermark, until), "_motivo": reject_reason(docs), "_texto": corrupt(docs)})
-    counted = marked.observe(
-        seen, F.count(F.lit(1)).alias("read"), *[F.count_if(F.col("_clase") == c).alias(c) for c in (PENDING, OUTSIDE, OTHER, REJECTED)])
-    kept = stage(counted.where(F.col("_clase").isin(PENDING, REJECTED)), "documents", ["_clase"])
-    of = lambda c: kept.where(F.col("_clase") == c).drop("_clase")
-    counts = {"read": 0, PENDING: 0, OUTSIDE: 0, OTHER: 0, REJECTED: 0} | {k: int(v) for k, v in seen.get.items()}
-    return of(PENDING).drop("_motivo", "_texto"), of(REJECTED), counts
+    wanted = F.col("_clase").isin(PENDING, REJECTED)
+    of = lambda kept, c: kept.where(F.col("_clase") == c).drop("_clase")
+    if watermark is None:
+        seen = Observation()
+        kept = stage(marked.observe(seen, *figures).where(wanted), "documents", ["_clase"])
+        counts = {"read": 0, **dict.fromkeys(classes, 0)} | {k: int(v) for k, v in seen.get.items()}
+    else:
+        counts = {k: int(v) for k, v in marked.agg(*figures).first().asDict().items()}
+        some = counts[PENDING] or counts[REJECTED]
+        kept = stage(marked.where(wanted), "documents", ["_clase"]) if some else marked.limit(0)
+    return of(kept, PENDING).drop("_motivo", "_texto"), of(kept, REJECTED), counts
 
 
 def store_rejects(version: Version, rejected: DataFrame) -> int:
@@ -91,10 +99,17 @@ def store_rejects(version: Version, rejected: DataFrame) -> int:
 
 
 def last_versions(docs: DataFrame) -> DataFrame:
-    """Of documents that share an id, the last by time (then by content), so that lines of two versions of an order never mix."""
+    """Of documents that share an id, the last by time (then by content), so that lines of two versions of an order never mix.
+
+    Ids are counted first; only documents of an id that comes again are compared.
+    """
     stamp = F.struct(F.unix_micros(document_time()), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    again = stage(docs.groupBy(document_id().alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "repeated-ids")
+    if again.isEmpty():
+        return docs
     repeated = stage(
-        docs.groupBy(document_id().alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.max(stamp).alias("_stamp")).where("_n > 1"), "repeated")
+        docs.join(again, document_id() == F.col("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max(stamp).alias("_stamp")),
+        "repeated")
     return docs.join(repeated, document_id() == F.col("_key"), "left").where(
         F.col("_key").isNull() | (stamp == F.col("_stamp"))).drop("_key", "_n", "_stamp")
 

@@ -1,6 +1,6 @@
 import json
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from custscope.operators import season
 from custscope.operators.quality import QualityCheckFailed
 from custscope.plans import job, views
+from custscope.plans.ingest import last_versions, split_documents
 from custscope.schema import SNAPSHOT_COLUMNS
 from custscope.sources import tables
+from custscope.sources.documents import OTHER, OUTSIDE, PENDING, REJECTED, parse_documents
 from custscope.streaming import daily as sd
 from custscope.streaming import ingest as si
 from custscope.testbed import catalog as c
@@ -117,3 +119,36 @@ def test_an_empty_batch_of_days(spark, tmp_path):
     root, none = str(tmp_path), m.event_orders(spark, DATA).where("false")
     assert sd.merge_batch(spark, root, none, ("s", 0), m.event_segments(spark, DATA), "1 day") == 0
     assert sd.read_daily(spark, root).count() == 0 and sd.late_orders(spark, root) is None
+
+
+def _documents(spark, *rows):
+    """Sold documents of (id, time, lines)."""
+    texts = [json.dumps({
+        "_id": i, "errores": [], "estatus": {"Facturado": "si"},
+        "pedido": {"tipo": "CTonline", "fecha": t, "encabezado": {"cliente": "c"}, "detalle": {"producto": [{"clave": k} for k in lines]}},
+    }) for i, t, lines in rows]
+    return parse_documents(spark.createDataFrame([(t,) for t in texts], "value string"))
+
+
+def test_a_load_behind_the_mark_reads_no_lines(spark):
+    mark = datetime(2024, 1, 2, tzinfo=timezone.utc)
+    docs = _documents(spark, ("1", "2024-01-01T00:00:00Z", ["A1"]), ("2", "2024-01-02T00:00:00Z", []))
+    detail = F.raise_error(F.lit("lines were read"))
+    unread = docs.withColumn("pedido", F.struct(
+        F.col("pedido.tipo").alias("tipo"), F.col("pedido.fecha").alias("fecha"), F.col("pedido.encabezado").alias("encabezado"), detail.alias("detalle")))
+    pending, rejected, counts = split_documents(unread, mark)
+    assert counts == {"read": 2, PENDING: 0, OUTSIDE: 2, OTHER: 0, REJECTED: 0}
+    assert pending.columns == docs.columns
+    later = docs.unionByName(_documents(spark, ("3", "2024-01-03T00:00:00Z", ["B2", "C3"]), ("4", "n/d", ["D4"])))
+    pending, rejected, counts = split_documents(later, mark)
+    assert counts == {"read": 4, PENDING: 1, OUTSIDE: 2, OTHER: 0, REJECTED: 1}
+    assert [(r["_id"], len(r["pedido"]["detalle"]["producto"])) for r in pending.collect()] == [("3", 2)]
+    assert [(r["_id"], r["_motivo"]) for r in rejected.collect()] == [("4", "sin_fecha")]
+
+
+def test_only_documents_of_repeated_ids_are_compared(spark):
+    docs = _documents(spark, ("1", "2024-01-01T00:00:00Z", ["A1"]), ("2", "2024-01-01T00:00:00Z", ["B2"]))
+    assert last_versions(docs) is docs
+    more = docs.unionByName(_documents(spark, ("2", "2024-01-03T00:00:00Z", ["C3"]), ("2", "2024-01-02T00:00:00Z", ["D4"])))
+    got = {r["_id"]: r["pedido"]["detalle"]["producto"][0]["clave"] for r in last_versions(more).collect()}
+    assert got == {"1": "A1", "2": "C3"} and last_versions(more).count() == 2
