@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .common import blocks, crc_text, doc_texts
-from .packing import ids_of_words, tokenizer
+from .packing import ids_of_plain_words, ids_of_words, tokenizer
 
 #: Fixed values of the tokenizer: its ids, the one before a text and the one that ends it.
 VOCABULARY, BEGIN, END = 49408, 49406, 49407
 #: Half a window, so that every subword behind the first window is predicted from more than WINDOW / 2 subwords.
 WINDOW, CONTEXT = 32, 16
-#: Half windows scored at once, and rows of small products: their arrays stay in a core's cache.
-BATCH, ROWS = 128, 128
+#: Half windows scored at once, and places whose classes are weighed at once: their arrays stay in a core's cache.
+BATCH, ROWS = 128, 512
 #: Documents whose words are looked up at once, and words spelled at once.
 SLAB, SPELLED = 1024, 20_000
 #: Windows that training passes at least: a corpus with fewer is passed several times, a larger one once.
@@ -111,14 +111,6 @@ def _halves(streams: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return *(t.reshape(-1, CONTEXT) for t in (ids, want, counts)), rows
 
 
-def _times(rows: np.ndarray, matrix: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """rows @ matrix, a few rows at a time."""
-    if len(rows) % ROWS:
-        return np.matmul(rows, matrix, out=out)
-    cut = lambda t: t.reshape(-1, ROWS, t.shape[1])
-    return np.matmul(cut(rows), matrix, out=None if out is None else cut(out)).reshape(len(rows), -1)
-
-
 def _flat(t: np.ndarray) -> np.ndarray:
     return t.reshape(-1, t.shape[-1])
 
@@ -128,8 +120,7 @@ def _wide(values: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.repeat(values, width).reshape(-1, width)
 
 
-#: Exponentials are taken to base 2, the faster ones; what they are taken of is scaled instead.
-LOG2_E, ROOT = np.float32(1 / np.log(2)), np.float32(1 / np.sqrt(WIDTH))
+ROOT = np.float32(1 / np.sqrt(WIDTH))
 #: No subword sees a later one.
 EARLIER = np.tri(WINDOW, dtype=np.float32)
 
@@ -144,11 +135,11 @@ class AttentionLm:
     def products(self) -> dict[str, np.ndarray]:
         """The matrices that only ever meet each other, multiplied once."""
         w = self.weights
-        return {"link": w["query"] @ w["key"].T * ROOT, "pull": w["value"] @ w["merge"], "out": w["out"] * LOG2_E, "size": np.exp(w["bias"])}
+        return {"link": w["query"] @ w["key"].T * ROOT, "pull": w["value"] @ w["merge"], "size": np.exp(w["bias"])}
 
-    def seen(self, ids: np.ndarray, products: dict[str, np.ndarray], first: int = 0, room: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """ids: windows of at most WINDOW subwords, one row each. Gives, from place `first` on, the logits to base 2
-        without the bias (in `room`, to use its memory again) and what led to them.
+    def seen(self, ids: np.ndarray, products: dict[str, np.ndarray], first: int = 0) -> dict[str, np.ndarray]:
+        """ids: windows of at most WINDOW subwords, one row each. Gives, from place `first` on, what the classes are
+        weighed by ("h") and what led to it.
 
         Keys and values are never made: energy is x query key' x', and what is merged is a x value merge.
         """
@@ -157,9 +148,10 @@ class AttentionLm:
         x += self.weights["place"][:n]
         own = _flat(np.ascontiguousarray(x[:, first:]))
         turned = np.ascontiguousarray(x.transpose(0, 2, 1))
-        asks = (own @ (products["link"] * LOG2_E)).reshape(len(ids), n - first, WIDTH)
+        asks = (own @ products["link"]).reshape(len(ids), n - first, WIDTH)
         a = asks @ turned
-        a = np.exp2(np.clip(a, -60 * LOG2_E, 60 * LOG2_E, out=a), out=a)
+        # exp, not exp2: numpy has fast code for it on every processor, for exp2 on some only.
+        a = np.exp(np.clip(a, -60, 60, out=a), out=a)
         a *= EARLIER[first:n, :n]
         weight = _wide(_flat(a) @ np.ones(n, np.float32))
         mixed = _flat(a @ x)
@@ -167,37 +159,51 @@ class AttentionLm:
         h = mixed @ products["pull"]
         h += own
         np.tanh(h, out=h)
-        logits = _times(h, products["out"], None if room is None else room[: len(h)])
-        return {"x": x, "own": own, "turned": turned, "asks": asks, "a": a, "weight": weight, "mixed": mixed, "h": h, "logits": logits}
+        return {"x": x, "own": own, "turned": turned, "asks": asks, "a": a, "weight": weight, "mixed": mixed, "h": h}
 
     def forward(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         """What each place of each window gives every class, and the sum over classes."""
         # h lies between -1 and 1 and weights are small, so the exponential stays finite without a shift.
         products = self.products()
-        p = np.exp2(self.seen(ids, products)["logits"]) * products["size"]
+        p = np.exp(self.seen(ids, products)["h"] @ self.weights["out"]) * products["size"]
         return {"p": p.reshape(*ids.shape, -1), "total": p.sum(1).reshape(*ids.shape, 1)}
 
+    def _weighed(self, h: np.ndarray, target: np.ndarray, size: np.ndarray, room: np.ndarray) -> Iterator[tuple]:
+        """ROWS places at a time: which they are, exp of what they give each class without the bias (in `room`, whose
+        memory is used again), the sum over classes with it, where the target classes lie, and the logits of these."""
+        begins = np.arange(0, ROWS * len(size), len(size))
+        for k in range(0, len(h), ROWS):
+            some = slice(k, k + ROWS)
+            own = h[some]
+            p = np.matmul(own, self.weights["out"], out=room[: len(own)])
+            at = begins[: len(own)] + target[some]
+            hit = p.ravel().take(at)
+            np.exp(p, out=p)
+            yield some, p, p @ size, at, hit
+
     def gradients(
         self, ids: np.ndarray, target: np.ndarray, counts: np.ndarray, room: np.ndarray | None = None,
     ) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean log loss of the target classes that count, its gradients, and the rows of "embed" that they are for."""
         w, products, (m, n) = self.weights, self.products(), ids.shape
-        f, size = self.seen(ids, products, room=room), products["size"]
-        x, a, h, p = f["x"], f["a"], f["h"], f["logits"]
-        total = np.exp2(p, out=p) @ size
+        f, size = self.seen(ids, products), products["size"]
+        x, a, h, target = f["x"], f["a"], f["h"], target.ravel()
+        if room is None:
+            room = np.empty((ROWS, len(size)), h.dtype)
         scale = counts.ravel() / np.float32(np.count_nonzero(counts))
-        each = scale / total
-        spread = _wide(each)
-        # p size each is the probability of each class, scaled; less the target's own it is the gradient of the logits.
-        at, own = np.arange(0, p.size, len(size)) + target.ravel(), size.take(target.ravel())
-        hit = p.ravel().take(at)
-        loss = -(scale @ np.log(np.maximum(hit * own / total, 1e-30)))
-        p.ravel()[at] = hit - total / own
-        step = ROWS // 2 if len(p) % ROWS == 0 else len(p)
-        weighed = (h * spread).reshape(-1, step, WIDTH)
-        g = {"out": (weighed.transpose(0, 2, 1) @ p.reshape(-1, step, len(size))).sum(0) * size, "bias": (each @ p) * size}
-        dz = _times(p, np.ascontiguousarray((w["out"] * size).T))
-        dz *= spread
+        own, back = size.take(target), np.ascontiguousarray((w["out"] * size).T)
+        likely, dz, out, weighed = np.empty_like(own), np.empty_like(h), np.zeros((len(size), WIDTH), h.dtype), np.zeros_like(size)
+        for some, p, total, at, hit in self._weighed(h, target, size, room):
+            likely[some] = hit - np.log(total)
+            # p size each is the probability of each class, scaled; less the target's own it is the gradient of the logits.
+            each = scale[some] / total
+            spread = _wide(each)
+            p.ravel()[at] = np.exp(hit) - total / own[some]
+            out += p.T @ (h[some] * spread)
+            weighed += each @ p
+            np.multiply(p @ back, spread, out=dz[some])
+        loss = -(scale @ (likely + w["bias"].take(target)))
+        g = {"out": out.T * size, "bias": weighed * size}
         h *= h
         dz *= np.subtract(1, h, out=h)
         pulled = f["mixed"].T @ dz
@@ -216,7 +222,6 @@ class AttentionLm:
         dx += asked @ np.ascontiguousarray(products["link"].T)
         dx = dx.reshape(x.shape)
         dx += a.transpose(0, 2, 1) @ dm
-        f["asks"] /= LOG2_E
         dx += de.transpose(0, 2, 1) @ f["asks"]
         g["place"] = np.zeros_like(w["place"])
         g["place"][:n] = dx.sum(0)
@@ -241,15 +246,18 @@ class AttentionLm:
         products, classes = self.products(), self.classes[want]
         found, bias = np.empty(ids.shape, np.float32), self.weights["bias"]
         # The largest array is made once: fresh memory costs more than the sums in it.
-        room = np.empty((BATCH * CONTEXT, len(bias)), np.float32)
+        room = np.empty((ROWS, len(bias)), np.float32)
         for some, first in ((np.flatnonzero(alone), 0), (np.flatnonzero(~alone), CONTEXT)):
             for k in range(0, len(some), BATCH):
                 own = some[k : k + BATCH]
-                logits = self.seen(np.concatenate([ids[own - 1], ids[own]], 1) if first else ids[own], products, first, room)["logits"]
-                cls = classes[own].ravel()
-                hit = logits.ravel().take(np.arange(0, logits.size, len(bias)) + cls) / LOG2_E + bias[cls]
-                hit -= np.log(np.exp2(logits, out=logits) @ products["size"])
-                found[own] = hit.reshape(-1, CONTEXT)
+                h = self.seen(np.concatenate([ids[own - 1], ids[own]], 1) if first else ids[own], products, first)["h"]
+                cls, sums = classes[own].ravel(), np.empty(len(h), np.float32)
+                hits = bias[cls]
+                for part, _, total, _, hit in self._weighed(h, cls, products["size"], room):
+                    hits[part] += hit
+                    sums[part] = total
+                hits -= np.log(sums)
+                found[own] = hits.reshape(-1, CONTEXT)
         inside = (~self.closes[ids]).astype(np.int64)
         each = np.where(counts, found.astype(np.float64) / np.log(10) + self.share[inside, want], 0).sum(1)
         return np.add.reduceat(each, rows)
@@ -292,9 +300,10 @@ def train(
     dense = np.concatenate([weights[k].ravel() for k in names])
     ends = np.cumsum([weights[k].size for k in names])
     weights.update({k: part.reshape(weights[k].shape) for k, part in zip(names, np.split(dense, ends[:-1]), strict=True)})
-    embed, m, v = weights["embed"], np.zeros_like(weights["embed"]), np.zeros_like(weights["embed"])
+    embed, means = weights["embed"], np.zeros((VOCABULARY, 2 * WIDTH), f4)  # of gradients and of their squares
+    kept = np.repeat(np.array([0.9, 0.99], f4), WIDTH)
     dense_m, dense_v = np.zeros_like(dense), np.zeros_like(dense)
-    room = np.empty((batch * WINDOW, len(weights["bias"])), f4)
+    room = np.empty((ROWS, len(weights["bias"])), f4)
     order = np.concatenate([rng.permutation(len(starts)) for _ in range(passes)])
     for at in range(0, len(order), batch):
         some = order[at : at + batch]
@@ -306,9 +315,11 @@ def train(
         done = span[0] + (span[1] - span[0]) * (at + len(some)) / len(order)
         pace = f4(rate * min(1, 2 - 2 * done))
         g = grads["embed"]  # only the rows that were met
-        mm, vv = f4(0.9) * m.take(rows, 0) + f4(0.1) * g, f4(0.99) * v.take(rows, 0) + f4(0.01) * g * g
-        m[rows], v[rows] = mm, vv
-        embed[rows] = embed.take(rows, 0) - pace * mm / (np.sqrt(vv) + f4(1e-7))
+        fresh = means.take(rows, 0)
+        fresh *= kept
+        fresh += np.concatenate([f4(0.1) * g, f4(0.01) * g * g], 1)
+        means[rows] = fresh
+        embed[rows] = embed.take(rows, 0) - pace * fresh[:, :WIDTH] / (np.sqrt(fresh[:, WIDTH:]) + f4(1e-7))
         g = np.concatenate([grads[k].ravel() for k in names])
         dense_m[:] = f4(0.9) * dense_m + f4(0.1) * g
         dense_v[:] = f4(0.99) * dense_v + f4(0.01) * g * g
@@ -339,8 +350,11 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _joined(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
+def _subwords(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit subword ids of all rows one after the other, and how many each row has."""
+    edges = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return data.view("<u2").astype(np.int64), np.diff(edges) // 2
 
 
 def spelled(path: str, words: list[bytes]) -> list[bytes]:
@@ -352,6 +366,18 @@ def spelled(path: str, words: list[bytes]) -> list[bytes]:
     return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def spelled_words(path: str, words: pa.Array) -> pa.Array:
+    """The same for an array of words: plain ones side by side, any other by the tokenizer."""
+    plain, ids, counts = ids_of_plain_words(path, words)
+    others = spelled(path, words.filter(pa.array(~plain)).to_pylist())
+    sizes = np.empty(len(words), np.int64)
+    sizes[plain], sizes[~plain] = counts, [len(o) // 2 for o in others]
+    flat, edges = np.empty(sizes.sum(), "<u2"), np.append(0, np.cumsum(sizes))
+    own = np.repeat(plain, sizes)
+    flat[own], flat[~own] = ids, np.frombuffer(b"".join(others), "<u2")
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(flat)])
+
+
 def coded_words(texts: pa.ChunkedArray) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
     """The distinct words of texts, and for each SLAB of texts the numbers of its words and of the text that has each.
 
@@ -402,7 +428,7 @@ def _count_and_spell(path: str):
             some = words.slice(k, SPELLED)
             at = ends[k : k + len(some) + 1]
             yield pa.RecordBatch.from_arrays([
-                some, pa.array(c[k : k + len(some)]), pa.array(spelled(path, some.to_pylist()), pa.binary()),
+                some, pa.array(c[k : k + len(some)]), spelled_words(path, some),
                 pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(held[at[0] : at[-1]]))], ["word", "c", "ids", "blocks"])
 
     return run
@@ -412,13 +438,14 @@ def _subword_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, closes = np.zeros(2 * VOCABULARY, np.int64), closing(path)
         for batch in batches:
-            parts = batch["ids"].to_pylist()
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-            ids = _joined(parts)
+            if not len(batch):
+                continue
+            ids, sizes = _subwords(batch["ids"])
             inside = np.zeros(len(ids), bool)
             inside[1:] = ~closes[ids[:-1]]
             inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-            np.add.at(total, ids + VOCABULARY * inside, np.repeat(batch["c"].to_numpy(), sizes))
+            # Sums of less than 2 ** 53, so whole numbers in floats too.
+            total += np.bincount(ids + VOCABULARY * inside, np.repeat(batch["c"].to_numpy(), sizes), 2 * VOCABULARY).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 

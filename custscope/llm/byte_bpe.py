@@ -133,6 +133,42 @@ def split_texts(texts: list[str]) -> Iterator[list[str]]:
         first = last + 1
 
 
+def merge_side_by_side(token: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many pieces, and how many each has; each round merges the first pair of lowest rank of every piece.
+
+    `token`: the first ids of all pieces, `sizes` of each. `pairs`: left id << 32 | right id, ascending, `made`: the id
+    that each pair makes, which is its rank as well.
+    """
+    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, made[at], _NO_PAIR)
+
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.append(ranks(token[:-1], token[1:]), _NO_PAIR)
+    rank[np.cumsum(sizes) - 1] = _NO_PAIR
+    done = []
+    while len(token):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(owner))))
+        over = lowest == _NO_PAIR
+        done.append((owner[over], token[over]))
+        hit = np.flatnonzero((rank == lowest) & ~over)
+        hit = hit[np.diff(owner[hit], prepend=-1) != 0]
+        token[hit] = rank[hit]
+        kept = ~over
+        kept[hit + 1] = False
+        place = np.cumsum(kept) - 1
+        owner, token, rank, hit = owner[kept], token[kept], rank[kept], place[hit]
+        for at in (hit[(hit > 0)] - 1, hit):
+            both = at[(at + 1 < len(owner))]
+            both = both[owner[both] == owner[both + 1]]
+            rank[at] = _NO_PAIR
+            rank[both] = ranks(token[both], token[both + 1])
+    owner, token = (np.concatenate(side) for side in zip(*done, strict=True)) if done else (owner, token)
+    return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
+
+
 class Vocabulary:
     """Ranks of byte strings, merged pair by pair with the lowest rank first."""
 
@@ -179,39 +215,11 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.made[at], _NO_PAIR)
-
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
-        """32-bit ids of many short pieces at once: each round merges the first pair of lowest rank of every piece."""
+        """32-bit ids of many short pieces at once."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        token = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        rank = np.append(self._pair_ranks(token[:-1], token[1:]), _NO_PAIR)
-        rank[np.cumsum(sizes) - 1] = _NO_PAIR
-        done = []
-        while len(token):
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(owner))))
-            over = lowest == _NO_PAIR
-            done.append((owner[over], token[over]))
-            hit = np.flatnonzero((rank == lowest) & ~over)
-            hit = hit[np.diff(owner[hit], prepend=-1) != 0]
-            token[hit] = rank[hit]
-            kept = ~over
-            kept[hit + 1] = False
-            place = np.cumsum(kept) - 1
-            owner, token, rank, hit = owner[kept], token[kept], rank[kept], place[hit]
-            for at in (hit[(hit > 0)] - 1, hit):
-                both = at[(at + 1 < len(owner))]
-                both = both[owner[both] == owner[both + 1]]
-                rank[at] = _NO_PAIR
-                rank[both] = self._pair_ranks(token[both], token[both + 1])
-        owner, token = (np.concatenate(side) for side in zip(*done, strict=True)) if done else (owner, token)
-        order = np.argsort(owner, kind="stable")
-        flat, cuts = token[order].astype(np.int32).tobytes(), 4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))
+        ids, counts = merge_side_by_side(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], sizes, self.pairs, self.made)
+        flat, cuts = ids.astype(np.int32).tobytes(), 4 * np.cumsum(counts)
         return [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
     def ids(self, pieces: list[str]) -> bytes:

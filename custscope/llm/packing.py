@@ -9,6 +9,7 @@ share is spread over all blocks. Ids never leave the task that made them unless
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .byte_bpe import merge_side_by_side
 from .common import blocks, doc_texts, slabs
 
 CAPACITY = 2048
@@ -114,6 +116,63 @@ def ids_of_words(path: str, words: set[str]) -> dict[str, bytes]:
     return cache
 
 
+@lru_cache(1)
+def _merges(path: str) -> tuple[np.ndarray, ...] | None:
+    """Ids of each byte inside a word and at its end, pairs of ids in order and what they make.
+
+    None for a vocabulary whose ids do not ascend in the order of its merges.
+    """
+    model = json.loads(tokenizer(path)[0].to_str())["model"]
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    found = np.array([(vocab[a] << 32 | vocab[b], vocab[a + b]) for a, b in model["merges"]], np.int64).reshape(-1, 2)
+    if end is None or not len(found) or (np.diff(found[:, 1]) <= 0).any():
+        return None
+    letters = [chr(_BYTE_LETTERS.get(b, b)) for b in range(256)]
+    starts = [np.array([vocab.get(c + e, -1) for c in letters], np.int64) for e in ("", end)]
+    pairs, made = found[np.argsort(found[:, 0])].T.copy()
+    return *starts, pairs, made
+
+
+#: Bytes of plain words: small letters of ASCII, the first byte of the other small letters below U+0100, marks.
+_LETTER, _LEAD, _MARK = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[ord("a") : ord("z") + 1], _KINDS[0xC3], _KINDS[[ord(c) for c in _MARKS]] = _LETTER, _LEAD, _MARK
+#: The second bytes of those letters.
+_SECOND = np.zeros(256, bool)
+_SECOND[[b for b in range(0x9F, 0xC0) if b != 0xB7]] = True
+
+
+def ids_of_plain_words(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words (not empty, UTF-8) are plain: small letters, then marks. Their ids, and how many each of them has.
+
+    The vocabulary's rules keep such a word as it is and part it before its first mark only, so its merges can be
+    made side by side.
+    """
+    merges = _merges(path)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    if merges is None or not len(data):
+        return np.zeros(len(words), bool), np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, sizes = edges[:-1] - edges[0], np.diff(edges)
+    kind = _KINDS[data]
+    kind[1:][_SECOND[data[1:]] & (kind[:-1] == _LEAD)] = _LETTER
+    mark, odd, opens = kind == _MARK, kind == 0, np.zeros(len(data), bool)
+    opens[starts] = True
+    odd[1:] |= mark[:-1] & ~mark[1:] & ~opens[1:]
+    plain = ~np.logical_or.reduceat(odd, starts)
+    begins = opens.copy()
+    begins[1:] |= mark[1:] & ~mark[:-1]
+    own = np.repeat(plain, sizes)
+    begins, data, opens = begins[own], data[own], opens[own]
+    first = np.flatnonzero(begins)
+    parts = np.diff(np.append(first, len(data)))
+    inside, closing, pairs, made = merges
+    token = inside[data]
+    token[first + parts - 1] = closing[data[first + parts - 1]]
+    ids, counts = merge_side_by_side(token, parts, pairs, made)
+    return plain, ids, np.add.reduceat(counts, np.flatnonzero(opens[first])) if len(first) else counts
+
+
 def _plain(text: str) -> str:
     """The vocabulary has no capitals; those of the first 256 code points have one small form everywhere."""
     try:

@@ -540,3 +540,23 @@ def test_lm_words_are_those_between_blanks():
         for code, owner in zip(codes, owners, strict=True):
             got[k * attention_lm.SLAB + owner].append(words[code].as_py())
     assert got == [attention_lm.tokens(t) for t in texts]
+
+
+def test_lm_spells_plain_words_side_by_side(monkeypatch):
+    """Only words that are no small letters with marks behind them go to the tokenizer; ids are the library's."""
+    import pyarrow as pa
+
+    rng, letters, asked = random.Random(12), "abcdefinorstzßàéñöøÿ", []
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) + "".join(rng.choices(".,!?;:*#$%&|", k=rng.choice((0, 0, 1, 3)))) for _ in range(3000)]
+    plain = sorted({*texts, "...", "a" * 300})
+    odd = ["it's", "a.b", "ab1", "\u00c9", "\u00f7", "a\u00aa", "\u00b5", "a-b.", "\u4e2d", "(a", "\u00e9.\u0301", "e\u0301", "x\u00b7", "<s>"]
+    assert not any(attention_lm.tokens(w) != [w.encode()] for w in plain)
+    loaded = Tokenizer.from_file(WORDS)
+    loaded.encode_special_tokens = True
+    want = [np.asarray(e.ids, "<u2").tobytes() for e in loaded.encode_batch_fast(plain + odd, add_special_tokens=False)]
+    slow = attention_lm.ids_of_words
+    monkeypatch.setattr(attention_lm, "ids_of_words", lambda path, words: (asked.extend(words), slow(path, words))[1])
+    words = pa.array([b"?", *(w.encode() for w in plain + odd)], pa.binary())[1:]
+    assert attention_lm.spelled_words(WORDS, words).to_pylist() == want
+    assert set(asked) == set(odd)
+    assert attention_lm.spelled_words(WORDS, words[:0]).to_pylist() == []
