@@ -56,20 +56,22 @@ def explode_items(docs: DataFrame) -> DataFrame:
     two lines of the same SKU came last.
     """
     header = "pedido.encabezado"
-    lines = docs.select(
+    # The values of the document are made before its lines are dealt out, once and not for each line.
+    heads = docs.select(
         document_id().alias("order_id"),
         plain(F.col(f"{header}.cliente")).alias("cliente_id"),
         document_time().alias("fecha"),
-        F.col(f"{header}.tipodecambio").alias("cambio"),
-        F.posexplode("pedido.detalle.producto").alias("posicion", "p"),
+        lenient_double(F.col(f"{header}.tipodecambio")).alias("valor_dolar"),
+        F.col("pedido.detalle.producto").alias("productos"),
     )
+    lines = heads.select("order_id", "cliente_id", "fecha", "valor_dolar", F.posexplode("productos").alias("posicion", "p"))
     return lines.select(
         "order_id", "cliente_id", "fecha",
         F.col("p.clave").alias("clave"),
         lenient_double(F.col("p.cantidad")).alias("cantidad"),
         lenient_double(F.col("p.precioFinal")).alias("precio_final"),
         F.col("p.moneda").alias("moneda"),
-        lenient_double(F.col("cambio")).alias("valor_dolar"),
+        "valor_dolar",
         lenient_long(F.col("p.promocion_id")).alias("promocion_id"),
         lenient_long(F.col("p.promocion_tipo")).alias("promocion_tipo"),
         "posicion",

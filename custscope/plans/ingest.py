@@ -14,7 +14,7 @@ from custscope.plans.totals import add_changes
 from custscope.schema import ITEM_KEYS, ORDER_KEYS
 from custscope.sources import versions
 from custscope.sources.documents import OTHER, OUTSIDE, PENDING, REJECTED, corrupt, document_class, document_id, document_time, reject_reason
-from custscope.sources.staging import stage
+from custscope.sources.staging import scratch, stage
 from custscope.sources.tables import VIEWS, UpsertResult, stored_high_water_mark, upsert
 from custscope.sources.versions import Version
 
@@ -119,9 +119,11 @@ def store_documents(version: Version, docs: DataFrame) -> tuple[UpsertResult, Up
     docs = last_versions(docs)
     orders = flatten_orders(docs).withColumn("posicion", F.coalesce(F.unix_micros("fecha"), F.lit(0)))
     items = add_family(enrich_items(explode_items(docs)))
-    merged_items, _ = upsert(version, VIEWS["items"], items, ITEM_KEYS, "posicion")
-    merged_orders, changes = upsert(version, VIEWS["orders"], orders, ORDER_KEYS, "posicion")
-    add_changes(version, changes)
+    with scratch(version.spark):
+        merged_items, _ = upsert(version, VIEWS["items"], items, ITEM_KEYS, "posicion")
+    with scratch(version.spark):
+        merged_orders, changes = upsert(version, VIEWS["orders"], orders, ORDER_KEYS, "posicion")
+        add_changes(version, changes)
     return merged_orders, merged_items
 
 
@@ -139,12 +141,13 @@ def load_documents(spark: SparkSession, root: str, docs: DataFrame, until=None,
     streams = dict(of.notes.get("flujos", {}))
     if stream and streams.get(stream[0], -1) >= stream[1]:
         return Load(*idle, (mark, mark))
-    pending, rejected, counts = split_documents(docs, mark if incremental else None, until)
-    bad = store_rejects(version, rejected) if counts[REJECTED] else 0
-    accounts = Accounts(counts["read"], counts[PENDING], counts[OUTSIDE], counts[OTHER], counts[REJECTED], bad)
-    if not counts[PENDING] and not bad and not stream:
-        return Load(*idle, (mark, mark), accounts)
-    orders, items = store_documents(version, pending) if counts[PENDING] else idle
+    with scratch(spark):
+        pending, rejected, counts = split_documents(docs, mark if incremental else None, until)
+        bad = store_rejects(version, rejected) if counts[REJECTED] else 0
+        accounts = Accounts(counts["read"], counts[PENDING], counts[OUTSIDE], counts[OTHER], counts[REJECTED], bad)
+        if not counts[PENDING] and not bad and not stream:
+            return Load(*idle, (mark, mark), accounts)
+        orders, items = store_documents(version, pending) if counts[PENDING] else idle
     one = [(stream[0] if stream else "lote", *(int(v) for v in vars(accounts).values()), str(version.number))]
     version.replace(LOADS, spark.createDataFrame(
         one, f"origen string, leidos bigint, cargados bigint, fuera bigint, otros bigint, rechazados bigint, rechazados_nuevos bigint, {LOAD_COLUMN} string",

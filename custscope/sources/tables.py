@@ -38,6 +38,8 @@ BATCH_COLUMN = "lote"
 MONTH_COLUMN = "mes"
 CUSTOMER_COLUMN = "cliente_id"
 UNDATED = "sin-fecha"
+#: So many hashes of eight bytes are sent to every task.
+FEW_KEYS = 1_000_000
 
 
 def table_path(root: str, name: str) -> str:
@@ -125,6 +127,22 @@ def keep_last(df: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> Da
     )
 
 
+def keep_last_of_few(stored: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
+    """`keep_last` of rows that are cheap to read again, most of which stand alone under their key.
+
+    Keys are counted first, as hashes; only rows under a hash that comes again are moved and compared.
+    """
+    require_columns(stored, [*keys, *sequence])
+    key = F.xxhash64(*keys)
+    again = stage(stored.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "repeated-keys")
+    n = again.count()
+    if not n:
+        return stored
+    again = F.broadcast(again) if n <= FEW_KEYS else again
+    alone = stored.join(again, key == F.col("_key"), "left_anti")
+    return alone.unionByName(keep_last(stored.join(again, key == F.col("_key"), "left_semi"), keys, sequence))
+
+
 def merge_keep_last(
     old: DataFrame | None, new: DataFrame, keys: Sequence[str], sequence: Sequence[str]
 ) -> DataFrame:
@@ -184,7 +202,7 @@ def upsert(
         before = touched.alias("o").join(arriving, match, "left_semi").select(*[F.col(f"o.{c}") for c in incoming.columns])
         merged = touched.unionByName(incoming)
     clustered = [CUSTOMER_COLUMN, *keys] if CUSTOMER_COLUMN in incoming.columns else ()
-    stored = version.replace(name, stage(keep_last(merged, keys, sequence), "upsert-merged"), MONTH_COLUMN, months, clustered)
+    stored = version.replace(name, keep_last_of_few(merged, keys, sequence), MONTH_COLUMN, months, clustered)
     duplicates = n_old + n_new - stored.rows
     _report(name, n_old + n_new, duplicates, keys)
     # Incoming rows always win, so the rows of this version's number are the touched ones.

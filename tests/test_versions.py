@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from custscope.operators import season
 from custscope.plans import ingest, totals
 from custscope.sources import documents as docs
-from custscope.sources import files, tables, versions
+from custscope.sources import files, staging, tables, versions
 from custscope.streaming import ingest as si
 
 UNTIL = datetime(2026, 12, 1, tzinfo=timezone.utc)
@@ -240,3 +240,66 @@ def test_one_customer_is_read_from_few_row_groups(spark, tmp_path):
     one = found.select("order_id")
     assert "Sort [" not in serve_customer.order_history(orders, items)._jdf.queryExecution().optimizedPlan().toString() and one.count() == len(want)
     assert versions.manifest(spark, root).tables["orders_historicos"].column == "mes"
+
+
+def staged_names(spark):
+    return set(files.names_in(spark, staging.staging_root(spark)))
+
+
+def shuffles_kept(spark):
+    """Shuffles whose files are still there, as the driver knows them."""
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+def test_a_load_leaves_no_staged_tables_and_no_shuffle_files(spark, tmp_path):
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\n".join([order("a", 1), order("bb", 40, skus=("A1", "B2", "A1")), order("a", 2), "{cut"]))
+    held, shuffles = staged_names(spark), shuffles_kept(spark)
+    conf = {k: spark.conf.get(k, None) for k in staging._TIGHT}
+    ingest.run_ingest(spark, str(tmp_path / "lake"), docs.read_documents(spark, str(folder)), UNTIL)
+    si.start_ingest(si.document_stream(spark, str(folder)), str(tmp_path / "flow"), str(tmp_path / "progress")).awaitTermination()
+    assert staged_names(spark) == held
+    assert shuffles_kept(spark) - shuffles < 12  # small counts only; every write of rows removes its own
+    assert conf == {k: spark.conf.get(k, None) for k in staging._TIGHT}
+    wanted = ({"a": 10.0, "bb": 10.0}, [("a", "A1"), ("bb", "A1"), ("bb", "B2")])
+    assert state(spark, str(tmp_path / "lake")) == state(spark, str(tmp_path / "flow")) == wanted
+
+
+def test_scratch_deletes_what_was_staged_inside_also_after_an_error(spark):
+    held = staged_names(spark)
+    with pytest.raises(RuntimeError), staging.scratch(spark):
+        with staging.scratch(spark):
+            inner = staging.stage(spark.range(3), "inner")
+            assert inner.count() == 3
+        assert staged_names(spark) == held
+        staging.stage(spark.range(3), "outer")
+        assert len(staged_names(spark)) == len(held) + 1
+        raise RuntimeError("stopped")
+    assert staged_names(spark) == held
+
+
+def test_keep_last_of_few_moves_only_repeated_keys(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("a", "x", 1, 1.0), ("a", "x", 2, 2.0), ("a", None, 1, 3.0), (None, "a", 1, 4.0), (None, None, 1, 5.0), (None, None, 1, 6.0), ("b", "x", 1, 7.0)],
+        "order_id string, clave string, posicion int, cantidad double")
+    moved = []
+    real = tables.keep_last
+    monkeypatch.setattr(tables, "keep_last", lambda df, *a: moved.append(df) or real(df, *a))
+    for most in (tables.FEW_KEYS, 0):
+        monkeypatch.setattr(tables, "FEW_KEYS", most)
+        got = tables.keep_last_of_few(rows, ["order_id", "clave"], ["posicion"])
+        assert sorted(map(str, got.collect())) == sorted(map(str, real(rows, ["order_id", "clave"], ["posicion"]).collect()))
+        assert moved.pop().count() == 6  # hashing passes over nulls, so two keys that differ only by their place are compared too
+    alone = rows.where("cantidad > 6")
+    assert tables.keep_last_of_few(alone, ["order_id", "clave"], ["posicion"]) is alone and not moved
+
+
+def test_texts_of_the_stream_are_packed(spark, tmp_path):
+    from custscope.testbed import catalog
+
+    folder = str(tmp_path / "json")
+    catalog.write_texts(spark.createDataFrame([(order("a", 1),), ("",), ("{cut",)], "value string"), folder)
+    names = [n for n in files.names_in(spark, folder) if n.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
+    assert sorted(r[0] for r in spark.read.text(folder).collect()) == sorted([order("a", 1), "", "{cut"])
